@@ -8,6 +8,7 @@ spread like the rest; only the range cells that contain a wanted rank are then o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,15 @@ from pyspark.sql import functions as F
 from evalspark.session import ensure_checkpoint_dir
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a null group matches itself."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    )
+    return left.join(renamed, condition).drop(*[f"_right_{k}" for k in keys])
+
+
 def values_at_ranks(
     df: DataFrame, by: Sequence[str], value: str, ranks: Column
 ) -> DataFrame:
@@ -53,7 +63,7 @@ def values_at_ranks(
         .filter(F.size("_ranks") > 0)
         .select(*by, "_cell", "n", "_before", "_ranks")
     )
-    wanted = cells_of_rows.join(cells, [*by, "_cell"]) if by else cells_of_rows.join(cells, "_cell")
+    wanted = join_null_safe(cells_of_rows, cells, [*by, "_cell"])
     upto = (
         Window.partitionBy(*by, "_cell")
         .orderBy("_v")

@@ -16,7 +16,9 @@ RESPONSE_SCHEMA = (
     "tokens_used bigint, finish_reason string"
 )
 
-GENERATION_SCHEMA = "text string, tokens_used bigint, finish_reason string"
+GENERATIONS_TYPE = (
+    "array<struct<text:string,tokens_used:bigint,finish_reason:string,saw_eos:boolean>>"
+)
 
 JUDGE_RECORD_SCHEMA = (
     "question string, llm_output string, correct_answer string, setting string, "
