@@ -113,7 +113,8 @@ def _answer_text(rule: str) -> Column:
         return F.when(F.col("_kind") == "STRING", gsm8k_answer(J.as_string(value))).otherwise(
             J.python_text(value)
         )
-    return extract_answer(F.coalesce(J.as_string(value), F.lit("")), rule)
+    text = F.when(F.col("_kind") == "STRING", J.as_string(value)).otherwise(F.lit(""))
+    return extract_answer(text, rule)
 
 
 def _answer_error(rule: str) -> Column:
