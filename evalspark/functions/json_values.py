@@ -41,46 +41,32 @@ def as_double(value: Column) -> Column:
 def python_float_text(number: Column) -> Column:
     """``str(float)``: shortest digits, exponent form below 1e-4 and from 1e16 on.
 
-    Java prints the same digits but changes to exponent form at other bounds.
+    Java prints the same digits but changes to exponent form at other bounds. A decimal with
+    20 places holds every such number between the two bounds exactly as Java spells it.
     """
-    java = number.cast("string")
-    sign = F.when(F.startswith(java, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    body = F.ltrim(java, F.lit("-"))
-    exponent = F.substring_index(body, "E", -1).cast("int")
-    digits = F.rtrim(F.replace(F.substring_index(body, "E", 1), F.lit("."), F.lit("")), F.lit("0"))
-    size = F.length(digits)
-
-    whole = F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))
-    split = F.concat(
-        F.left(digits, exponent + 1), F.lit("."), F.substr(digits, exponent + 2)
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    mantissa = F.when(
-        size > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))
-    ).otherwise(digits)
-    power = F.concat(
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(
-            F.abs(exponent).cast("string"),
-            F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)),
-            F.lit("0"),
-        ),
-    )
-    spelled = (
-        F.when((exponent < -4) | (exponent >= 16), F.concat(mantissa, power))
-        .when(exponent < 0, small)
-        .when(size <= exponent + 1, whole)
-        .otherwise(split)
+    size = F.abs(number)
+    plain = F.rtrim(number.cast("decimal(38,20)").cast("string"), F.lit("0"))
+    java = F.regexp_replace(number.cast("string"), r"\.0E", "E")
+    small = F.replace(F.regexp_replace(java, r"E-(\d)$", "E-0$1"), F.lit("E-"), F.lit("e-"))
+    return (
+        F.when(
+            (size == 0) | ((size >= 1e-4) & (size < 1e16)),
+            F.regexp_replace(plain, r"\.$", ".0"),
+        )
+        .when(size < 1, small)
+        .otherwise(F.replace(java, F.lit("E"), F.lit("e+")))
     )
-    return F.when(F.contains(body, F.lit("E")), F.concat(sign, spelled)).otherwise(java)
 
 
-def python_text(value: Column, null_text: str | None = "None") -> Column:
+def python_text(
+    value: Column, null_text: str | None = "None", value_kind: Column | None = None
+) -> Column:
     """``str(value)`` of a VARIANT; lists and objects keep their JSON text.
 
     ``null_text=None`` leaves a JSON null as SQL NULL for fields that are handed on as they are.
+    ``value_kind`` is the type name where the caller has computed it.
     """
-    k = kind(value)
+    k = kind(value) if value_kind is None else value_kind
     long_integer = k.rlike(r"^DECIMAL\((19|2\d|3\d),0\)$")
     null_column = F.lit(null_text).cast("string")
     return (

@@ -6,8 +6,9 @@ work is row-local: one parse to VARIANT, then column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Hashable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,116 +103,162 @@ LAYOUTS = {
 }
 
 
-def _answer_text(rule: str) -> Column:
-    """Answer of the row whose raw field is in ``_answer`` (kind in ``_kind``)."""
-    value = F.col("_answer")
-    if rule == "raw":
-        return J.python_text(value, null_text=None)
+Layouts = Mapping[str, Layout]
+
+
+def _by_dataset(
+    layouts: Layouts, key: Callable[[str], Hashable], build: Callable[[Hashable], Column]
+) -> Column:
+    """One expression per distinct key, chosen by the row's dataset."""
+    names_of: dict[Hashable, list[str]] = {}
+    for name in layouts:
+        names_of.setdefault(key(name), []).append(name)
+    if len(names_of) == 1:
+        return build(next(iter(names_of)))
+    first, *rest = names_of.items()
+    chain = F.when(F.col("dataset").isin(first[1]), build(first[0]))
+    for value, names in rest:
+        chain = chain.when(F.col("dataset").isin(names), build(value))
+    return chain
+
+
+def _metadata(name: str, layout: Layout) -> Column:
+    record = F.col("_record")
+    fields = [
+        J.first_present(record, *names, default=default).alias(key)
+        for key, names, default in layout.metadata
+    ]
+    return F.to_variant_object(F.struct(*fields, J.json_literal(f'"{name}"').alias("dataset")))
+
+
+def _answer(rule: str) -> Column:
+    """The answer from its ``str()`` text in ``_answer_text`` and the JSON type in ``_kind``.
+
+    ``_text`` is the same text where the JSON value is a string, else empty.
+    """
+    text = F.col("_answer_text")
     if rule == "str":
-        return J.python_text(value)
+        return text
+    if rule == "raw":
+        return F.when(F.col("_kind") != "VOID", text)
     if rule == "gsm8k":
-        return F.when(F.col("_kind") == "STRING", gsm8k_answer(J.as_string(value))).otherwise(
-            J.python_text(value)
-        )
-    text = F.when(F.col("_kind") == "STRING", J.as_string(value)).otherwise(F.lit(""))
-    return extract_answer(text, rule)
+        return F.when(F.col("_kind") == "STRING", gsm8k_answer(F.col("_text"))).otherwise(text)
+    return extract_answer(F.col("_text"), rule)
 
 
-def _answer_error(rule: str) -> Column:
+def _not_text(rule: str) -> Column:
     """Values the rule's text search cannot read; Minerva and Olympiad skip empty ones first."""
-    text_needed = F.col("_kind") != "STRING"
+    other = F.col("_kind") != "STRING"
     if rule == "math":
-        return text_needed
+        return other
     if rule in ("minerva", "olympiad"):
-        return text_needed & J.truthy(F.col("_answer"))
+        return other & J.truthy(F.col("_answer"))
     return F.lit(False)
 
 
-def normalize_layout(raw: DataFrame, dataset: str, layout: Layout) -> DataFrame:
-    """Samples of one dataset; rows that cannot be read keep a reason in ``error``."""
+def _choices(names: tuple[str, ...]) -> Column:
+    if not names:
+        return F.lit(None).cast("variant")
+    return J.first_present(F.col("_record"), *names, default="[]")
+
+
+def normalize_layouts(raw: DataFrame, layouts: Layouts) -> DataFrame:
+    """Samples of all named datasets in one pass.
+
+    Unreadable rows have the reason in ``error`` and the raw record in ``value``, both null
+    elsewhere. Every step is a projection, so a record is parsed once and nothing is shuffled however
+    many datasets the rows belong to.
+    """
     record = F.col("_record")
-    parsed = raw.withColumn("_record", F.try_parse_json("value"))
-    fields = parsed.withColumns(
+    fields = raw.withColumn("_record", F.try_parse_json("value")).withColumns(
         {
-            "_problem": J.first_present(record, *layout.problem),
-            "_answer": J.first_present(record, *layout.answer),
-            "_metadata": F.to_variant_object(
-                F.struct(
-                    *[
-                        J.first_present(record, *names, default=default).alias(key)
-                        for key, names, default in layout.metadata
-                    ],
-                    J.json_literal(f'"{dataset}"').alias("dataset"),
-                )
+            "_problem": _by_dataset(
+                layouts, lambda n: layouts[n].problem, lambda f: J.first_present(record, *f)
+            ),
+            "_answer": _by_dataset(
+                layouts, lambda n: layouts[n].answer, lambda f: J.first_present(record, *f)
             ),
+            "_choices": _by_dataset(layouts, lambda n: layouts[n].choices, _choices),
+            "metadata": _by_dataset(layouts, lambda n: n, lambda n: _metadata(n, layouts[n])),
         }
     )
-    if layout.choices:
-        fields = fields.withColumn(
-            "_choices", J.first_present(record, *layout.choices, default="[]")
-        )
-    else:
-        fields = fields.withColumn("_choices", F.lit(None).cast("variant"))
-    typed = fields.withColumn("_kind", J.kind(F.col("_answer")))
-
-    problem = J.python_text(F.col("_problem"), null_text=None)
-    bad_choices = F.lit(False)
-    if layout.choices:
-        items = F.transform(
-            F.try_variant_get("_choices", "$", "array<variant>"), lambda item: J.python_text(item)
-        )
-        problem = lettered_options(F.coalesce(problem, F.lit("None")), items)
-        problem = F.when(J.truthy(F.col("_choices")), problem).otherwise(
-            J.python_text(F.col("_problem"), null_text=None)
-        )
-        bad_choices = J.truthy(F.col("_choices")) & ~F.startswith(
-            J.kind(F.col("_choices")), F.lit("ARRAY")
-        )
+    typed = fields.withColumns(
+        {"_kind": J.kind(F.col("_answer")), "_problem_kind": J.kind(F.col("_problem"))}
+    )
+    texts = typed.withColumns(
+        {
+            "problem": J.python_text(F.col("_problem"), None, F.col("_problem_kind")),
+            "_answer_text": J.python_text(F.col("_answer"), "None", F.col("_kind")),
+        }
+    )
+    texts = texts.withColumn(
+        "_text", F.when(F.col("_kind") == "STRING", F.col("_answer_text")).otherwise(F.lit(""))
+    )
     error = (
         F.when(record.isNull(), MALFORMED)
         .when(~F.startswith(F.ltrim("value"), F.lit("{")), NOT_AN_OBJECT)
-        .when(_answer_error(layout.answer_rule), NOT_TEXT)
-        .when(bad_choices, NOT_A_LIST)
+        .when(_by_dataset(layouts, lambda n: layouts[n].answer_rule, _not_text), NOT_TEXT)
     )
-    return typed.select(
-        F.lit(dataset).alias("dataset"),
+    problem = F.col("problem")
+    if any(layout.choices for layout in layouts.values()):
+        filled, choices = J.truthy(F.col("_choices")), F.col("_choices")
+        items = F.transform(
+            F.try_variant_get(choices, "$", "array<variant>"), lambda item: J.python_text(item)
+        )
+        problem = F.when(
+            filled, lettered_options(F.coalesce(problem, F.lit("None")), items)
+        ).otherwise(problem)
+        error = error.when(filled & ~F.startswith(J.kind(choices), F.lit("ARRAY")), NOT_A_LIST)
+    prefix = _by_dataset(layouts, lambda n: layouts[n].prefix, F.lit)
+    samples = texts.select(
+        "dataset",
         "split",
-        F.concat_ws("_", F.lit(layout.prefix), "split", "rec_idx").alias("id"),
+        F.concat_ws("_", prefix, "split", "rec_idx").alias("id"),
         problem.alias("problem"),
-        _answer_text(layout.answer_rule).alias("answer"),
-        F.col("_metadata").alias("metadata"),
+        _by_dataset(layouts, lambda n: layouts[n].answer_rule, _answer).alias("answer"),
+        "metadata",
         error.alias("error"),
         "value",
     )
+    return samples.withColumn("value", F.when(F.col("error").isNotNull(), F.col("value")))
 
 
 Normalizer = Callable[[DataFrame], DataFrame]
 
-
-def _builtin(name: str) -> Normalizer:
-    return lambda raw: normalize_layout(raw, name, LAYOUTS[name])
+REGISTRY: dict[str, Layout | Normalizer] = dict(LAYOUTS)
 
 
-REGISTRY: dict[str, Normalizer] = {name: _builtin(name) for name in LAYOUTS}
+def register_dataset(name: str, normalizer: Layout | Normalizer) -> None:
+    """Add a dataset: a layout, or a function from raw rows to sample rows."""
+    REGISTRY[name] = normalizer
 
 
-def register_dataset(name: str, normalizer: Normalizer | Layout) -> None:
-    """Add a dataset: a layout, or a function from raw rows to sample rows."""
-    if isinstance(normalizer, Layout):
-        layout = normalizer
-        REGISTRY[name] = lambda raw: normalize_layout(raw, name, layout)
-    else:
-        REGISTRY[name] = normalizer
+def normalize_many(raw: DataFrame, datasets: Sequence[str]) -> DataFrame:
+    """Samples of the rows of the named datasets; layouts share one pass over the rows."""
+    unknown = [name for name in datasets if name not in REGISTRY]
+    if unknown:
+        raise ValueError(f"Unsupported dataset: {', '.join(unknown)}")
+    layouts = {n: REGISTRY[n] for n in datasets if isinstance(REGISTRY[n], Layout)}
+    parts = [
+        REGISTRY[n](raw.filter(F.col("dataset") == n)) for n in datasets if n not in layouts
+    ]
+    if layouts:
+        known = raw.filter(F.col("dataset").isin(list(layouts)))
+        parts.insert(0, normalize_layouts(known, layouts))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def normalize(raw: DataFrame, dataset: str) -> DataFrame:
-    if dataset not in REGISTRY:
-        raise ValueError(f"Unsupported dataset: {dataset}")
-    return REGISTRY[dataset](raw)
+    """All rows as samples of one dataset."""
+    return normalize_many(raw.withColumn("dataset", F.lit(dataset)), [dataset])
 
 
 def good_samples(normalized: DataFrame, strict: bool = False) -> DataFrame:
-    """Readable samples. ``strict`` drops every dataset split with an unreadable row."""
+    """Readable samples. ``strict`` drops every dataset split with an unreadable row.
+
+    Best read from a written table: on rows still to be computed the filter is pushed below
+    the projections and parses each record again.
+    """
     good = normalized.filter(F.col("error").isNull()).drop("error", "value")
     if not strict:
         return good

@@ -32,7 +32,7 @@ def percentiles(
             F.least(F.floor(position) + 1, F.col("n") - 1).cast("bigint"),
         )
     ]
-    found = values_at_ranks(df, by, value, F.array(*wanted))
+    found = values_at_ranks(df, by, value, wanted)
     # at most two rows per percentile reach a group
     table = found.groupBy(*by).agg(
         F.map_from_entries(

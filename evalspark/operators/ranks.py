@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.session import ensure_checkpoint_dir
+from evalspark.session import scratch_path
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,56 +26,55 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
 
 
 def values_at_ranks(
-    df: DataFrame, by: Sequence[str], value: str, ranks: Column
+    df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[Column]
 ) -> DataFrame:
     """``(*by, n, rank, value)`` for each wanted zero-based rank.
 
-    ``ranks`` is an array of bigint computed from the column ``n``, the group's row count;
-    nulls in ``value`` are not counted.
+    ``ranks`` are bigint expressions of the column ``n``, the group's row count; nulls in
+    ``value`` are not counted.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     by = list(by)
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
-    # Two branches read the cell numbers, so they are pinned by a reliable checkpoint.
-    cells_of_rows = (
-        counted.repartitionByRange(*by, "_v")
-        .withColumn("_cell", F.spark_partition_id())
-        .checkpoint()
-    )
+    # Two branches read the cell numbers, so they are pinned in a written table.
+    path = scratch_path(spark, "ranks")
+    counted.repartitionByRange(*by, "_v").withColumn(
+        "_cell", F.spark_partition_id()
+    ).write.parquet(path)
+    cells_of_rows = spark.read.parquet(path)
+
+    names = [f"_rank{i}" for i in range(len(ranks))]
     in_group = Window.partitionBy(*by)
     running = in_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells_of_rows.groupBy(*by, "_cell").agg(F.sum("_cnt").alias("_rows"))
     cells = (
         cells.withColumn("n", F.sum("_rows").over(in_group))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(running), F.lit(0)))
-        .withColumn(
-            "_ranks",
-            F.filter(
-                F.array_distinct(ranks),
-                lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rows")),
-            ),
-        )
-        .filter(F.size("_ranks") > 0)
-        .select(*by, "_cell", "n", "_before", "_ranks")
+        .withColumn("_start", F.coalesce(F.sum("_rows").over(running), F.lit(0)))
+        .withColumns(dict(zip(names, ranks, strict=True)))
+        .filter(_any_between(names, F.col("_start"), F.col("_start") + F.col("_rows")))
+        .drop("_rows")
     )
-    wanted = join_null_safe(cells_of_rows, cells, [*by, "_cell"])
     upto = (
         Window.partitionBy(*by, "_cell")
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        wanted.withColumn("_end", F.col("_before") + F.sum("_cnt").over(upto))
-        .withColumn(
-            "_ranks",
-            F.filter(
-                "_ranks", lambda r: (r >= F.col("_end") - F.col("_cnt")) & (r < F.col("_end"))
-            ),
-        )
-        .select(*by, "n", F.explode("_ranks").alias("rank"), F.col("_v").alias("value"))
+    end = F.col("_end")
+    hits = (
+        join_null_safe(cells_of_rows, cells, [*by, "_cell"])
+        .withColumn("_end", F.col("_start") + F.sum("_cnt").over(upto))
+        .filter(_any_between(names, end - F.col("_cnt"), end))
+    )
+    wanted = F.filter(
+        F.array_distinct(F.array(*names)), lambda r: (r >= end - F.col("_cnt")) & (r < end)
     )
+    return hits.select(*by, "n", F.explode(wanted).alias("rank"), F.col("_v").alias("value"))
+
+
+def _any_between(names: Sequence[str], start: Column, end: Column) -> Column:
+    """At least one of the columns lies in [start, end)."""
+    return reduce(lambda a, b: a | b, [(F.col(c) >= start) & (F.col(c) < end) for c in names])

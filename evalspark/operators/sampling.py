@@ -34,7 +34,7 @@ def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataF
         keyed.select("_order", F.lit(0).alias("_all")),
         ["_all"],
         "_order",
-        F.array(F.least(F.lit(n).cast("bigint"), F.col("n")) - 1),
+        [F.least(F.lit(n).cast("bigint"), F.col("n")) - 1],
     ).select(F.col("_all"), F.col("value").alias("_last"))
     return (
         keyed.withColumn("_all", F.lit(0))

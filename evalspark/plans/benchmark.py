@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from evalspark.functions.text import short_name
 from evalspark.operators.inference import ModelFactory, generate
 from evalspark.operators.judging import judge
 from evalspark.operators.metrics import DEFAULT_KS, comprehensive, metric_rows, metrics_documents
-from evalspark.operators.normalize import good_samples, normalize, quarantine
+from evalspark.operators.normalize import good_samples, normalize_many
 from evalspark.schema import GenerationConfig
 from evalspark.sinks.tables import (
     new_run_id,
@@ -56,11 +55,8 @@ def load_samples(
     split: str = "test",
     max_samples: int | None = None,
 ) -> DataFrame:
-    """Normalised rows of all datasets; each dataset's branch scans its own files only."""
-    parts = [
-        normalize(read_split(spark, data_dir, name, split, max_samples), name) for name in datasets
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Normalised rows of all datasets, from one scan of their files."""
+    return normalize_many(read_split(spark, data_dir, datasets, split, max_samples), datasets)
 
 
 def with_chat(samples: DataFrame, system_prompt: str | None) -> DataFrame:
@@ -101,8 +97,9 @@ def run_benchmark(
 ) -> DataFrame:
     """Runs all datasets as one job and returns the metrics rows.
 
-    The lineage is cut by a written table after generation and after judging: model calls
-    are expensive and need not repeat themselves.
+    The lineage is cut by a written table after each stage: the raw files are read once,
+    and model calls are expensive and need not repeat themselves. Unreadable records stay in
+    the samples table with their ``error``.
     """
     run_id = settings.run_id or new_run_id(spark, settings.model_path)
     out = settings.out_dir.rstrip("/")
@@ -111,14 +108,13 @@ def run_benchmark(
     samples = load_samples(
         spark, settings.data_dir, settings.datasets, settings.split, settings.max_samples
     )
-    write_run_table(
-        with_run(quarantine(samples), run_id, settings.model_path), f"{out}/quarantine"
-    )
-    prompts = with_chat(good_samples(samples, settings.strict), settings.system_prompt)
+    write_run_table(with_run(samples, run_id, settings.model_path), f"{out}/samples")
+    readable = good_samples(read_run_table(spark, f"{out}/samples", run_id), settings.strict)
+    prompts = with_chat(readable, settings.system_prompt)
     responses = generate(
         prompts, make_model, settings.generation, "messages", settings.batch_size, settings.partitions
     ).drop("messages")
-    write_run_table(with_run(responses, run_id, settings.model_path), f"{out}/responses")
+    write_run_table(responses, f"{out}/responses")
     verdicts = judge(
         read_run_table(spark, f"{out}/responses", run_id),
         make_judge,

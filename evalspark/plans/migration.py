@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from evalspark.operators.normalize import REGISTRY, good_samples, normalize
+from evalspark.operators.normalize import REGISTRY, good_samples, normalize_many
 from evalspark.operators.quality import expected_file_check, requested_datasets
 from evalspark.sources.catalogue import available_datasets, file_inventory
 from evalspark.sources.jsonl import read_jsonl
@@ -32,12 +31,12 @@ def migrate(
     requested: Sequence[str] | None = None,
     overwrite: bool = False,
     dry_run: bool = False,
-    strict: bool = False,
 ) -> DataFrame:
-    """Writes each dataset's splits to ``target`` and returns ``(dataset, status, rows)``.
+    """Writes each dataset's splits to ``target``; returns ``(dataset, status, rows, unreadable)``.
 
-    A dataset already in the target is left alone unless ``overwrite``. ``dry_run`` only
-    counts. Status is migrated, would migrate, exists, unsupported or missing.
+    The table holds unreadable records too, with their ``error``; ``migrated_samples`` reads
+    the others. A dataset already in the target is left alone unless ``overwrite``;
+    ``dry_run`` only counts. Status is migrated, would migrate, exists, unsupported or missing.
     """
     inventory = file_inventory(spark, source_dir)
     available = available_datasets(inventory)
@@ -53,18 +52,17 @@ def migrate(
     existing = set() if overwrite else _existing_datasets(spark, target)
     todo = [n for n in names if n in REGISTRY and n not in existing]
 
-    status = [(n, "missing", None) for n in absent]
-    status += [(n, "unsupported", None) for n in names if n not in REGISTRY]
-    status += [(n, "exists", None) for n in names if n in REGISTRY and n in existing]
-    skipped = spark.createDataFrame(status, "dataset string, status string, rows bigint")
+    status = [(n, "missing") for n in absent]
+    status += [(n, "unsupported") for n in names if n not in REGISTRY]
+    status += [(n, "exists") for n in names if n in REGISTRY and n in existing]
+    skipped = spark.createDataFrame(status, "dataset string, status string").withColumns(
+        {"rows": F.lit(None).cast("bigint"), "unreadable": F.lit(None).cast("bigint")}
+    )
     if not todo:
         return skipped
 
-    parts = [
-        normalize(read_jsonl(spark, f"{source_dir.rstrip('/')}/{name}/*.jsonl"), name)
-        for name in todo
-    ]
-    samples = good_samples(reduce(DataFrame.unionByName, parts), strict)
+    lines = read_jsonl(spark, [f"{source_dir.rstrip('/')}/{name}/*.jsonl" for name in todo])
+    samples = normalize_many(lines, todo)
     if not dry_run:
         (
             samples.write.mode("overwrite")
@@ -73,13 +71,23 @@ def migrate(
             .parquet(target)
         )
         samples = spark.read.parquet(target).filter(F.col("dataset").isin(*todo))
-    counts = samples.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
+    counts = samples.groupBy("dataset").agg(
+        F.count_if(F.col("error").isNull()).alias("rows"),
+        F.count_if(F.col("error").isNotNull()).alias("unreadable"),
+    )
     done = counts.select(
-        "dataset", F.lit("would migrate" if dry_run else "migrated").alias("status"), "rows"
+        "dataset",
+        F.lit("would migrate" if dry_run else "migrated").alias("status"),
+        "rows",
+        "unreadable",
     )
     return done.unionByName(skipped)
 
 
+def migrated_samples(spark: SparkSession, target: str, strict: bool = False) -> DataFrame:
+    return good_samples(spark.read.parquet(target), strict)
+
+
 def check_migrated(spark: SparkSession, source_dir: str) -> DataFrame:
     """``(dataset, has_test_file)`` of a folder of raw datasets."""
     inventory = file_inventory(spark, source_dir)

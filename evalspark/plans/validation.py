@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators.normalize import REGISTRY, normalize
+from evalspark.operators.normalize import REGISTRY, normalize_many
 from evalspark.operators.quality import (
     DEFAULT_CHECKED_LINES,
     add_empty_files,
@@ -70,17 +69,12 @@ def validate(
     )
     checks = _file_checks(spark, data_dir, test_files, max_samples)
     readable = test_files.filter(F.col("file") == "test.jsonl")
-    parts = [
-        normalize(
-            read_jsonl(spark, f"{data_dir.rstrip('/')}/{name}/test.jsonl", max_samples), name
-        )
-        for name in _names(readable)
-        if name in REGISTRY
-    ]
-    if parts:
-        samples = reduce(DataFrame.unionByName, parts).select("dataset", "error")
+    names = [name for name in _names(readable) if name in REGISTRY]
+    if names:
+        paths = [f"{data_dir.rstrip('/')}/{name}/test.jsonl" for name in names]
+        samples = normalize_many(read_jsonl(spark, paths, max_samples), names)
     else:
-        samples = selected.limit(0).select("dataset", F.lit("").alias("error"))
+        samples = selected.select("dataset", F.lit("").alias("error")).limit(0)
     loader = loader_check(samples, selected)
     return {
         "files": checks,

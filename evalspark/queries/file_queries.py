@@ -13,7 +13,7 @@ from evalspark.operators.keyed_joins import join_verdicts
 from evalspark.plans.benchmark import BenchmarkSettings, run_benchmark
 from evalspark.plans.comparison import compare_runs
 from evalspark.plans.file_judge import judge_file
-from evalspark.plans.migration import migrate
+from evalspark.plans.migration import migrate, migrated_samples
 from evalspark.plans.reevaluate import readable, reevaluate
 from evalspark.plans.validation import simple_validate, validate
 from evalspark.queries.file_data import (
@@ -206,7 +206,7 @@ def migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All raw files converted to one table, read back."""
     target = scratch_path(spark, "migrated")
     migrate(spark, datasets_dir(spark, sf_dir), target)
-    return spark.read.parquet(target).select("dataset", "id", "problem", "answer")
+    return migrated_samples(spark, target).select("dataset", "id", "problem", "answer")
 
 
 @query(
@@ -219,13 +219,14 @@ def migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def migrate_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return migrate(
+    counts = migrate(
         spark,
         datasets_dir(spark, sf_dir),
         scratch_path(spark, "dry"),
         requested=["math", "amc", "nope"],
         dry_run=True,
     )
+    return counts.drop("unreadable")
 
 
 # the raw check fails a file whose first problem or answer is missing or empty

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import WHITESPACE
-from evalspark.queries.registry import table
+from evalspark.queries.registry import spread, table
 
 # --- verdicts: labelled documents -------------------------------------------------------
 
@@ -110,7 +110,8 @@ TEXTS_SQL = f"""texts AS (
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return spread(table(spark, sf_dir, "lineitem").select(*columns)).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -260,7 +261,8 @@ def records_sql(kind: str) -> str:
 
 def records(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Raw rows as the normalisers take them, one per order."""
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return spread(orders).select(
         F.lit(kind).alias("dataset"),
         F.lit("test").alias("split"),
         F.col("o_orderkey").alias("rec_idx"),

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # a generated method past this size is never compiled by the JVM; smaller ones are
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -43,12 +45,6 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="evalspark-")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable without overriding a set folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for an intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/evalspark/{name}-{uuid.uuid4().hex}"
