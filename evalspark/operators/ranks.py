@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from evalspark.session import scratch_path
 
+# A cell is a group key and a few numbers; this many fit any executor.
+MAX_BROADCAST_CELLS = 100_000
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` in which a null group matches itself."""
@@ -58,16 +61,22 @@ def values_at_ranks(
         .filter(_any_between(names, F.col("_start"), F.col("_start") + F.col("_rows")))
         .drop("_rows")
     )
+    # at most two cells per wanted rank pair and group, but groups may be many
+    if cells.count() <= MAX_BROADCAST_CELLS:
+        cells = F.broadcast(cells)
     upto = (
         Window.partitionBy(*by, "_cell")
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    end = F.col("_end")
-    hits = (
-        join_null_safe(cells_of_rows, cells, [*by, "_cell"])
-        .withColumn("_end", F.col("_start") + F.sum("_cnt").over(upto))
-        .filter(_any_between(names, end - F.col("_cnt"), end))
+    # only the values of the chosen cells are sorted; their ranks join again afterwards
+    in_cell = (
+        join_null_safe(cells_of_rows, cells.select(*by, "_cell"), [*by, "_cell"])
+        .withColumn("_upto", F.sum("_cnt").over(upto))
+    )
+    end = F.col("_start") + F.col("_upto")
+    hits = join_null_safe(in_cell, cells, [*by, "_cell"]).filter(
+        _any_between(names, end - F.col("_cnt"), end)
     )
     wanted = F.filter(
         F.array_distinct(F.array(*names)), lambda r: (r >= end - F.col("_cnt")) & (r < end)

@@ -30,7 +30,8 @@ AIME_TEST_FILES = ("test2024.jsonl", "test2025-I.jsonl", "test2025-II.jsonl")
 def file_inventory(spark: SparkSession, data_dir: str) -> DataFrame:
     """``(dataset, file, bytes, size)`` per file; part files count to their folder.
 
-    Only path and length are read, never the content.
+    Only path and length are read, never the content. Spark plans no task for an empty file,
+    so those are not listed.
     """
     root = re.escape(data_dir.rstrip("/"))
     files = (
