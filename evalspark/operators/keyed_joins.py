@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.sizes import broadcast_if_small
+
 SAMPLE_KEYS = ("dataset", "id")
+# A template is a few kilobytes at most.
+MAX_BROADCAST_TEMPLATES = 1_000
 VERDICT_KEYS = ("run_id", "dataset", "id", "generation_id")
 
 
@@ -35,7 +39,10 @@ def with_templates(prompts: DataFrame, templates: DataFrame, judge: str = "judge
     ``templates`` is ``(judge_name, template)`` and must name each judge once.
     """
     missing = F.raise_error(F.concat(F.lit("Missing template for judge "), F.col(judge)))
-    found = templates.select(F.col("judge_name").alias("_judge"), F.col("template").alias("_template"))
+    found = broadcast_if_small(
+        templates.select(F.col("judge_name").alias("_judge"), F.col("template").alias("_template")),
+        MAX_BROADCAST_TEMPLATES,
+    )
     return (
         prompts.join(found, F.col(judge).eqNullSafe(F.col("_judge")), "left")
         .withColumn("template", F.coalesce("_template", missing.cast("string")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evalspark.functions import json_values as J
 from evalspark.functions.extraction import extract_answer, gsm8k_answer
 from evalspark.functions.text import lettered_options
+from evalspark.operators.sizes import broadcast_if_small
 
 MALFORMED = "malformed JSON"
 NOT_AN_OBJECT = "record is not an object"
@@ -267,7 +268,7 @@ def good_samples(normalized: DataFrame, strict: bool = False) -> DataFrame:
         .agg(F.count_if(F.col("error").isNotNull()).alias("_bad"))
         .filter(F.col("_bad") > 0)
     )
-    return good.join(failed, ["dataset", "split"], "left_anti")
+    return good.join(broadcast_if_small(failed), ["dataset", "split"], "left_anti")
 
 
 def quarantine(normalized: DataFrame) -> DataFrame:

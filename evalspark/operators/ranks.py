@@ -13,11 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.sizes import broadcast_if_small
 from evalspark.session import scratch_path
 
-# A cell is a group key and a few numbers; this many fit any executor.
-MAX_BROADCAST_CELLS = 100_000
-
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` in which a null group matches itself."""
@@ -62,8 +60,7 @@ def values_at_ranks(
         .drop("_rows")
     )
     # at most two cells per wanted rank pair and group, but groups may be many
-    if cells.count() <= MAX_BROADCAST_CELLS:
-        cells = F.broadcast(cells)
+    cells = broadcast_if_small(cells)
     upto = (
         Window.partitionBy(*by, "_cell")
         .orderBy("_v")

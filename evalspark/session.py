@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # prompts can be long; models take them in batches of tens anyway
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # a generated method past this size is never compiled by the JVM; smaller ones are
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.operators.sampling import sample_n
+from evalspark.operators.sizes import MAX_BROADCAST_ROWS
 
 
 def read_json_array(
@@ -34,6 +35,8 @@ def read_json_array(
     first = rows.groupBy(
         F.col("file").alias("_f"), F.col("_part").alias("_p")
     ).agg(F.min("_seq").alias("_first"))
+    if len(rows.inputFiles()) <= MAX_BROADCAST_ROWS:  # a row per file
+        first = F.broadcast(first)
     numbered = (
         rows.join(first, (F.col("file") == F.col("_f")) & (F.col("_part") == F.col("_p")))
         .withColumn("position", F.col("_seq") - F.col("_first"))

@@ -17,9 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import is_blank
-
-# A row of the block table is a path and a few numbers; this many fit any executor.
-MAX_BROADCAST_BLOCKS = 100_000
+from evalspark.operators.sizes import MAX_BROADCAST_ROWS
 
 SOURCE_PATTERN = r"^(.*?/[^/]+\.jsonl?)(?:/[^/]*)?$"
 DATASET_PATTERN = r"/([^/]+)/([^/]+)\.jsonl?(?:/[^/]*)?$"
@@ -119,7 +117,7 @@ def read_jsonl(
     """
     lines = _scan(spark, [paths] if isinstance(paths, str) else paths)
     blocks = _block_table(lines)
-    if _block_bound(lines) <= MAX_BROADCAST_BLOCKS:
+    if _block_bound(lines) <= MAX_BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
     return keep_first_lines(number_lines(lines, blocks), max_lines)
 

@@ -192,7 +192,7 @@ def test_percentiles_property(spark, values):
 def test_sampling_is_the_same_either_way(spark, monkeypatch):
     df = spark.range(3000).repartition(9)
     small = {r.id for r in sample_n(df, ["id"], 700, 5).collect()}
-    monkeypatch.setattr("evalspark.operators.sampling.HEAP_LIMIT", 10)
+    monkeypatch.setattr("evalspark.operators.sampling.HEAP_LIMIT", 2)
     large = {r.id for r in sample_n(df.repartition(3), ["id"], 700, 5).collect()}
     assert small == large and len(small) == 700
     assert sample_n(df, ["id"], 5000, 5).count() == 3000
@@ -227,3 +227,10 @@ def test_templates(spark):
     assert with_templates(prompts.filter("judge_name = 'j1'"), templates).first().template == "<{query}>"
     with pytest.raises(Exception, match="Missing template for judge j2"):
         with_templates(prompts, templates).collect()
+
+
+def test_sampling_needs_row_keys(spark, monkeypatch):
+    monkeypatch.setattr("evalspark.operators.sampling.HEAP_LIMIT", 2)
+    df = spark.range(9).withColumn("same", F.lit(1))
+    with pytest.raises(ValueError, match="identify a row"):
+        sample_n(df, ["same"], 5)

@@ -8,7 +8,7 @@ from evalspark.sources import catalogue
 from evalspark.sources.json_array import read_json_array, sample_json_array
 from evalspark.sources.jsonl import _block_table, _scan, number_lines, read_jsonl, read_split
 from evalspark.sources.responses import load_responses
-from evalspark.sinks.tables import save_jsonl
+from evalspark.sinks.tables import save_by_dataset, save_jsonl
 
 
 def write(path, text):
@@ -133,3 +133,9 @@ def test_save_jsonl_keeps_nulls_and_text(spark, tmp_path):
     save_jsonl(df, str(tmp_path / "x.jsonl"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "x.jsonl")).collect()]
     assert lines == ['{"a":"é😀","b":null}']
+
+
+def test_save_by_dataset(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "dataset string, n int")
+    save_by_dataset(df, str(tmp_path), "responses", "a")
+    assert spark.read.json(str(tmp_path / "a_responses.jsonl")).count() == 2
