@@ -10,11 +10,16 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import evalspark
 from evalspark.schema import GENERATIONS_TYPE, GenerationConfig
 
+# functions of this package travel to the workers whole, so it need not be installed there
+cloudpickle.register_pickle_by_value(evalspark)
+
 # model(prompts, config) -> for each prompt a list of config.n results with the keys
 # text, tokens_used and, if the model knows them, finish_reason or saw_eos
 Model = Callable[[Sequence[Any], GenerationConfig], Sequence[Sequence[dict]]]

@@ -12,43 +12,69 @@ from evalspark.operators.ranks import values_at_ranks
 DEFAULT_PERCENTS = (25, 50, 75, 90, 95)
 
 
+# Groups of up to this many values fit the buffer of one task; larger ones are spread.
+GATHER_LIMIT = 1_000_000
+
+
 def percentiles(
     df: DataFrame,
     value: str,
     by: Sequence[str] = (),
     percents: Sequence[int] = DEFAULT_PERCENTS,
+    gather_limit: int = GATHER_LIMIT,
 ) -> DataFrame:
     """One row per group with a column ``p{percent}`` each; 0.0 for an ungrouped empty input.
 
     The position of a percentile is ``p / 100 * (n - 1)``; between two rows it is
-    interpolated linearly.
+    interpolated linearly. A counting pass decides the way: Spark's ``percentile`` keeps a
+    group's values in one task, so it is used only while no group has more than
+    ``gather_limit``; otherwise the wanted ranks are searched in range partitions.
     """
-    positions = {p: F.lit(p / 100) * (F.col("n") - 1) for p in percents}
-    wanted = [
-        rank
-        for position in positions.values()
-        for rank in (
-            F.floor(position).cast("bigint"),
-            F.least(F.floor(position) + 1, F.col("n") - 1).cast("bigint"),
-        )
-    ]
-    found = values_at_ranks(df, by, value, wanted)
+    known = df.filter(F.col(value).isNotNull())
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= gather_limit:
+        return _gathered(known, value, by, percents)
+    return _searched(known, value, by, percents)
+
+
+def _columns(table: DataFrame, by: Sequence[str], percents: Sequence[int]) -> DataFrame:
+    return table.select(
+        *by,
+        *[
+            F.coalesce(F.get("_at", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"p{p}")
+            for i, p in enumerate(percents)
+        ],
+    )
+
+
+def _gathered(
+    df: DataFrame, value: str, by: Sequence[str], percents: Sequence[int]
+) -> DataFrame:
+    at = F.percentile(F.col(value).cast("double"), [p / 100 for p in percents])
+    return _columns(df.groupBy(*by).agg(at.alias("_at")), by, percents)
+
+
+def _searched(
+    df: DataFrame, value: str, by: Sequence[str], percents: Sequence[int]
+) -> DataFrame:
+    positions = [F.lit(p / 100) * (F.col("n") - 1) for p in percents]
+    low = [F.floor(position).cast("bigint") for position in positions]
+    high = [F.least(rank + 1, F.col("n") - 1) for rank in low]
+    found = values_at_ranks(df, by, value, [*low, *high])
     # at most two rows per percentile reach a group
     table = found.groupBy(*by).agg(
         F.map_from_entries(
             F.collect_list(F.struct("rank", F.col("value").cast("double")))
-        ).alias("_at"),
+        ).alias("_values"),
         F.max("n").alias("n"),
     )
-
-    def interpolated(p: int):
-        low = F.floor(positions[p]).cast("bigint")
-        high = F.least(low + 1, F.col("n") - 1)
-        below = F.try_element_at("_at", low)
-        above = F.try_element_at("_at", high)
-        return F.coalesce(below + (above - below) * (positions[p] - low), F.lit(0.0))
-
-    return table.select(*by, *[interpolated(p).alias(f"p{p}") for p in percents])
+    below = [F.try_element_at("_values", rank) for rank in low]
+    above = [F.try_element_at("_values", rank) for rank in high]
+    at = [
+        b + (a - b) * (position - rank)
+        for b, a, position, rank in zip(below, above, positions, low, strict=True)
+    ]
+    return _columns(table.withColumn("_at", F.array(*at)), by, percents)
 
 
 def approximate_percentiles(
@@ -64,10 +90,4 @@ def approximate_percentiles(
             value, F.array(*[F.lit(p / 100) for p in percents]), F.lit(accuracy)
         ).alias("_at")
     )
-    return table.select(
-        *by,
-        *[
-            F.coalesce(F.get("_at", i).cast("double"), F.lit(0.0)).alias(f"p{p}")
-            for i, p in enumerate(percents)
-        ],
-    )
+    return _columns(table, by, percents)

@@ -161,6 +161,22 @@ def price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got, "p25", "p50", "p75", "p90", "p95", digits=6)
 
 
+@query(
+    "percentiles_spread",
+    "SELECT l_returnflag, l_linestatus, "
+    + ", ".join(
+        f"round(quantile_cont(l_extendedprice, {p / 100}), 6) AS p{p}" for p in (10, 50, 99)
+    )
+    + " FROM lineitem GROUP BY l_returnflag, l_linestatus",
+)
+def spread_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way large groups take, whatever the size of the table."""
+    rows = table(spark, sf_dir, "lineitem")
+    keys = ["l_returnflag", "l_linestatus"]
+    got = percentiles(rows, "l_extendedprice", keys, (10, 50, 99), gather_limit=0)
+    return rounded(got, "p10", "p50", "p99", digits=6)
+
+
 @query(
     "percentile_bounds",
     """SELECT round(min(value), 6) AS p0, round(quantile_cont(value, 0.5), 6) AS p50,

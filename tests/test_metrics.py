@@ -163,14 +163,15 @@ def interpolate(values, p):
     return values[low] + (values[low + 1] - values[low]) * (index - low)
 
 
-def test_percentiles(spark):
+@pytest.mark.parametrize("gather_limit", [0, 10**6])
+def test_percentiles(spark, gather_limit):
     rng = random.Random(4)
     rows = [("hot", 1.0)] * 300 + [("hot", rng.random() * 100) for _ in range(200)]
     rows += [("one", 5.0), (None, 2.0), (None, 4.0), ("gone", None)]
     rows += [("many", float(i)) for i in rng.sample(range(10_000), 700)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     percents = (0, 25, 50, 75, 90, 95, 100)
-    got = {r.g: r for r in percentiles(df, "v", ["g"], percents).collect()}
+    got = {r.g: r for r in percentiles(df, "v", ["g"], percents, gather_limit).collect()}
     assert set(got) == {"hot", "one", None, "many"}
     for group, row in got.items():
         values = [v for g, v in rows if g == group]
@@ -184,9 +185,11 @@ def test_percentiles(spark):
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=40))
 def test_percentiles_property(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    row = percentiles(df, "v").first()
+    row = percentiles(df, "v", gather_limit=0).first()
+    gathered = percentiles(df, "v").first()
     for p in (25, 50, 75, 90, 95):
-        assert close(row[f"p{p}"], interpolate([float(v) for v in values], p))
+        want = interpolate([float(v) for v in values], p)
+        assert close(row[f"p{p}"], want) and close(gathered[f"p{p}"], want)
 
 
 def test_sampling_is_the_same_either_way(spark, monkeypatch):
