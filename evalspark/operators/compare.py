@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.reporting import three_decimals
+from evalspark.functions.reporting import percent, three_decimals
 
 COMPARED = ("accuracy", "total_samples", "pass_at_1", "pass_at_3")
 
@@ -38,6 +38,21 @@ def wide_comparison(grid: DataFrame, models: Sequence[str], value: str = "accura
     return grid.groupBy("dataset").pivot("model", list(models)).agg(F.first(value))
 
 
+def summary_lines(metrics: DataFrame) -> DataFrame:
+    """``(dataset, line)``: one sentence per metrics row."""
+    return metrics.select(
+        "dataset",
+        F.concat(
+            "dataset",
+            F.lit(" completed: "),
+            percent(F.col("accuracy")),
+            F.lit(" accuracy ("),
+            F.col("total_samples"),
+            F.lit(" samples)"),
+        ).alias("line"),
+    )
+
+
 def report_lines(grid: DataFrame) -> DataFrame:
     """Markdown report as ``(dataset, line_no, model, line)``; order by the first three.
 
@@ -77,3 +92,12 @@ def report_lines(grid: DataFrame) -> DataFrame:
         ).alias("line"),
     )
     return heading.unionByName(rows)
+
+
+def with_title(lines: DataFrame) -> DataFrame:
+    """Report lines below the title, which sorts before every dataset."""
+    title = [("", 0, "", "# Model Comparison Report"), ("", 1, "", "")]
+    head = lines.sparkSession.createDataFrame(
+        title, "dataset string, line_no int, model string, line string"
+    )
+    return head.unionByName(lines)

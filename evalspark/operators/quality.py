@@ -56,6 +56,7 @@ def raw_check(
         text = F.concat(F.lit(f"Missing required field '{name}' in sample "), sample)
         return J.field(record, name).isNull(), text
 
+    # The wording of the messages, here and below.
     problem_missing, problem_text = missing("problem")
     answer_missing, answer_text = missing("answer")
     empty = ~(J.truthy(J.field(record, "problem")) & J.truthy(J.field(record, "answer")))

@@ -6,7 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.operators.compare import comparison_documents, comparison_grid, report_lines
+from evalspark.operators.compare import (
+    comparison_documents,
+    comparison_grid,
+    report_lines,
+    with_title,
+)
 from evalspark.sinks.tables import read_run_table, save_jsonl, write_text_lines
 
 
@@ -27,6 +32,9 @@ def compare_runs(
         out = out_dir.rstrip("/")
         save_jsonl(comparison_documents(grid), f"{out}/model_comparison", mode="overwrite")
         write_text_lines(
-            report_lines(grid), ["dataset", "line_no", "model"], "line", f"{out}/comparison_report"
+            with_title(report_lines(grid)),
+            ["dataset", "line_no", "model"],
+            "line",
+            f"{out}/comparison_report",
         )
     return grid

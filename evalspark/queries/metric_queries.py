@@ -11,6 +11,7 @@ from evalspark.operators.compare import (
     comparison_documents,
     comparison_grid,
     report_lines,
+    summary_lines,
     wide_comparison,
 )
 from evalspark.operators.judging import parse_verdicts
@@ -80,6 +81,20 @@ def accuracy_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.accuracy(attempts(spark, sf_dir)), "accuracy")
 
 
+@query(
+    "report_rows",
+    with_views(
+        """SELECT dataset, dataset || ' completed: ' || format('{:.1f}%', 100 * accuracy)
+                  || ' accuracy (' || n || ' samples)' AS line
+           FROM (SELECT dataset, avg(CAST(is_correct AS INT)) AS accuracy, count(*) AS n
+                 FROM verdicts GROUP BY dataset)""",
+        VERDICTS_SQL,
+    ),
+)
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_lines(M.accuracy(verdicts(spark, sf_dir), ["dataset"]))
+
+
 @query(
     "pass_at_k",
     with_views(

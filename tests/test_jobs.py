@@ -192,6 +192,7 @@ def test_benchmark_and_comparison(spark, tmp_path, data_dir):
     got = {(r.dataset, r.model): r.total_samples for r in grid.collect()}
     assert got == {("amc", "m1"): 2, ("amc", "m2"): 6, ("math", "m1"): 1, ("math", "m2"): None}
     report = [r.value for r in spark.read.text(f"{out}/comparison/comparison_report").collect()]
+    assert report[:2] == ["# Model Comparison Report", ""]
     assert report.index("## AMC") < report.index("## MATH")
     assert {r.run_id for r in read_run_table(spark, f"{out}/runs").collect()} == {"1", "2"}
     summary = spark.read.json(f"{out}/summary/run_id=1").collect()
