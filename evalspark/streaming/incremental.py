@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from evalspark.functions.scoring import ratio, token_efficiency
 from evalspark.operators.metrics import DEFAULT_KS
+from evalspark.operators.sizes import broadcast_if_small
 from evalspark.plans.benchmark import run_metrics
 from evalspark.schema import RESPONSE_KEYS
 from evalspark.sources.responses import stream_responses
@@ -66,9 +67,10 @@ def evaluate_stream(
     """Judges arriving response files into ``{out_dir}/verdicts``, once per response.
 
     Each micro-batch replaces its own ``batch_id`` partition, so a repeated batch leaves no
-    copies. Re-delivered responses are folded within the batch and anti-joined to the keys
-    of earlier batches, of which only the key columns are read. Lines that cannot be read go
-    to ``{out_dir}/quarantine``.
+    copies. Re-delivered responses are folded within the batch. Of earlier batches only the key
+    columns are read, and of those only keys that arrived again are joined, without a shuffle
+    of the history while the batch is small. Lines that cannot be read go to
+    ``{out_dir}/quarantine``.
     """
     out = out_dir.rstrip("/")
 
@@ -85,11 +87,16 @@ def evaluate_stream(
         session = batch.sparkSession
         bad = batch.filter(F.col("error").isNotNull()).select("file", "raw", "error")
         replace_batch(bad, "quarantine", batch_id)
-        fresh = collapse_copies(batch.filter(F.col("error").isNull()))
+        arrived = collapse_copies(batch.filter(F.col("error").isNull())).persist()
+        fresh = arrived
         seen = _earlier_keys(session, f"{out}/verdicts", batch_id)
         if seen is not None:
-            fresh = fresh.join(seen, list(KEYS), "left_anti")
+            keys = list(KEYS)
+            arrived_keys = broadcast_if_small(arrived.select(*keys))
+            again = seen.join(arrived_keys, keys, "left_semi").distinct()
+            fresh = arrived.join(broadcast_if_small(again), keys, "left_anti")
         replace_batch(judge(fresh.drop("error", "raw")), "verdicts", batch_id)
+        arrived.unpersist()
 
     writer = (
         stream_responses(spark, results_dir, files_per_trigger)
