@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, line_dedup
-from evalspark.llm.common import table
+from evalspark.llm import exact_dedup, fingerprints, line_dedup, mixing, warc
+from evalspark.llm.common import saved, table
+from evalspark.session import scratch_path
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -51,12 +52,107 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM body JOIN groups USING (body)
 """
 
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP3_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes
+  FROM pages
+), firsts AS (SELECT payload, min(page_id) AS first_id FROM payloads GROUP BY payload)
+SELECT page_id, payload_bytes, sha256(payload) AS payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL
+    THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM payloads JOIN firsts USING (payload)
+"""
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.words_in(F.col("text")).alias("size")
+    )
+    sized = saved(docs, scratch_path(spark, "document-sizes"))
+    return mixing.mix_sources(sized, size=F.col("size")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE)
+      / 4503599627370496.0::DOUBLE AS chance
+  FROM documents
+), weighed AS (SELECT *, pow(2.0::DOUBLE, length(bin(size)) * 0.25::DOUBLE) AS weight FROM docs),
+sources AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS most,
+    [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM weighed GROUP BY source)
+), leveled AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+      - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources
+), goals AS (
+  SELECT source, source_size, least(most, coalesce(
+    max(CASE WHEN level * w <= most THEN level END) OVER () * w, most)) AS target
+  FROM leveled
+), classes AS (
+  SELECT source, weight, sum(size)::BIGINT AS words FROM weighed GROUP BY source, weight
+), tried AS (
+  SELECT c.*, g.target, g.source_size,
+    (g.target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum(weight * words) OVER (PARTITION BY c.source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rate
+  FROM classes c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source
+), rated AS (
+  SELECT * REPLACE (coalesce(max(CASE WHEN rate * weight <= 2.0::DOUBLE * (1 + 1e-12::DOUBLE) THEN rate END) OVER (PARTITION BY source), 0.0::DOUBLE) AS rate)
+  FROM tried
+), rates AS (
+  SELECT source, source_size, target, rate,
+    target - sum(floor(least(2.0::DOUBLE, rate * weight)) * words) AS rest
+  FROM rated GROUP BY source, source_size, target, rate
+), expected AS (
+  SELECT d.*, r.source_size, r.target, r.rest, least(2.0::DOUBLE, r.rate * d.weight) AS copies
+  FROM weighed d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
+), placed AS (
+  SELECT *, CASE WHEN copies > floor(copies) AND size > 0
+    THEN chance / (1 - chance) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS q
+  FROM expected
+), run AS (
+  SELECT row, source, rest, q, sum(size) OVER (PARTITION BY source ORDER BY q) AS through
+  FROM placed WHERE q IS NOT NULL
+), cuts AS (
+  SELECT source, arg_min(q, (abs(through - rest), q)) AS cut
+  FROM run WHERE abs(through - rest) < rest GROUP BY source
+)
+SELECT doc_id, size, p.source_size, target,
+  (floor(copies)::BIGINT + CASE WHEN q <= cut THEN 1 ELSE 0 END) * size AS taken
+FROM placed p LEFT JOIN cuts c ON p.source IS NOT DISTINCT FROM c.source
+"""
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_warc": op3_warc,
+    "op4_mix_sources": op4_mix_sources,
+    "op6_fingerprints": op6_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
+    "op3_warc": OP3_SQL,
+    "op4_mix_sources": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
