@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, fingerprints, line_dedup, mixing, warc
+from evalspark.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, quality, warc
 from evalspark.llm.common import saved, table
 from evalspark.session import scratch_path
 
@@ -142,12 +142,55 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_dedup.near_duplicates(docs, words=3, numerator=85, denominator=100).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s
+  FROM words
+), items AS (SELECT row, unnest(s) AS item FROM sets),
+shared AS (
+  SELECT a.row AS a, b.row AS b, count(*) AS n FROM items a JOIN items b USING (item)
+  WHERE a.row < b.row GROUP BY a.row, b.row
+), links AS (
+  SELECT a, b FROM shared JOIN sets x ON x.row = a JOIN sets y ON y.row = b
+  WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT row AS a, row AS b FROM sets
+  UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+), least AS (SELECT a AS row, min(doc_id) AS component_id FROM reach JOIN sets ON sets.row = b GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM sets JOIN least USING (row)
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    held_out = quality.is_held_out(F.col("doc_id"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
     "op4_mix_sources": op4_mix_sources,
     "op6_fingerprints": op6_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
@@ -155,4 +198,5 @@ ORACLES = {
     "op3_warc": OP3_SQL,
     "op4_mix_sources": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_near_duplicates": OP9_SQL,
 }
