@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, quality, warc
+from evalspark.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, quality, token_counts, warc
 from evalspark.llm.common import saved, table
 from evalspark.session import scratch_path
 
@@ -183,12 +184,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 1024).alias("over_limit"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
     "op4_mix_sources": op4_mix_sources,
     "op6_fingerprints": op6_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
 }
