@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, quality, token_counts, warc
+from evalspark.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, token_counts, warc
 from evalspark.llm.common import saved, table
 from evalspark.session import scratch_path
 
@@ -184,6 +184,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every document, as read back from the packed files."""
+    segments, folder = packing.pack_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return packing.read_segments(segments, folder).select(
+        "doc_id",
+        "n_tokens",
+        "part",
+        "parts",
+        "length",
+        "one_reset",
+        F.sha2("ids", 256).alias("ids_sha256"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -199,6 +217,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
     "op4_mix_sources": op4_mix_sources,
+    "op5_pack_tokens": op5_pack_tokens,
     "op6_fingerprints": op6_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
