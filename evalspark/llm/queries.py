@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, token_counts, warc
+from evalspark.llm import (
+    exact_dedup,
+    fingerprints,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    segmentations,
+    token_counts,
+    warc,
+)
 from evalspark.llm.common import saved, table
 from evalspark.session import scratch_path
 
@@ -54,6 +65,22 @@ FROM body JOIN groups USING (body)
 """
 
 
+def op2_sample_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every document, decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sampled = segmentations.sample_encodings(docs, model, samples=2).drop("text")
+    return segmentations.decode_ids(sampled, model).select(
+        "doc_id",
+        "sample",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "log_prob",
+        "log_inclusion",
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, payloads=False).select(
@@ -215,6 +242,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sample_segmentations": op2_sample_segmentations,
     "op3_warc": op3_warc,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack_tokens": op5_pack_tokens,
