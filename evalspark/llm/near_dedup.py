@@ -30,7 +30,9 @@ from evalspark.session import scratch_path
 
 TOKENS = 128
 TREES = 12
-LEAF = 128
+LEAF = 1024
+# orders that the branches of a root fix at once, so that only alike documents stay together
+ROOT_JUMP = 3
 # how far below the asked similarity the estimate from the tokens may lie, in standard deviations
 DEVIATIONS = 5.0
 # most orders that a branch may fix at once, in a node far larger than a leaf
@@ -310,7 +312,7 @@ def _confirmed(words: int, numerator: int, denominator: int):
 def _leaves(classes: DataFrame, trees: int, similarity: float) -> DataFrame:
     """``node``, ``class`` of all leaves with more than one class."""
     spark = classes.sparkSession
-    level = classes.select(_planted(trees).alias("node"), "class", "tokens", F.lit(1).alias("jump"))
+    level = classes.select(_planted(trees).alias("node"), "class", "tokens", F.lit(ROOT_JUMP).alias("jump"))
     leaves: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
         rows = saved(
