@@ -212,8 +212,8 @@ class _Path:
 def _walk(net: dict, keys: np.ndarray, round_: int, starts: list[tuple[np.ndarray, np.ndarray]]):
     """Walks all words of all documents from their states to the start of the word.
 
-    ``starts`` has the words and states of each document, in the order of the path. Returns edges
-    and words of all steps and the bounds of each document.
+    ``starts`` has the words and states of each document, in the order of the path. Returns edge, word and
+    number within the word of all steps, and the bounds of each document.
     """
     counts = np.array([len(w) for w, _ in starts], dtype=np.int64)
     words = np.concatenate([w for w, _ in starts]) if len(starts) else np.zeros(0, np.int64)
@@ -244,7 +244,8 @@ def _walk(net: dict, keys: np.ndarray, round_: int, starts: list[tuple[np.ndarra
     for turn, (item, edge) in enumerate(found):
         edges[place[item] + turn] = edge
     bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-    return edges, np.repeat(words, steps), bounds
+    turns = np.arange(len(edges)) - np.repeat(place, steps)
+    return edges, np.repeat(words, steps), turns, bounds
 
 
 def _uniform_key(keys: np.ndarray, round_: int, words: np.ndarray) -> np.ndarray:
@@ -289,19 +290,17 @@ class Sampler:
         starts = [(np.arange(len(d))[::-1], d[::-1]) for d in documents]
         active = list(range(count))
         for round_ in range(self.samples):
-            edges, words, bounds = _walk(net, keys[active], round_, starts)
+            edges, words, turns, bounds = _walk(net, keys[active], round_, starts)
             logs = net["log"][edges]
-            run = np.cumsum(logs)
-            before = run - logs
-            u = _uniform(_uniform_key(np.repeat(keys[active], np.diff(bounds)), round_, words), edges, 7)
+            owners = np.repeat(keys[active], np.diff(bounds))
+            u = _uniform(_uniform_key(owners, round_, words), turns, 7)
             nexts = []
-            lows = bounds[:-1].tolist()
             for place, doc in enumerate(active):
-                low, high = lows[place], int(bounds[place + 1])
+                low, high = int(bounds[place]), int(bounds[place + 1])
                 head_edges, head_words, head_before, head_log, value = heads[place]
-                base = head_log - (before[low] if high > low else 0.0)
-                own = before[low:high] + base
-                log_prob = float(run[high - 1] + base) if high > low else head_log
+                run = head_log + np.cumsum(logs[low:high])
+                own = run - logs[low:high]
+                log_prob = float(run[-1]) if high > low else head_log
                 path = _Path(
                     np.concatenate([head_edges, edges[low:high]]),
                     np.concatenate([head_words, words[low:high]]),

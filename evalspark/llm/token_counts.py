@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import output_schema, replaced, slices, strings
 
 # units, pieces and prefixes that a task remembers, each; those of the half before stay at hand
-MEMORY = 150_000
+MEMORY = 250_000
 SHORT = (2, 1)
 # characters that some tokenizer may take for blanks
 BLANK_CANDIDATES = (
@@ -99,7 +99,7 @@ class PrefixCounter:
             self.former, self.units = self.units, {}
         if len(self.pieces) > MEMORY:
             self.pieces = {}
-        if len(self.last) > 2 * MEMORY:
+        if len(self.last) > 4 * MEMORY:
             self.last = {b"": (-1, 0)}
 
     def _fit(self, left: int, right: int) -> bool:
