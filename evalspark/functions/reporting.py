@@ -35,7 +35,8 @@ def fixed(number: Column, digits: int) -> Column:
     units = scaled.cast("bigint")
     rest = F.when(units.cast("double") < scaled, 1).otherwise(0)
     numerator = units.cast("decimal(19,0)") * F.lit(2 * 10**digits) + rest
-    return _with_point(_half_even(numerator, scale.cast("decimal(19,0)") * 2), digits)
+    outside = F.raise_error(F.lit("fixed() takes numbers in [0, 512)")).cast("string")
+    return F.when((number < 0) | (number >= 512), outside).otherwise(_with_point(_half_even(numerator, scale.cast("decimal(19,0)") * 2), digits))
 
 
 def three_decimals(number: Column) -> Column:

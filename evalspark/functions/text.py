@@ -14,7 +14,6 @@ WHITESPACE = (
 WHITESPACE_CLASS = f"[{WHITESPACE}]"
 
 THINK_END = "</think>"
-OUTPUT_TAIL = 1000
 CHARS_PER_TOKEN = 4
 
 
@@ -27,13 +26,14 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
-def clean_output(output: Column) -> Column:
-    """What the judge sees: text after the first end-of-thinking tag, last 1000 characters."""
+def clean_output(output: Column, tail: int | None = None) -> Column:
+    """What the judge sees: text after the first end-of-thinking tag; its last ``tail`` characters
+    if given, else all of it."""
     answer_part = F.when(
         F.contains(output, F.lit(THINK_END)),
         strip(F.substr(output, F.instr(output, THINK_END) + len(THINK_END))),
     ).otherwise(output)
-    return strip(F.right(answer_part, F.lit(OUTPUT_TAIL)))
+    return strip(answer_part if tail is None else F.right(answer_part, F.lit(tail)))
 
 
 def truncate_tokens(text: Column, max_tokens: int) -> Column:
@@ -50,8 +50,8 @@ def short_name(path: Column) -> Column:
 
 def lettered_options(question: Column, choices: Column) -> Column:
     """Question followed by ``A. first``, ``B. second`` …; untouched without choices."""
-    lines = F.transform(
-        choices, lambda choice, i: F.concat(F.char(F.lit(65) + i), F.lit(". "), choice)
-    )
+    # the code point after A by its number; char() would wrap at 256
+    letter = lambda i: F.decode(F.unhex(F.lpad(F.hex(F.lit(65) + i), 8, "0")), "UTF-32")
+    lines = F.transform(choices, lambda choice, i: F.concat(letter(i), F.lit(". "), choice))
     block = F.concat(question, F.lit("\n\nOptions:\n"), F.array_join(lines, "\n"))
     return F.when(F.coalesce(F.size(choices), F.lit(0)) > 0, strip(block)).otherwise(question)

@@ -16,10 +16,13 @@ JUDGE_CONFIG = GenerationConfig(temperature=0.1, max_tokens=50)
 
 
 def clean_outputs(
-    responses: DataFrame, output: str = "model_output", max_tokens: int = 0
+    responses: DataFrame,
+    output: str = "model_output",
+    max_tokens: int = 0,
+    tail: int | None = None,
 ) -> DataFrame:
     return responses.withColumn(
-        "clean_output", truncate_tokens(clean_output(F.col(output)), max_tokens)
+        "clean_output", truncate_tokens(clean_output(F.col(output), tail), max_tokens)
     )
 
 
@@ -39,11 +42,10 @@ def judge_inputs(responses: DataFrame) -> DataFrame:
     )
 
 
-def _prompt(template: str, clean: bool) -> Column:
+def _prompt(template: str, clean: bool, tail: int | None) -> Column:
     output = F.col("model_output")
-    return judge_prompt(
-        F.col("problem"), clean_output(output) if clean else output, F.col("answer"), template
-    )
+    shown = clean_output(output, tail) if clean else output
+    return judge_prompt(F.col("problem"), shown, F.col("answer"), template)
 
 
 def _with_verdict(df: DataFrame, judgment: Column, mode: str, metadata: Column) -> DataFrame:
@@ -65,11 +67,19 @@ def judge(
     clean: bool = True,
     config: GenerationConfig = JUDGE_CONFIG,
     batch_size: int = 32,
+    tail: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Responses with ``is_correct`` and the judge's text, called in the responses' partitions."""
-    called = responses.withColumn(
+    """Responses with ``is_correct`` and the judge's text.
+
+    A judge sees the cleaned output, its last ``tail`` characters if given. It is called in the responses'
+    partitions; those of a table are packed by bytes and can be few for a slow judge, so
+    ``partitions`` deals the rows out evenly first.
+    """
+    rows = responses if partitions is None else responses.repartition(partitions)
+    called = rows.withColumn(
         "_judged",
-        model_column(_prompt(template, clean), make_judge, config, batch_size),
+        model_column(_prompt(template, clean, tail), make_judge, config, batch_size),
     ).withColumn("_judged", F.get("_judged", F.lit(0)))
     metadata = F.struct(
         F.lit("batch").alias("evaluation_mode"),

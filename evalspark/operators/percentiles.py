@@ -12,29 +12,19 @@ from evalspark.operators.ranks import values_at_ranks
 DEFAULT_PERCENTS = (25, 50, 75, 90, 95)
 
 
-# Groups of up to this many values fit the buffer of one task; larger ones are spread.
-GATHER_LIMIT = 1_000_000
-
-
 def percentiles(
     df: DataFrame,
     value: str,
     by: Sequence[str] = (),
     percents: Sequence[int] = DEFAULT_PERCENTS,
-    gather_limit: int = GATHER_LIMIT,
 ) -> DataFrame:
     """One row per group with a column ``p{percent}`` each; 0.0 for an ungrouped empty input.
 
     The position of a percentile is ``p / 100 * (n - 1)``; between two rows it is
-    interpolated linearly. A counting pass decides the way: Spark's ``percentile`` keeps a
-    group's values in one task, so it is used only while no group has more than
-    ``gather_limit``; otherwise the wanted ranks are searched in range partitions.
+    interpolated linearly. The wanted ranks are searched in range partitions, so no task
+    holds a group.
     """
-    known = df.filter(F.col(value).isNotNull())
-    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= gather_limit:
-        return _gathered(known, value, by, percents)
-    return _searched(known, value, by, percents)
+    return _searched(df.filter(F.col(value).isNotNull()), value, by, percents)
 
 
 def _columns(table: DataFrame, by: Sequence[str], percents: Sequence[int]) -> DataFrame:
@@ -47,13 +37,6 @@ def _columns(table: DataFrame, by: Sequence[str], percents: Sequence[int]) -> Da
     )
 
 
-def _gathered(
-    df: DataFrame, value: str, by: Sequence[str], percents: Sequence[int]
-) -> DataFrame:
-    at = F.percentile(F.col(value).cast("double"), [p / 100 for p in percents])
-    return _columns(df.groupBy(*by).agg(at.alias("_at")), by, percents)
-
-
 def _searched(
     df: DataFrame, value: str, by: Sequence[str], percents: Sequence[int]
 ) -> DataFrame:

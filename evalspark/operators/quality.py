@@ -13,7 +13,6 @@ from evalspark.sources.catalogue import expected_files
 from evalspark.sources.jsonl import keep_first_lines
 
 REQUIRED_FIELDS = ("problem", "answer")
-DEFAULT_CHECKED_LINES = 5
 
 # Messages fit one ordering: any unreadable line beats every field problem.
 _UNREADABLE, _FIELD, _FINE = 0, 1, 2
@@ -42,11 +41,11 @@ def complete_samples(raw: DataFrame, fields: Sequence[str] = ("question", "answe
 def raw_check(
     lines: DataFrame,
     by: Sequence[str] = ("dataset", "file"),
-    max_lines: int | None = DEFAULT_CHECKED_LINES,
+    max_lines: int | None = None,
 ) -> DataFrame:
-    """``(*by, ok, message)`` per file from its first lines; the first problem is reported.
+    """``(*by, ok, message)`` per file; the first problem is reported.
 
-    ``lines`` has ``line_idx``, ``rec_idx`` and ``value``. ``max_lines`` of None checks all.
+    ``lines`` has ``line_idx``, ``rec_idx`` and ``value``. All are checked, or the first ``max_lines``.
     """
     record = F.col("_record")
     checked = keep_first_lines(lines, max_lines).withColumn("_record", F.try_parse_json("value"))

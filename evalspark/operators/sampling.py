@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows a top-n heap per task is smaller than any shuffle.
+# The last rows of a sample are sorted when no more than this many share their digest prefix.
 HEAP_LIMIT = 10_000
 
 # Hex digits of the digest by which one round narrows the boundary: 4096 counts.
@@ -51,15 +51,13 @@ def _boundary(keyed: DataFrame, n: int) -> tuple[str, int] | None:
 def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement, all rows if there are fewer.
 
-    ``keys`` must identify a row. Small samples use a top-n heap. Larger ones find the digest
-    prefix at which the sample ends and filter by it, so no task holds the sample and nothing
-    is shuffled but the few rows that share the prefix.
+    ``keys`` must identify a row. Counts find the digest prefix at which the sample ends, and a
+    filter takes the rows below it, so no task holds the sample and nothing is shuffled but the
+    few rows that share the prefix.
     """
     if n <= 0:
         return df.limit(0)
     keyed = df.withColumn("_order", sample_key(keys, seed))
-    if n <= HEAP_LIMIT:
-        return keyed.orderBy("_order", *keys).limit(n).drop("_order")
     boundary = _boundary(keyed, n)
     if boundary is None:
         return df

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from evalspark.operators.normalize import REGISTRY, normalize_many
 from evalspark.operators.quality import (
-    DEFAULT_CHECKED_LINES,
     add_empty_files,
     dataset_verdict,
     file_verdict,
@@ -59,7 +58,7 @@ def validate(
     spark: SparkSession,
     data_dir: str,
     requested: Sequence[str] | None = None,
-    max_samples: int = DEFAULT_CHECKED_LINES,
+    max_samples: int | None = None,
 ) -> dict[str, DataFrame]:
     """Tables ``files``, ``loader``, ``datasets`` (the verdicts) and ``missing``."""
     inventory = file_inventory(spark, data_dir)
@@ -85,7 +84,7 @@ def validate(
 
 
 def simple_validate(
-    spark: SparkSession, data_dir: str, max_samples: int = DEFAULT_CHECKED_LINES
+    spark: SparkSession, data_dir: str, max_samples: int | None = None
 ) -> DataFrame:
     """``(dataset, valid)`` from the raw files alone; no test file means not valid."""
     inventory = file_inventory(spark, data_dir)

@@ -502,7 +502,7 @@ def loaded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     "reevaluate",
     with_views(
         """SELECT dataset, total_samples, accuracy, problem_count FROM (
-             SELECT dataset, count(*) * (CASE dataset WHEN 'bb' THEN 2 ELSE 1 END) AS total_samples,
+             SELECT dataset, count(*) AS total_samples,
                     round(avg(CAST(is_correct AS INT)), 9) AS accuracy, count(*) AS problem_count
              FROM judged GROUP BY dataset)""",
         TURNS_SQL,
@@ -511,7 +511,7 @@ def loaded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def reevaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch re-evaluation keeps both deliveries of a response, as two attempts."""
+    """A batch re-evaluation counts a response once, however often it was delivered."""
     metrics = reevaluate(
         spark,
         responses_dir(spark, sf_dir),
@@ -571,8 +571,7 @@ def metrics_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                   count(*) FILTER (is_correct) AS correct_samples,
                   round(avg(CAST(is_correct AS INT)), 9) AS accuracy,
                   sum(tokens_used)::BIGINT AS total_tokens
-           FROM (SELECT * FROM judged UNION ALL SELECT * FROM judged WHERE dataset = 'bb')
-           GROUP BY dataset""",
+           FROM judged GROUP BY dataset""",
         TURNS_SQL,
         RESPONSES_SQL,
         _JUDGED_SQL,
@@ -582,7 +581,7 @@ def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A complete-mode aggregate over the stream, as last emitted."""
     out = scratch_path(spark, "running")
     responses = stream_responses(spark, responses_dir(spark, sf_dir))
-    good = responses.filter(F.col("error").isNull()).drop("error", "raw", "file")
+    good = drop_redelivered(responses.filter(F.col("error").isNull())).drop("error", "raw", "file")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/metrics")
@@ -641,5 +640,5 @@ def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "run-table")
     rows = responses_of(spark, sf_dir)
     for run_id in ("007", "7", "007"):
-        write_run_table(rows.withColumn("run_id", F.lit(run_id)), path)
+        write_run_table(rows.withColumn("run_id", F.lit(run_id)), path, run_id)
     return read_run_table(spark, path, "007").select("dataset", "id", "run_id")

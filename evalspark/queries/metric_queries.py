@@ -188,7 +188,7 @@ def spread_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way large groups take, whatever the size of the table."""
     rows = table(spark, sf_dir, "lineitem")
     keys = ["l_returnflag", "l_linestatus"]
-    got = percentiles(rows, "l_extendedprice", keys, (10, 50, 99), gather_limit=0)
+    got = percentiles(rows, "l_extendedprice", keys, (10, 50, 99))
     return rounded(got, "p10", "p50", "p99", digits=6)
 
 

@@ -27,11 +27,11 @@ from evalspark.queries.views import (
 )
 
 
-def sql_clean(text: str) -> str:
-    """Text after the first end tag, last 1000 characters, stripped."""
+def sql_clean(text: str, tail: int | None = None) -> str:
+    """Text after the first end tag, its last characters if a number is given, stripped."""
     after = sql_strip(f"substr({text}, strpos({text}, '</think>') + 8)")
     part = f"CASE WHEN contains({text}, '</think>') THEN {after} ELSE {text} END"
-    return sql_strip(f"right({part}, 1000)")
+    return sql_strip(part if tail is None else f"right({part}, {tail})")
 
 
 _WRAPPED_SQL = """CASE conv_id % 4
@@ -44,20 +44,20 @@ _WRAPPED_SQL = """CASE conv_id % 4
 @query(
     "clean_output",
     with_views(
-        f"""SELECT conv_id, turn, {sql_clean('wrapped')} AS clean_output
+        f"""SELECT conv_id, turn, {sql_clean('wrapped', 1000)} AS clean_output
             FROM (SELECT *, {_WRAPPED_SQL} AS wrapped FROM turns)""",
         TURNS_SQL,
     ),
 )
 def clean_wrapped_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped = turns(spark, sf_dir).withColumn("wrapped", F.expr(_WRAPPED_SQL))
-    return clean_outputs(wrapped, "wrapped").select("conv_id", "turn", "clean_output")
+    return clean_outputs(wrapped, "wrapped", tail=1000).select("conv_id", "turn", "clean_output")
 
 
-@query("clean_documents", f"SELECT doc_id, {sql_clean('text')} AS clean_output FROM documents")
+@query("clean_documents", f"SELECT doc_id, {sql_clean('text', 1000)} AS clean_output FROM documents")
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        "doc_id", clean_output(F.col("text")).alias("clean_output")
+        "doc_id", clean_output(F.col("text"), 1000).alias("clean_output")
     )
 
 

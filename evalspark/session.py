@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # a key that a record has twice counts as its last value
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # prompts can be long; models take them in batches of tens anyway
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # a generated method past this size is never compiled by the JVM; smaller ones are
@@ -32,8 +34,8 @@ def build_session(app_name: str = "evalspark", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would be lost with its executor, so the
+    Only a local-mode session without that setting gets a temporary folder, one for the
+    session; on a cluster a machine-local folder would be lost with its executor, so the
     setting is required there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="evalspark-")
+    folder = tempfile.mkdtemp(prefix="evalspark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -35,7 +35,7 @@ def test_strip_matches_python(spark):
     ],
 )
 def test_clean_output(spark, raw, want):
-    assert apply(spark, [raw], text.clean_output) == [want]
+    assert apply(spark, [raw], lambda c: text.clean_output(c, 1000)) == [want]
 
 
 def test_truncate(spark):

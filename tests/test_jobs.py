@@ -48,7 +48,7 @@ GOOD = '{"problem":"p","answer":"a"}'
         ([GOOD, '{"problem":"p","answer":0}'], False, "Empty required field in sample 1"),
         (['{"problem":null,"answer":1}'], False, "Empty required field in sample 0"),
         (['{"answer":1}', GOOD, "{bad"], False, "JSON decode error in line 3"),
-        ([GOOD] * 5 + ["{bad"], True, "Valid JSONL with 5 samples checked"),
+        ([GOOD] * 5 + ["{bad"], False, "JSON decode error in line 6"),
     ],
 )
 def test_raw_check(spark, values, ok, message):
@@ -56,6 +56,11 @@ def test_raw_check(spark, values, ok, message):
     assert (row.ok, row.message) == (ok, message)
 
 
+def test_raw_check_of_first_lines(spark):
+    row = raw_check(lines(spark, [GOOD] * 5 + ["{bad"]), ["file"], max_lines=5).first()
+    assert (row.ok, row.message) == (True, "Valid JSONL with 5 samples checked")
+
+
 def test_is_complete(spark):
     values = ['{"question":"q","answer":"a"}', '{"question":"","answer":"a"}', '{"question":"q"}', "{bad"]
     got = lines(spark, values).select(is_complete(F.try_parse_json("value")).alias("c")).collect()
