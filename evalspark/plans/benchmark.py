@@ -42,6 +42,7 @@ class BenchmarkSettings:
     verdict_mode: str = "prefix"
     batch_size: int = 16
     judge_batch_size: int = 32
+    judge_tail: int | None = None
     partitions: int | None = None
     ks: Sequence[int] = DEFAULT_KS
     strict: bool = False
@@ -108,23 +109,25 @@ def run_benchmark(
     samples = load_samples(
         spark, settings.data_dir, settings.datasets, settings.split, settings.max_samples
     )
-    write_run_table(with_run(samples, run_id, settings.model_path), f"{out}/samples")
+    write_run_table(with_run(samples, run_id, settings.model_path), f"{out}/samples", run_id)
     readable = good_samples(read_run_table(spark, f"{out}/samples", run_id), settings.strict)
     prompts = with_chat(readable, settings.system_prompt)
     responses = generate(
         prompts, make_model, settings.generation, "messages", settings.batch_size, settings.partitions
     ).drop("messages")
-    write_run_table(responses, f"{out}/responses")
+    write_run_table(responses, f"{out}/responses", run_id)
     verdicts = judge(
         read_run_table(spark, f"{out}/responses", run_id),
         make_judge,
         settings.judge_template,
         settings.verdict_mode,
         batch_size=settings.judge_batch_size,
+        tail=settings.judge_tail,
+        partitions=settings.partitions,
     )
-    write_run_table(verdicts, f"{out}/results")
+    write_run_table(verdicts, f"{out}/results", run_id)
     metrics = run_metrics(read_run_table(spark, f"{out}/results", run_id), settings.ks)
-    write_run_table(metrics, f"{out}/metrics")
+    write_run_table(metrics, f"{out}/metrics", run_id)
     written = read_run_table(spark, f"{out}/metrics", run_id)
     write_summary(written, f"{out}/summary/run_id={run_id}", settings.ks)
     return written

@@ -24,6 +24,13 @@ def _existing_datasets(spark: SparkSession, target: str) -> set[str]:
     return {r[0] for r in table.select(F.col("dataset").cast("string")).distinct().collect()}
 
 
+def _remove(spark: SparkSession, folders: Sequence[str]) -> None:
+    """Removes folders of a table, so that splits gone from the source go too."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def migrate(
     spark: SparkSession,
     source_dir: str,
@@ -64,6 +71,8 @@ def migrate(
     lines = read_jsonl(spark, [f"{source_dir.rstrip('/')}/{name}/*.jsonl" for name in todo])
     samples = normalize_many(lines, todo)
     if not dry_run:
+        if overwrite:
+            _remove(spark, [f"{target.rstrip('/')}/dataset={name}" for name in todo])
         (
             samples.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

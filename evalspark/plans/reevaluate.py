@@ -11,6 +11,7 @@ from evalspark.operators.metrics import DEFAULT_KS
 from evalspark.plans.benchmark import run_metrics, write_summary
 from evalspark.sinks.tables import read_run_table, write_run_table
 from evalspark.sources.responses import load_responses
+from evalspark.streaming.incremental import KEYS, collapse_copies
 
 # responses -> verdicts, for example a call of judge() or verdicts_from_column()
 Judge = Callable[[DataFrame], DataFrame]
@@ -31,14 +32,20 @@ def reevaluate(
 ) -> DataFrame:
     """Judges every ``*_responses.jsonl`` of a folder and returns the metrics rows.
 
+    A response delivered more than once counts once. Lines that can't be read go to the table
+    ``quarantine`` with the reason.
+
     ``tokens`` is ``tokens_used`` for the generator's count or
     ``evaluation_metadata.tokens_used`` for the judge's.
     """
     out = out_dir.rstrip("/")
-    responses = readable(load_responses(spark, results_dir)).withColumn("run_id", F.lit(run_id))
-    write_run_table(judge(responses), f"{out}/results")
+    loaded = load_responses(spark, results_dir).withColumn("run_id", F.lit(run_id))
+    unreadable = loaded.filter(F.col("error").isNotNull())
+    write_run_table(unreadable.select("run_id", "dataset", "file", "raw", "error"), f"{out}/quarantine", run_id)
+    once = collapse_copies(loaded.filter(F.col("error").isNull()), KEYS)
+    write_run_table(judge(once.drop("error", "raw", "file")), f"{out}/results", run_id)
     metrics = run_metrics(read_run_table(spark, f"{out}/results", run_id), ks, tokens=tokens)
-    write_run_table(metrics, f"{out}/metrics")
+    write_run_table(metrics, f"{out}/metrics", run_id)
     written = read_run_table(spark, f"{out}/metrics", run_id)
     write_summary(written, f"{out}/summary/run_id={run_id}", ks)
     return written

@@ -13,7 +13,7 @@ RESPONSE_KEYS = ("dataset", "id", "generation_id")
 RESPONSE_SCHEMA = (
     "run_id string, model string, dataset string, split string, id string, "
     "generation_id int, problem string, answer string, model_output string, "
-    "tokens_used bigint, finish_reason string"
+    "tokens_used double, finish_reason string"
 )
 
 GENERATIONS_TYPE = (

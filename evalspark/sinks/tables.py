@@ -7,6 +7,7 @@ dataset is written by as many tasks as hold its rows.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,26 +30,32 @@ def save_by_dataset(df: DataFrame, base: str, name: str, dataset: str, mode: str
     )
 
 
-def write_run_table(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by run and dataset; writing a run again replaces its partitions."""
+def _run_folder(path: str, run_id: str) -> str:
+    return f"{path.rstrip('/')}/run_id={quote(run_id, safe='')}"
+
+
+def write_run_table(df: DataFrame, path: str, run_id: str) -> None:
+    """Parquet partitioned by run and dataset; writing a run again replaces all of it, also the
+    datasets that it no longer has."""
     (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RUN_KEYS)
-        .parquet(path)
+        df.drop("run_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("dataset")
+        .parquet(_run_folder(path, run_id))
     )
 
 
 def read_run_table(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """The table, or the one run's partitions."""
-    inferred = spark.read.parquet(path).schema
+    """The table, or the one run's folder alone."""
+    folder = path if run_id is None else _run_folder(path, run_id)
+    inferred = spark.read.option("basePath", path).parquet(folder).schema
     # partition values such as 20240131_101500 or 007 must stay text
     fields = [
         T.StructField(f.name, T.StringType() if f.name in RUN_KEYS else f.dataType, f.nullable)
         for f in inferred
     ]
-    typed = spark.read.schema(T.StructType(fields)).parquet(path)
-    return typed if run_id is None else typed.filter(F.col("run_id") == run_id)
+    return spark.read.schema(T.StructType(fields)).option("basePath", path).parquet(folder)
 
 
 def new_run_id(spark: SparkSession, model: str) -> str:

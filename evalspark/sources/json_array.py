@@ -9,6 +9,13 @@ from evalspark.operators.sampling import sample_n
 from evalspark.operators.sizes import MAX_BROADCAST_ROWS
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file matches a path or pattern."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return found is not None and len(found) > 0
+
+
 def read_json_array(
     spark: SparkSession,
     path: str,
@@ -22,10 +29,10 @@ def read_json_array(
     first one; many files still spread. ``num_samples`` of None or below 0 keeps all rows.
     """
     reader = spark.read.option("multiLine", True)
-    if missing_ok:
-        reader = reader.option("ignoreMissingFiles", True)
     if schema is not None:
         reader = reader.schema(schema)
+    if missing_ok and not _exists(spark, path):
+        return spark.createDataFrame([], f"{schema + ', ' if schema else ''}file string, position long")
     rows = reader.json(path).select(
         "*",
         F.col("_metadata.file_path").alias("file"),
@@ -37,9 +44,12 @@ def read_json_array(
     ).agg(F.min("_seq").alias("_first"))
     if len(rows.inputFiles()) <= MAX_BROADCAST_ROWS:  # a row per file
         first = F.broadcast(first)
+    fits = F.col("_first") <= F.col("_seq")
+    changed = F.raise_error(F.lit("the files were split differently between two reads"))
+    changed = changed.cast("bigint")
     numbered = (
-        rows.join(first, (F.col("file") == F.col("_f")) & (F.col("_part") == F.col("_p")))
-        .withColumn("position", F.col("_seq") - F.col("_first"))
+        rows.join(first, (F.col("file") == F.col("_f")) & (F.col("_part") == F.col("_p")), "left")
+        .withColumn("position", F.when(fits, F.col("_seq") - F.col("_first")).otherwise(changed))
         .drop("_part", "_seq", "_f", "_p", "_first")
     )
     if num_samples is None or num_samples < 0:
@@ -54,8 +64,12 @@ def sample_json_array(
     seed: int = 0,
     schema: str | None = None,
 ) -> DataFrame:
-    """Seeded sample without replacement; every row when n exceeds the size or is negative."""
+    """Seeded sample without replacement; every row when n exceeds the size or is negative.
+
+    Rows are drawn by file name and position, so the same files in another folder give the same sample.
+    """
     rows = read_json_array(spark, path, schema=schema)
     if num_samples < 0:
         return rows
-    return sample_n(rows, ["file", "position"], num_samples, seed)
+    named = rows.withColumn("_name", F.substring_index("file", "/", -1))
+    return sample_n(named, ["_name", "position"], num_samples, seed).drop("_name")

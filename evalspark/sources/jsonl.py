@@ -6,7 +6,7 @@ names give their order. Every line gets two numbers within its source:
 * ``line_idx`` counts physical lines, blank ones included (limits use it);
 * ``rec_idx`` counts non-blank lines (record ids use it).
 
-Blank lines are dropped after counting.
+Blank lines are dropped after counting, blanks around a record are stripped.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import is_blank
+from evalspark.functions.text import is_blank, strip
 from evalspark.operators.sizes import MAX_BROADCAST_ROWS
 
 SOURCE_PATTERN = r"^(.*?/[^/]+\.jsonl?)(?:/[^/]*)?$"
@@ -90,7 +90,7 @@ def number_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
         F.col("_file").alias("file"),
         checked(F.col("_lines_before") + line_in_block).alias("line_idx"),
         checked(F.col("_records_before") + record_in_block).alias("rec_idx"),
-        "value",
+        strip(F.col("value")).alias("value"),
     )
 
 

@@ -18,7 +18,7 @@ def dataset_of_file(path: Column) -> Column:
 
 
 def parse_responses(lines: DataFrame) -> DataFrame:
-    """Typed responses from ``(value, file)``; ``error`` marks lines that are not JSON objects.
+    """Typed responses from ``(value, file)``; ``error`` marks lines that are not JSON objects or have no id.
 
     A run without generation numbers has one response per sample, number 0.
     """
@@ -38,10 +38,12 @@ def parse_responses(lines: DataFrame) -> DataFrame:
         "r.problem",
         "r.answer",
         "r.model_output",
-        F.coalesce("r.tokens_used", F.lit(0).cast("bigint")).alias("tokens_used"),
+        F.coalesce(F.col("r.tokens_used").cast("bigint"), F.lit(0).cast("bigint")).alias("tokens_used"),
         "r.finish_reason",
         "file",
-        F.when(F.col("r._bad").isNotNull() | F.col("r").isNull(), "malformed JSON").alias("error"),
+        F.when(F.col("r._bad").isNotNull() | F.col("r").isNull(), "malformed JSON")
+        .when(F.col("r.id").isNull(), "missing id")
+        .alias("error"),
         F.col("value").alias("raw"),
         *rest,
     )

@@ -26,9 +26,7 @@ def collapse_copies(responses: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
     row per task.
     """
     row = F.struct(*[c for c in responses.columns if c not in keys])
-    order = F.struct("arrived_at", "file", "raw") if "raw" in responses.columns else F.struct(
-        "arrived_at", "file"
-    )
+    order = F.struct(*[c for c in ("arrived_at", "file", "raw") if c in responses.columns])
     return (
         responses.groupBy(*keys)
         .agg(F.min_by(row, order).alias("_row"))
@@ -40,8 +38,13 @@ def collapse_copies(responses: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
 def drop_redelivered(
     responses: DataFrame, delay: str = "1 day", keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Streaming variant with bounded state: copies within ``delay`` of the first are dropped."""
-    return responses.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(list(keys))
+    """Streaming variant with bounded state: copies within ``delay`` of the first are dropped.
+
+    Time is that of reading: a file with an old time stamp isn't late.
+    """
+    read = responses.withColumn("_read_at", F.current_timestamp())
+    unique = read.withWatermark("_read_at", delay).dropDuplicatesWithinWatermark(list(keys))
+    return unique.drop("_read_at")
 
 
 def _earlier_keys(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
