@@ -138,7 +138,7 @@ class _Archive:
         files.create_dir(root, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         self.path = f"{folder}/{self.name}"
-        self.out = files.open_output_stream(f"{root}/{self.name}")
+        self.out = files.open_output_stream(f"{root}/{self.name}", compression=None)
         self.waiting: list[bytes] | None = []
         self.held = self.records = self.size = 0
         self.compressor = zstandard.ZstdCompressor(level=3)
@@ -234,7 +234,7 @@ def _read(payloads: bool):
             for path in batch.column("path").to_pylist():
                 files, root = filesystem(path)
                 rows, held = [], 0
-                with files.open_input_stream(root) as stream:
+                with files.open_input_stream(root, compression=None) as stream:
                     for raw in frames(stream):
                         page = page_of_record(raw)
                         if not payloads:
