@@ -28,14 +28,18 @@ from evalspark.queries.file_data import (
     responses_of,
 )
 from evalspark.queries.metric_queries import rounded
-from evalspark.queries.models import make_containing_judge, make_echo_model
+from evalspark.queries.models import (
+    make_containing_judge,
+    make_echo_model,
+    make_mixed_judge,
+)
 from evalspark.queries.registry import query, table
 from evalspark.queries.sample_queries import NORMALIZED, normalize_sql
 from evalspark.queries.text_queries import sql_clean, sql_literal
 from evalspark.queries.views import TURNS_SQL, record_expression, with_views
 from evalspark.schema import GenerationConfig
 from evalspark.session import scratch_path
-from evalspark.sinks.tables import read_run_table, save_jsonl, write_run_table
+from evalspark.sinks.tables import read_run_table, register_run, save_jsonl, write_run_table
 from evalspark.sources.catalogue import (
     dataset_totals,
     file_inventory,
@@ -345,18 +349,77 @@ def joined_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "judge_file",
-    """SELECT 'containing' AS judge, 0::BIGINT AS valid_num, 0::BIGINT AS correct_num,
-              0::BIGINT AS incorrect_num, count(*) * 0.0 AS accuracy FROM orders""",
+    """SELECT 'mixed' AS judge, valid_num, correct_num, valid_num - correct_num AS incorrect_num,
+              correct_num / n AS accuracy, n AS results_num, n AS data_num
+       FROM (SELECT count(*) FILTER (o_orderkey % 10 <> 7) AS valid_num,
+                    count(*) FILTER (o_orderkey % 10 <> 7 AND o_orderkey % 4 <> 0) AS correct_num,
+                    count(*) AS n FROM orders)""",
 )
 def judged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bracketed labels are not valid under the exact rule of the statistics."""
-    return judge_file(
-        spark,
-        json_arrays_dir(spark, sf_dir),
-        scratch_path(spark, "judge-file"),
-        make_containing_judge,
-        "containing",
-        "run",
+    """The three tables of a judged file; bracketed labels are not valid in its statistics."""
+    out = scratch_path(spark, "judge-file")
+    arrays = json_arrays_dir(spark, sf_dir)
+    statistics = judge_file(spark, arrays, out, make_mixed_judge, "mixed", "run")
+    results = spark.read.parquet(f"{out}/results/run_id=run")
+    counted = results.groupBy("judge").agg(F.count("judgment").alias("results_num"))
+    info = spark.read.parquet(f"{out}/info/run_id=run").select(
+        F.col("model_name").alias("judge"), "data_num"
+    )
+    return statistics.join(counted, "judge").join(info, "judge")
+
+
+@query(
+    "runs_table",
+    """SELECT 'run ' || n_nationkey % 5 AS run_id, 'org/model-' || max(n_nationkey) AS model_path,
+              'model-' || max(n_nationkey) AS model, max(n_nationkey)::VARCHAR AS seed
+       FROM nation GROUP BY n_nationkey % 5""",
+)
+def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered runs; registering a run again replaces its row."""
+    path = scratch_path(spark, "runs")
+    # the nations are 25 rows at every size
+    for row in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+        key = row["n_nationkey"]
+        register_run(spark, path, f"run {key % 5}", f"org/model-{key}", {"seed": key})
+    return read_run_table(spark, path).select(
+        "run_id", "model_path", "model", F.col("config")["seed"].alias("seed")
+    )
+
+
+@query(
+    "run_rewritten",
+    "SELECT o_orderkey, o_orderpriority AS dataset FROM orders WHERE o_orderpriority < '3'",
+)
+def run_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run written again with fewer datasets holds no rows of those that are gone."""
+    path = scratch_path(spark, "rewritten")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("dataset")
+    )
+    write_run_table(rows, path, "1")
+    write_run_table(rows.filter(F.col("dataset") < "3"), path, "1")
+    return read_run_table(spark, path, "1").select("o_orderkey", "dataset")
+
+
+@query(
+    "migrate_overwrite",
+    """SELECT 'gsm8k' AS dataset, 'test' AS split, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0
+       UNION ALL SELECT 'amc', 'train', count(*) FROM orders WHERE o_orderkey % 2 = 1""",
+)
+def migrate_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split that has left the source leaves the table when its dataset is migrated again."""
+    base = scratch_path(spark, "resplit")
+    orders = table(spark, sf_dir, "orders")
+    record = F.to_json(F.struct(F.lit("q").alias("question"), F.col("o_orderkey").cast("string").alias("answer")))
+    halves = {"gsm8k/test": 0, "gsm8k/train": 1, "amc/train": 1}
+    for root, names in (("first", halves), ("second", {"gsm8k/test": 0})):
+        for name in names:
+            half = orders.filter(F.col("o_orderkey") % 2 == halves[name])
+            half.select(record.alias("value")).write.text(f"{base}/{root}/{name}.jsonl")
+    migrate(spark, f"{base}/first", f"{base}/table").collect()
+    migrate(spark, f"{base}/second", f"{base}/table", overwrite=True).collect()
+    return spark.read.parquet(f"{base}/table").groupBy("dataset", "split").agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 

@@ -23,6 +23,21 @@ def make_containing_judge():
     return judge
 
 
+def make_mixed_judge():
+    """As the judge above with plain labels, but bracketed ones for outputs with a key ending in 7."""
+
+    def judge(prompts, config):
+        results = []
+        for prompt in prompts:
+            output = _OUTPUT.search(prompt).group(1)
+            text = "Correct" if _ANSWER.search(prompt).group(1) in output else "Incorrect"
+            text = f"[{text}]" if output.split(" ")[2].endswith("7") else text
+            results.append([{"text": text, "tokens_used": 1, "finish_reason": "stop"}])
+        return results
+
+    return judge
+
+
 def make_echo_model():
     """Answers with the last message, shortened for odd generations."""
 

@@ -233,13 +233,13 @@ def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""SELECT rec_idx FROM parsed
             WHERE {sql_truthy("json_extract(j, '$.question')")}
               AND {sql_truthy("json_extract(j, '$.answer')")}""",
-        records_sql("generic"),
+        records_sql("gsm8k"),
         _PARSED,
     ),
 )
 def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose question and answer hold something; null, empty and zero do not count."""
-    return complete_samples(records(spark, sf_dir, "generic")).select("rec_idx")
+    return complete_samples(records(spark, sf_dir, "gsm8k")).select("rec_idx")
 
 
 @query(
@@ -403,9 +403,9 @@ def sampled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sample_n_large",
     """SELECT event_id, event_type FROM events
-       ORDER BY md5('3:' || event_id), event_id LIMIT 20000""",
+       ORDER BY md5('3:' || event_id), event_id LIMIT 4000""",
 )
 def sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample past the heap limit (all rows where the table is smaller)."""
+    """A sample of some thousand rows, smaller than the table from 4,000 events on."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return sample_n(rows, ["event_id"], 20_000, seed=3)
+    return sample_n(rows, ["event_id"], 4_000, seed=3)
