@@ -192,12 +192,25 @@ def progress(df: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
 
 
 def metrics_documents(
-    metrics: DataFrame, ks: Sequence[int] = DEFAULT_KS, info: Sequence[str] = ()
+    metrics: DataFrame,
+    ks: Sequence[int] = DEFAULT_KS,
+    info: Sequence[str] = (),
+    grouped: DataFrame | None = None,
 ) -> DataFrame:
     """``(dataset, document)``: the nested JSON form of ``comprehensive`` rows.
 
-    ``info`` names further columns for ``dataset_info``.
+    ``info`` names further columns for ``dataset_info``; ``grouped`` has the rows of
+    ``group_metrics`` by dataset, which go in by the group's name.
     """
+    figures = "accuracy double, count bigint, correct_count bigint"
+    if grouped is None:
+        metrics = metrics.withColumn("_groups", F.lit(None).cast(f"map<string,struct<{figures}>>"))
+    else:
+        entry = F.struct("group_name", F.struct("accuracy", "count", "correct_count"))
+        by_name = grouped.groupBy("dataset").agg(
+            F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("_groups")
+        )
+        metrics = metrics.join(by_name, "dataset", "left")
     no_confidence = F.col("avg_confidence").isNull()
     confidence = F.when(
         ~no_confidence, F.struct("avg_confidence", "min_confidence", "max_confidence")
@@ -212,7 +225,9 @@ def metrics_documents(
         F.struct(
             "total_tokens", "avg_tokens_per_sample", "avg_tokens_per_correct", "token_efficiency"
         ).alias("token_efficiency"),
-        F.create_map().cast("map<string,string>").alias("group_metrics"),
+        F.coalesce(
+            "_groups", F.create_map().cast(f"map<string,struct<{figures}>>")
+        ).alias("group_metrics"),
         F.coalesce(
             F.from_json(F.to_json(confidence), "map<string,double>"),
             F.create_map().cast("map<string,double>"),

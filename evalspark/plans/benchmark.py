@@ -13,7 +13,13 @@ from evalspark.functions.reporting import iso_stamp
 from evalspark.functions.text import short_name
 from evalspark.operators.inference import ModelFactory, generate
 from evalspark.operators.judging import judge
-from evalspark.operators.metrics import DEFAULT_KS, comprehensive, metric_rows, metrics_documents
+from evalspark.operators.metrics import (
+    DEFAULT_KS,
+    comprehensive,
+    group_metrics,
+    metric_rows,
+    metrics_documents,
+)
 from evalspark.operators.normalize import good_samples, normalize_many
 from evalspark.schema import GenerationConfig
 from evalspark.sinks.tables import (
@@ -82,11 +88,15 @@ def run_metrics(
     )
 
 
-def write_summary(metrics: DataFrame, path: str, ks: Sequence[int] = DEFAULT_KS) -> None:
-    """Metrics documents, one JSON line per dataset."""
-    documents = metrics_documents(
-        metrics, ks, [c for c in ("model", "evaluation_timestamp") if c in metrics.columns]
-    )
+def write_summary(
+    metrics: DataFrame,
+    path: str,
+    ks: Sequence[int] = DEFAULT_KS,
+    grouped: DataFrame | None = None,
+) -> None:
+    """Metrics documents, one JSON line per dataset, with the metrics of problem groups if given."""
+    info = ("model", "model_path", "evaluation_timestamp")
+    documents = metrics_documents(metrics, ks, [c for c in info if c in metrics.columns], grouped)
     save_jsonl(documents, path, mode="overwrite")
 
 
@@ -95,9 +105,12 @@ def run_benchmark(
     settings: BenchmarkSettings,
     make_model: ModelFactory,
     make_judge: ModelFactory,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Runs all datasets as one job and returns the metrics rows.
 
+    ``groups`` (``group_name, sample_id``) names groups of problems, whose metrics the summary gets.
+
     The lineage is cut by a written table after each stage: the raw files are read once,
     and model calls are expensive and need not repeat themselves. Unreadable records stay in
     the samples table with their ``error``.
@@ -126,8 +139,13 @@ def run_benchmark(
         partitions=settings.partitions,
     )
     write_run_table(verdicts, f"{out}/results", run_id)
-    metrics = run_metrics(read_run_table(spark, f"{out}/results", run_id), settings.ks)
+    results = read_run_table(spark, f"{out}/results", run_id)
+    metrics = run_metrics(results, settings.ks)
     write_run_table(metrics, f"{out}/metrics", run_id)
     written = read_run_table(spark, f"{out}/metrics", run_id)
-    write_summary(written, f"{out}/summary/run_id={run_id}", settings.ks)
+    grouped = None
+    if groups is not None:
+        grouped = group_metrics(metric_rows(results, ("dataset",)), groups, ("dataset",))
+    described = written.withColumn("model_path", F.lit(settings.model_path))
+    write_summary(described, f"{out}/summary/run_id={run_id}", settings.ks, grouped)
     return written

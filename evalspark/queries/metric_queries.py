@@ -279,13 +279,22 @@ def _document_field(path: str, type_: str) -> Column:
     "metrics_documents",
     with_views(
         f"""SELECT dataset, total_samples, pass_at_3, total_tokens, max_confidence, problem_count,
-                   dataset AS name FROM ({_comprehensive_sql('dataset')})""",
+                   dataset AS name, third_count, third_accuracy
+            FROM ({_comprehensive_sql('dataset')}) LEFT JOIN (
+              SELECT dataset, count(*) AS third_count,
+                     round(avg(CAST(is_correct AS INT)), 9) AS third_accuracy
+              FROM attempts WHERE sample_id % 3 = 0 GROUP BY dataset) USING (dataset)""",
         ATTEMPTS_SQL,
     ),
 )
 def metrics_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested JSON form, read back by path."""
-    documents = M.metrics_documents(M.comprehensive(attempts(spark, sf_dir), ["dataset"]))
+    """The nested JSON form with a group of problems, read back by path."""
+    rows = attempts(spark, sf_dir)
+    groups = rows.filter(F.col("sample_id") % 3 == 0).select(
+        F.lit("third").alias("group_name"), "sample_id"
+    )
+    grouped = M.group_metrics(rows, groups, ["dataset"])
+    documents = M.metrics_documents(M.comprehensive(rows, ["dataset"]), grouped=grouped)
     got = documents.select(
         "dataset",
         _document_field("$.overall.total_samples", "bigint").alias("total_samples"),
@@ -294,8 +303,10 @@ def metrics_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         _document_field("$.confidence_metrics.max_confidence", "double").alias("max_confidence"),
         _document_field("$.problem_count", "bigint").alias("problem_count"),
         _document_field("$.dataset_info.name", "string").alias("name"),
+        _document_field("$.group_metrics.third.count", "bigint").alias("third_count"),
+        _document_field("$.group_metrics.third.accuracy", "double").alias("third_accuracy"),
     )
-    return rounded(got, "pass_at_3", "max_confidence")
+    return rounded(got, "pass_at_3", "max_confidence", "third_accuracy")
 
 
 @query(
