@@ -9,8 +9,8 @@ Segmentations with Gumbel noise on their log probability are searched best first
 end of the text to its start and keeps its value; at each step the pieces not taken
 are one open set, with the largest value in it drawn from a Gumbel distribution cut off at the path's. The best open set
 is split next. The first ``samples`` values are a sample without replacement; the value after them
-gives each its inclusion probability. No piece spans the start of a word, so the lattices of words are
-remembered by prefix, and all words of a batch walk at the same time.
+gives each its inclusion probability. No piece spans the start of a word, so the lattice of a batch of texts holds the
+prefixes of its distinct words once each, and all words walk at the same time.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +30,23 @@ from pyspark.sql import DataFrame
 from evalspark.llm.common import mix64, output_schema, slices, strings
 
 SPACE = "▁"
-SLICE_TEXT = 1 << 20
-# prefixes that a task remembers before it starts anew
-MEMORY = 400_000
+SLICE_TEXT = 2 << 20
+# words up to this length are laid out as a table of characters
 LONG_WORD = 48
+FILTER_BITS = 22
 # log weight of a character spelled in bytes; nothing competes with it
 SPELLED_WEIGHT = -20.0
-SHORT = (1, 2)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Vocabulary:
-    """Pieces with their log weight and id; bytes for characters that no piece has."""
+    """Pieces by the hash of their characters, with log weight and id; bytes for other characters."""
 
     def __init__(self, processor, sharpness: float):
-        size = processor.get_piece_size()
+        self.size = processor.get_piece_size()
         ids: dict[str, int] = {}
         self.byte_ids = [processor.unk_id()] * 256
-        for i in range(size):
+        for i in range(self.size):
             piece = processor.id_to_piece(i)
             if processor.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
@@ -58,13 +57,33 @@ class _Vocabulary:
         self.pieces = {
             p: (-sharpness * (math.log(rank + 1) + total), ids[p]) for rank, p in enumerate(ranked)
         }
-        self.size = size
-        # lengths, from the shortest, of the pieces that end in three characters
-        ends: dict[str, set[int]] = {}
-        for piece in ids:
-            if len(piece) > 2:
-                ends.setdefault(piece[-3:], set()).add(len(piece))
-        self.lengths = {end: (*SHORT, *sorted(found)) for end, found in ends.items()}
+        self.longest = max(map(len, ids))
+        self.powers = np.ones(self.longest, dtype=np.uint64)
+        self.powers[1:] = np.cumprod(np.full(self.longest - 1, _ODD, dtype=np.uint64))
+        hashes = np.array([self._hash(p) for p in ranked], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces have the same hash")
+        self.lengths = np.array([len(p) for p in ranked])[order]
+        self.weights = np.array([self.pieces[p][0] for p in ranked])[order]
+        self.ids = np.array([ids[p] for p in ranked], dtype=np.int64)[order]
+        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.filter[self._slots(self.hashes)] = True
+
+    def _hash(self, piece: str) -> int:
+        return sum((ord(c) + 1) * int(w) for c, w in zip(reversed(piece), self.powers)) & (1 << 64) - 1
+
+    @staticmethod
+    def _slots(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * _ODD >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+    def found(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes of pieces of a length, and the number of each piece."""
+        at = np.flatnonzero(self.filter[self._slots(hashes)])
+        number = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        same = (self.hashes[number] == hashes[at]) & (self.lengths[number] == size)
+        return at[same], number[same]
 
 
 class Lattice:
@@ -74,115 +93,116 @@ class Lattice:
     probabilities so far, and its row of output ids. State 0 is the empty prefix.
     """
 
-    def __init__(self, vocabulary: _Vocabulary):
+    def __init__(self, vocabulary: _Vocabulary, words: list[str]):
         self.vocabulary = vocabulary
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.total: list[float] = [0.0]
-        self.first: list[int] = [0]
-        # five numbers for an edge, in a row
-        self.edges: list[float] = []
-        self.frozen = 0
+        self.total = np.zeros(1)
+        self.edges: list[tuple[np.ndarray, ...]] = []
+        self.first: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
+        self.count = 0
         # a piece's output is its id; spelled characters follow
-        self.spelled: dict[str, int] = {}
-        self.arrays: dict[str, np.ndarray] = {}
-
-    def _spelled(self, character: str) -> int:
-        return self.spelled.setdefault(character, self.vocabulary.size + len(self.spelled))
-
-    def _add(self, word: str, end: int, before) -> int:
-        """A new state for ``word[:end]``; ``before`` gives the state of a shorter prefix by its length."""
-        total, pieces = self.total, self.vocabulary.pieces
-        scores, found = [], []
-        for size in self.vocabulary.lengths.get(word[end - 3 : end] if end > 2 else "", SHORT):
-            if size > end:
-                break
-            piece = pieces.get(word[end - size : end])
-            if piece is not None:
-                previous = before(word, end - size)
-                scores.append(total[previous] + piece[0])
-                found.append((previous, piece[1]))
-            elif size == 1:
+        self.spelled: dict[int, int] = {}
+        self.final = np.zeros(len(words), dtype=np.int64)
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        short = np.flatnonzero(size <= LONG_WORD)
+        if len(short):
+            order = np.array(sorted(short.tolist(), key=words.__getitem__), dtype=np.int64)
+            self._grow([words[i] for i in order.tolist()], order)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            self._grow([words[i]], np.array([i]))
+        self.net = self._arrays()
+
+    def _grow(self, words: list[str], places: np.ndarray) -> None:
+        """Adds the states of sorted words, all prefixes of a length at a time."""
+        v = self.vocabulary
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max())
+        table = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
+        characters = table.astype(np.uint64) + np.uint64(1)
+        # a prefix that the word before has as well isn't new
+        same = np.cumprod(table[1:] == table[:-1], axis=1, dtype=np.int8).sum(axis=1)
+        shared = np.concatenate([[0], np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))])
+        states = np.zeros((len(words), width + 1), dtype=np.int64)
+        for end in range(1, width + 1):
+            rows = np.flatnonzero((shared < end) & (sizes >= end))
+            base = len(self.total)
+            self._add(characters, states, rows, end)
+            new = np.zeros(len(words), dtype=np.int64)
+            new[rows] = np.arange(base, base + len(rows))
+            states[:, end] = np.maximum.accumulate(new)
+        self.final[places] = states[np.arange(len(words)), sizes]
+
+    def _add(self, characters: np.ndarray, states: np.ndarray, rows: np.ndarray, end: int) -> None:
+        """The states of the prefixes of length ``end`` of these rows."""
+        if not len(rows):
+            return
+        v = self.vocabulary
+        owners, befores, scores, outputs = [], [], [], []
+        hashes = np.zeros(len(rows), dtype=np.uint64)
+        for size in range(1, min(end, v.longest) + 1):
+            hashes += characters[rows, end - size] * v.powers[size - 1]
+            at, number = v.found(hashes, size)
+            before = states[rows[at], end - size]
+            owners.append(at)
+            befores.append(before)
+            scores.append(self.total[before] + v.weights[number])
+            outputs.append(v.ids[number])
+            if size == 1 and len(at) < len(rows):
                 # a character without a piece is spelled in bytes
-                previous = before(word, end - 1)
-                scores.append(total[previous] + SPELLED_WEIGHT)
-                found.append((previous, self._spelled(word[end - 1])))
-        state = len(total)
-        edges = self.edges
-        self.first.append(self.frozen + len(edges) // 5)
-        if len(found) == 1:
-            total.append(scores[0])
-            edges += (state, found[0][0], 1.0, 2.0, found[0][1])
-            return state
-        most = max(scores)
-        shares = [exp(x - most) for x in scores]
-        whole = sum(shares)
-        total.append(most + math.log(whole))
-        run = 0.0
-        for (previous, row), share in zip(found, shares):
-            share /= whole
-            run += share
-            edges += (state, previous, share, run, row)
+                alone = np.ones(len(rows), dtype=bool)
+                alone[at] = False
+                at = np.flatnonzero(alone)
+                before = states[rows[at], end - 1]
+                owners.append(at)
+                befores.append(before)
+                scores.append(self.total[before] + SPELLED_WEIGHT)
+                codes = (characters[rows[at], end - 1] - np.uint64(1)).tolist()
+                outputs.append(
+                    np.array(
+                        [self.spelled.setdefault(c, v.size + len(self.spelled)) for c in codes],
+                        dtype=np.int64,
+                    )
+                )
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        score = np.concatenate(scores)[order]
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        most = np.maximum.reduceat(score, starts)
+        share = np.exp(score - most[owner])
+        whole = np.add.reduceat(share, starts)
+        chance = share / whole[owner]
+        run = np.cumsum(chance)
+        run -= (run - chance)[starts][owner]
         # the last edge takes whatever number is drawn
-        edges[-2] = 2.0
-        return state
-
-    def state(self, word: str) -> int:
-        """The state of a whole word."""
-        known = self.known
-        found = known.get(word)
-        if found is not None:
-            return found
-        size = len(word)
-        if size > LONG_WORD:
-            states = [0]
-            for end in range(1, size + 1):
-                states.append(self._add(word, end, lambda _, length: states[length]))
-            return states[-1]
-        # whatever begins a known prefix is known
-        low, high = 0, size
-        while low < high - 1:
-            middle = (low + high) // 2
-            if word[:middle] in known:
-                low = middle
-            else:
-                high = middle
-        for end in range(low + 1, size + 1):
-            found = known[word[:end]] = self._add(word, end, lambda w, length: known[w[:length]])
-        return found
-
-    def freeze(self) -> dict[str, np.ndarray]:
-        """The lattice as arrays."""
-        old = self.arrays
-        if not old or self.edges:
-            table = np.array(self.edges, dtype=float).reshape(-1, 5)
-            chance = table[:, 2]
-            with np.errstate(divide="ignore"):
-                new = {
-                    "states": table[:, 0].astype(np.int64),
-                    "previous": table[:, 1].astype(np.int64),
-                    "sums": table[:, 3].copy(),
-                    "log": np.log(chance),
-                    "log_rest": np.where(
-                        chance < 1.0 - 1e-12, np.log1p(-np.minimum(chance, 1 - 1e-16)), -np.inf
-                    ),
-                    "rows": table[:, 4].astype(np.int64),
-                }
-            self.frozen += len(self.edges) // 5
-            self.edges = []
-            self.arrays = {k: np.concatenate([old[k], x]) if old else x for k, x in new.items()}
-            self.arrays["first"] = np.array(self.first, dtype=np.int64)
-            size = self.vocabulary.size
-            bytes_ = [[self.vocabulary.byte_ids[b] for b in c.encode()] for c in self.spelled]
-            sizes = np.array([1] * size + [len(o) for o in bytes_], dtype=np.int64)
-            self.arrays["output_start"] = np.cumsum(sizes) - sizes
-            self.arrays["output_size"] = sizes
-            self.arrays["output_ids"] = np.array(
-                [*range(size), *(i for o in bytes_ for i in o)], dtype=np.int32
-            )
-        return self.arrays
+        run[np.append(starts[1:], len(run)) - 1] = 2.0
+        base = len(self.total)
+        self.first.append(self.count + starts)
+        self.count += len(owner)
+        self.edges.append(
+            (base + owner, np.concatenate(befores)[order], chance, run, np.concatenate(outputs)[order])
+        )
+        self.total = np.concatenate([self.total, most + np.log(whole)])
+
+    def _arrays(self) -> dict[str, np.ndarray]:
+        kinds = (np.int64, np.int64, float, float, np.int64)
+        columns = [
+            np.concatenate([e[i] for e in self.edges]) if self.edges else np.zeros(0, kind)
+            for i, kind in enumerate(kinds)
+        ]
+        self.edges = []
+        states, previous, chance, sums, rows = columns
+        some = np.minimum(chance, 1 - 1e-16)
+        with np.errstate(divide="ignore"):
+            net = {"log": np.log(chance), "log_rest": np.where(chance < 1 - 1e-12, np.log1p(-some), -np.inf)}
+        net |= {"states": states, "previous": previous, "sums": sums, "rows": rows}
+        net["first"] = np.concatenate(self.first)
+        v = self.vocabulary
+        bytes_ = [[v.byte_ids[b] for b in chr(c).encode()] for c in self.spelled]
+        sizes = np.array([1] * v.size + [len(o) for o in bytes_], dtype=np.int64)
+        net["output_start"] = np.cumsum(sizes) - sizes
+        net["output_size"] = sizes
+        net["output_ids"] = np.array([*range(v.size), *(i for o in bytes_ for i in o)], dtype=np.int32)
+        return net
 
 
 def _uniform(key: np.ndarray, *counters) -> np.ndarray:
@@ -259,27 +279,24 @@ class Sampler:
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.lattice = Lattice(_Vocabulary(self.processor, sharpness))
+        self.vocabulary = _Vocabulary(self.processor, sharpness)
+        self.net = Lattice(self.vocabulary, []).net
         self.samples = samples
-        spanning = any("\n" in p for p in self.lattice.vocabulary.pieces)
+        spanning = any("\n" in p for p in self.vocabulary.pieces)
         self.unit = re.compile(
             f"{SPACE}*[^{SPACE}]+|{SPACE}+" if spanning else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
         )
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[list[_Path]]:
         """The paths of each text, best value first."""
-        lattice = self.lattice
-        if len(lattice.total) > MEMORY:
-            lattice.reset()
-        get, state = lattice.known.get, lattice.state
-        documents = []
-        for text in texts:
-            units = self.unit.findall(self.processor.normalize(text))
-            states = [get(u) for u in units]
-            documents.append(
-                np.array([state(u) if s is None else s for u, s in zip(units, states)], dtype=np.int64)
-            )
-        net = lattice.freeze()
+        units = [self.unit.findall(self.processor.normalize(text)) for text in texts]
+        place = {name: i for i, name in enumerate(dict.fromkeys(chain.from_iterable(units)))}
+        lattice = Lattice(self.vocabulary, list(place))
+        documents = [
+            lattice.final[np.fromiter(map(place.__getitem__, names), np.int64, len(names))]
+            for names in units
+        ]
+        self.net = net = lattice.net
         count = len(texts)
         paths: list[list[_Path]] = [[] for _ in range(count)]
         open_: list[list[tuple]] = [[] for _ in range(count)]
@@ -363,8 +380,8 @@ class Sampler:
         return head, (words, onward)
 
     def ids(self, paths: list[_Path]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of paths, one after the other, and the offset of each."""
-        net = self.lattice.freeze()
+        """Token ids of paths of the last sample, one after the other, and the offset of each."""
+        net = self.net
         rows = [net["rows"][p.edges[::-1]] for p in paths]
         flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
         sizes = net["output_size"][flat]
