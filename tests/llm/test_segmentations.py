@@ -21,7 +21,7 @@ def library():
 
 def segmentations_of(sampler, library, text):
     """Log probabilities of all segmentations, by enumeration."""
-    pieces, normal = sampler.lattice.vocabulary.pieces, library.normalize(text)
+    pieces, normal = sampler.vocabulary.pieces, library.normalize(text)
     out = {}
 
     def extend(at, ids, weight):
@@ -85,14 +85,14 @@ def test_all_segmentations_of_a_short_text(library):
     assert segmentations.log_inclusion(paths[-1].log_prob, -math.inf) == 0.0
 
 
-def test_memory_starts_anew(monkeypatch, library):
-    monkeypatch.setattr(segmentations, "MEMORY", 30)
+def test_samples_do_not_depend_on_the_batch(library):
     sampler = segmentations.Sampler(PATH, 2)
-    for text in ("some words here", "other words there", "some words here"):
-        (paths,) = sampler.sample([text], keys(1))
-        assert all(library.decode(list(i)) == text for i in lists(sampler, paths))
-        first = lists(sampler, paths)
-    assert first == lists(sampler, sampler.sample(["some words here"], keys(1))[0])
+    texts, own = ["some words here", "x" * 300 + " \x00 end", "other words there"] * 3, keys(9)
+    together = [lists(sampler, paths) for paths in sampler.sample(texts, own)]
+    for i, text in enumerate(texts):
+        (paths,) = sampler.sample([text], own[i : i + 1])
+        assert lists(sampler, paths) == together[i]
+        assert all(library.decode(list(ids)) == text for ids in together[i])
 
 
 def test_table(spark, library):
