@@ -27,11 +27,29 @@ TEST_FILES = ("test.jsonl", "test.json")
 AIME_TEST_FILES = ("test2024.jsonl", "test2025-I.jsonl", "test2025-II.jsonl")
 
 
+def _entries(spark: SparkSession, folder: str) -> list[tuple[str, bool]]:
+    """Names in a folder, and whether each is a folder itself; hidden ones are left out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    named = [(status.getPath().getName(), status.isDirectory()) for status in found]
+    return [(name, is_folder) for name, is_folder in named if name[0] not in "._"]
+
+
+def _listed(spark: SparkSession, data_dir: str) -> DataFrame:
+    """``(dataset, file)`` of the folders, which are a handful; an empty folder has a null file."""
+    rows: list[tuple[str, str | None]] = []
+    for dataset, is_folder in _entries(spark, data_dir):
+        if is_folder:
+            names = [name for name, _ in _entries(spark, f"{data_dir.rstrip('/')}/{dataset}")]
+            rows += [(dataset, name) for name in names or [None]]
+    return spark.createDataFrame(rows, "dataset string, file string")
+
+
 def file_inventory(spark: SparkSession, data_dir: str) -> DataFrame:
     """``(dataset, file, bytes, size)`` per file; part files count to their folder.
 
-    Only path and length are read, never the content. Spark plans no task for an empty file,
-    so those are not listed.
+    Only path and length are read, never the content. Empty files have 0 bytes; a dataset
+    folder without files has one row with a null file.
     """
     root = re.escape(data_dir.rstrip("/"))
     files = (
@@ -45,9 +63,12 @@ def file_inventory(spark: SparkSession, data_dir: str) -> DataFrame:
         )
         .filter(F.col("dataset") != "")
     )
+    # Spark plans no task for an empty file, so the names come from the listing
+    lengths = files.groupBy("dataset", "file").agg(F.sum("length").alias("bytes"))
     return (
-        files.groupBy("dataset", "file")
-        .agg(F.sum("length").alias("bytes"))
+        _listed(spark, data_dir)
+        .join(lengths, ["dataset", "file"], "left")
+        .withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("bigint")))
         .withColumn("size", size_kb(F.col("bytes")))
     )
 
@@ -55,7 +76,7 @@ def file_inventory(spark: SparkSession, data_dir: str) -> DataFrame:
 def dataset_totals(inventory: DataFrame) -> DataFrame:
     return (
         inventory.groupBy("dataset")
-        .agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"))
+        .agg(F.count("file").alias("n_files"), F.sum("bytes").alias("bytes"))
         .withColumn("size", size_kb(F.col("bytes")))
     )
 

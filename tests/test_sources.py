@@ -103,6 +103,11 @@ def test_responses(spark, tmp_path):
         "math", "a", "27.0", 3, 0, None,
     )
     assert rows["{bad"].error == "malformed JSON" and len(rows) == 2
+    write(tmp_path / "more_responses.jsonl", '{"id":"b","tokens_used":3.0}\n{"answer":"x"}\n')
+    more = {r.raw: r for r in load_responses(spark, str(tmp_path)).collect() if r.dataset == "more"}
+    assert [(r.id, r.tokens_used, r.error) for r in more.values()] == [
+        ("b", 3, None), (None, 0, "missing id"),
+    ]
 
 
 def test_catalogue(spark, tmp_path):
@@ -117,6 +122,13 @@ def test_catalogue(spark, tmp_path):
         ("math", "test.jsonl", 2048, "2.0 KB"),
         ("odd", "readme.md", 1, "0.0 KB"),
     ]
+    write(tmp_path / "math" / "train.jsonl", "")
+    (tmp_path / "bare").mkdir()
+    more = catalogue.file_inventory(spark, str(tmp_path))
+    assert {(r.dataset, r.file, r.bytes) for r in more.collect()} >= {
+        ("math", "train.jsonl", 0), ("bare", None, 0),
+    }
+    assert {r.dataset: r.n_files for r in catalogue.dataset_totals(more).collect()}["bare"] == 0
     plan = inv._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
     splits = {
