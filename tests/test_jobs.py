@@ -21,7 +21,7 @@ from evalspark.plans.reevaluate import reevaluate
 from evalspark.plans.validation import simple_validate, validate
 from evalspark.queries.models import make_containing_judge, make_echo_model
 from evalspark.schema import GenerationConfig
-from evalspark.sinks.tables import read_run_table, register_run
+from evalspark.sinks.tables import read_run_table, register_run, write_run_table
 from evalspark.sources.catalogue import file_inventory
 from evalspark.streaming.incremental import evaluate_stream, stream_metrics
 
@@ -276,3 +276,20 @@ def test_stream_equals_batch(spark, tmp_path):
     write(folder / "part-1", [response(i, "5") for i in range(4)])
     again = {r.dataset: r.total_samples for r in run().collect()}
     assert again == {"aa": 10, "bb": 4, "cc": 1}
+
+
+def test_judge_deals_rows_out(spark):
+    rows = spark.range(20).selectExpr(
+        "'p' AS problem", "concat('It is ', id) AS model_output", "string(id) AS answer"
+    )
+    judged = judge(rows.coalesce(1), make_containing_judge, partitions=5)
+    assert judged.rdd.getNumPartitions() == 5
+    assert judged.filter("is_correct").count() == 20
+
+
+def test_rewritten_run_has_no_old_datasets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "dataset string, n int")
+    write_run_table(rows, path, "x:1")
+    write_run_table(rows.filter("dataset = 'a'"), path, "x:1")
+    assert [tuple(r) for r in read_run_table(spark, path, "x:1").select("dataset", "n", "run_id").collect()] == [("a", 1, "x:1")]
