@@ -11,6 +11,7 @@ are answered by looking them up.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterator
@@ -26,7 +27,8 @@ from evalspark.llm.common import output_schema, replaced, slices, strings
 
 # units, pieces and prefixes that a task remembers, each; those of the half before stay at hand
 MEMORY = 250_000
-SHORT = (2, 1)
+SHORT = (3, 2, 1)
+BYTES = [bytes([i]) for i in range(256)]
 # characters that some tokenizer may take for blanks
 BLANK_CANDIDATES = (
     [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680)]
@@ -72,12 +74,12 @@ class PrefixCounter:
             for word, number in content["model"]["vocab"].items()
             if all(c in letters for c in word)
         }
-        # lengths, from the longest, of the tokens that end in three bytes
+        # lengths, from the longest, of the tokens that end in four bytes
         lengths: dict[bytes, set[int]] = {}
         for word in self.ids:
-            if len(word) > 2:
-                lengths.setdefault(word[-3:], set()).add(len(word))
-        self.lengths = {end: (*sorted(found, reverse=True), 2, 1) for end, found in lengths.items()}
+            if len(word) > 3:
+                lengths.setdefault(word[-4:], set()).add(len(word))
+        self.lengths = {end: (*sorted(found, reverse=True), *SHORT) for end, found in lengths.items()}
         self.written = {n: w for w, n in content["model"]["vocab"].items()}
         special = [t["content"] for t in content.get("added_tokens", []) if t.get("special")]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -87,8 +89,8 @@ class PrefixCounter:
         kind = "".join(map(re.escape, blanks))
         self.unit = re.compile(f"[{kind}]*[^{kind}]+|[{kind}]+")
         self.fits: dict[int, bool] = {}
-        # of each prefix of a piece: its last token and the number of tokens
-        self.last: dict[bytes, tuple[int, int]] = {b"": (-1, 0)}
+        # of each prefix of a piece: its last token, and the counts of its own prefixes as bytes
+        self.last: dict[bytes, tuple[int, bytes]] = {b"": (-1, b"")}
         self.pieces: dict[str, list[int]] = {}
         self.units: dict[str, np.ndarray] = {}
         self.former: dict[str, np.ndarray] = {}
@@ -100,7 +102,7 @@ class PrefixCounter:
         if len(self.pieces) > MEMORY:
             self.pieces = {}
         if len(self.last) > 4 * MEMORY:
-            self.last = {b"": (-1, 0)}
+            self.last = {b"": (-1, b"")}
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are where they meet."""
@@ -116,27 +118,33 @@ class PrefixCounter:
     def _piece(self, piece: bytes) -> list[int]:
         """Token counts of all prefixes of a piece, by bytes."""
         last, ids, lengths, fits = self.last, self.ids, self.lengths, self.fits
-        out = []
-        for end in range(1, len(piece) + 1):
+        # whatever begins a known prefix is known
+        low, high = 0, len(piece) + 1
+        while low < high - 1:
+            middle = (low + high) // 2
+            if piece[:middle] in last:
+                low = middle
+            else:
+                high = middle
+        counts = last[piece[:low]][1]
+        for end in range(low + 1, len(piece) + 1):
             prefix = piece[:end]
-            found = last.get(prefix)
-            if found is None:
-                for size in lengths.get(prefix[-3:], SHORT):
-                    token = ids.get(prefix[-size:]) if size <= end else None
-                    if token is not None:
-                        before, count = last[prefix[:-size]]
-                        fit = fits.get(before << 20 | token)
-                        if self._fit(before, token) if fit is None else fit:
-                            found = last[prefix] = (token, count + 1)
-                            break
-            out.append(found[1])
-        return out
+            for size in lengths.get(prefix[-4:], SHORT):
+                token = ids.get(prefix[-size:]) if size <= end else None
+                if token is not None:
+                    before = last[prefix[:-size]][0]
+                    fit = fits.get(before << 20 | token)
+                    if self._fit(before, token) if fit is None else fit:
+                        counts += BYTES[counts[end - size - 1] + 1 if size < end else 1]
+                        last[prefix] = (token, counts)
+                        break
+        return list(counts)
 
     def _long_piece(self, raw: bytes) -> list[int]:
         """As ``_piece``, for a piece too long for its prefixes to be remembered."""
         states: list[tuple[int, int]] = [(-1, 0)]
         for end in range(1, len(raw) + 1):
-            for size in self.lengths.get(raw[max(0, end - 3) : end], SHORT):
+            for size in self.lengths.get(raw[max(0, end - 4) : end], SHORT):
                 token = self.ids.get(raw[end - size : end]) if size <= end else None
                 if token is not None:
                     before, count = states[end - size]
@@ -191,13 +199,14 @@ class PrefixCounter:
         if not names:
             return np.zeros(0, dtype=np.int32), ""
         units, former = self.units, self.former
-        parts = []
-        for name in names:
+        parts = list(map(units.get, names))
+        for at in [i for i, counts in enumerate(parts) if counts is None]:
+            name = names[at]
             counts = units.get(name)
             if counts is None:
                 counts = former.get(name)
                 units[name] = counts = self._unit(name) if counts is None else counts
-            parts.append(counts)
+            parts[at] = counts
         joined = np.concatenate(parts)
         lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         totals = joined[np.cumsum(lengths) - 1]
@@ -248,6 +257,7 @@ def longest_within(stored: bytes, budget: int) -> int:
 def _counted(path: str, keep_prefixes: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(path)
+        gc.disable()  # the memory holds many small values and no cycles
         for batch in batches:
             for part in slices(batch, "text"):
                 totals, stored = [], []
