@@ -4,7 +4,8 @@ A document is the set of its word shingles. Documents of equal sets form a class
 part once. Every class has a row of minwise tokens: for each of ``TOKENS`` random orders, the
 first shingle of the set. Trees branch the classes: a node chooses a few of the orders by its own
 hash, one for each branch, and its classes go on to the child of their token. Similar sets share most tokens, so
-they meet in a leaf with a probability that hardly depends on its depth; independent trees repeat this until the
+they meet in a child of the root with a known probability; below it so many branches are made that those together
+stay so at any depth. Independent trees repeat this until the
 recall is as good as one. Nodes of up to ``LEAF`` classes are leaves, in which all pairs of token rows are compared.
 
 Pairs that the tokens leave open form candidate clusters; full sets are compared within them. A cluster
@@ -39,6 +40,10 @@ DEVIATIONS = 5.0
 MAX_JUMP = 12
 # rounds of branching; what is together after so many agrees in about a hundred random orders
 MAX_ROUNDS = 8
+# below the root, so many of a node's branches keep a pair together on average, even if its tokens
+# agree less than its sets do, by so many standard deviations
+GROWTH = 3.0
+LOW_TOKENS = 2.0
 CLUSTER_SHINGLES = 4 << 20
 CLUSTER_CLASSES = 4096
 LEAST_ID = -(1 << 63)
@@ -113,14 +118,22 @@ def _token_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint16).reshape(-1, TOKENS)
 
 
-def _branches(similarity: float, orders: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """How many branches a node has when each fixes so many orders: on average, one survives."""
-    wanted = similarity ** -orders.astype(float)
+def _branches(similarity: float, orders: np.ndarray, node: np.ndarray, root: bool) -> np.ndarray:
+    """How many branches a node has when each fixes so many orders.
+
+    Of a root's, one keeps a pair at the threshold together on average. A pair in a deeper node has to stay
+    together again and again, so ``GROWTH`` branches do.
+    """
+    if root:
+        wanted = similarity ** -orders.astype(float)
+    else:
+        spread = math.sqrt(similarity * (1 - similarity) / TOKENS)
+        wanted = GROWTH * max(similarity - LOW_TOKENS * spread, similarity / 2) ** -orders.astype(float)
     chance = mix64(node ^ _ODD) / float(1 << 64)
     return np.floor(wanted).astype(np.int64) + (chance < wanted - np.floor(wanted))
 
 
-def _branched(similarity: float):
+def _branched(similarity: float, root: bool):
     """Children of (node, class, tokens, jump) rows; a jump is the number of orders a branch fixes."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +143,7 @@ def _branched(similarity: float):
             tokens = _token_matrix(batch.column("tokens"))
             node = np.asarray(batch.column("node")).astype(np.int64).view(np.uint64)
             jump = np.asarray(batch.column("jump")).astype(np.int64)
-            branches = _branches(similarity, jump, node)
+            branches = _branches(similarity, jump, node, root)
             rows = np.repeat(np.arange(len(node)), branches)
             number = np.arange(len(rows)) - np.repeat(np.cumsum(branches) - branches, branches)
             child = mix64(node[rows] + (number.astype(np.uint64) + np.uint64(1)) * _ODD)
@@ -314,9 +327,9 @@ def _leaves(classes: DataFrame, trees: int, similarity: float) -> DataFrame:
     spark = classes.sparkSession
     level = classes.select(_planted(trees).alias("node"), "class", "tokens", F.lit(ROOT_JUMP).alias("jump"))
     leaves: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
+    for depth in range(MAX_ROUNDS):
         rows = saved(
-            level.mapInArrow(_branched(similarity), "node long, class binary"),
+            level.mapInArrow(_branched(similarity, depth == 0), "node long, class binary"),
             scratch_path(spark, "path-rows"),
         )
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

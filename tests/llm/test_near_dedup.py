@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evalspark.llm import near_dedup
@@ -95,6 +96,59 @@ def test_rows_that_no_order_tells_apart(spark, monkeypatch):
     assert {r[2] for r in found(got)} == {0}
 
 
+def test_recall_of_distinct_sets_in_one_node(spark, monkeypatch):
+    # all texts share half their words, so nodes below the root are large; each is at the threshold with one other
+    monkeypatch.setattr(near_dedup, "LEAF", 4)
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for p in range(150):
+        own = [f"p{p}w{i}" for i in range(80)]
+        other = list(own)
+        # 198 shingles each, 182 shared of 214: 0.8505
+        other[-16:] = [f"q{p}w{i}" for i in range(16)]
+        rows += [(10 * p, " ".join(common + own), None, None, None), (10 * p + 1, " ".join(common + other), None, None, None)]
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(documents(spark, rows), 3, 85, 100, trees=6)
+    assert found(got) == brute([r[:2] for r in rows], 3, 85, 100)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_recall_by_depth(similarity):
+    rng = np.random.default_rng(11)
+    pairs = 400
+    first = rng.integers(0, 1 << 16, (pairs, near_dedup.TOKENS), dtype=np.uint16)
+    second = np.where(rng.random(first.shape) < similarity, first, first ^ np.uint16(1))
+    tokens = [row.tobytes() for both in zip(first, second) for row in both]
+    item = np.arange(2 * pairs)
+    node = np.full(2 * pairs, 12345, dtype=np.int64)
+    for depth, jump in enumerate([near_dedup.ROOT_JUMP, 4, 4, 4]):
+        batch = pa.RecordBatch.from_arrays(
+            [
+                pa.array(node + item // 2),
+                pa.array([int(i).to_bytes(8, "little") for i in item]),
+                pa.array([tokens[i] for i in item], pa.binary()),
+                pa.array(np.full(len(item), jump, dtype=np.int32)),
+            ],
+            names=["node", "class", "tokens", "jump"],
+        )
+        out = pa.Table.from_batches(list(near_dedup._branched(similarity, depth == 0)(iter([batch]))))
+        kids, who = out.column("node").to_numpy(), np.array([int.from_bytes(x, "little") for x in out.column("class").to_pylist()])
+        places = {}
+        for kid, i in zip(kids.tolist(), who.tolist()):
+            places.setdefault((kid, i // 2), set()).add(i)
+        together = [(kid, p) for (kid, p), both in places.items() if len(both) == 2]
+        # a tree keeps 0.76 of the pairs at the root, and few are lost below it
+        assert len({p for _, p in together}) / pairs > 0.69
+        # the deeper nodes of a pair, a few of them for speed
+        few = {}
+        for kid, p in together:
+            few.setdefault(p, []).append(kid)
+        chosen = [(kid, p) for p, all_ in few.items() for kid in all_[:20]]
+        node = np.array([kid - p for kid, p in chosen for _ in (0, 1)], dtype=np.int64)
+        item = np.array([2 * p + k for _, p in chosen for k in (0, 1)])
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
 
