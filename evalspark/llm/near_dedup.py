@@ -7,6 +7,8 @@ hash, one for each branch, and its classes go on to the child of their token. Si
 they meet in a child of the root with a known probability; below it so many branches are made that those together
 stay so at any depth. Independent trees repeat this until the
 recall is as good as one. Nodes of up to ``LEAF`` classes are leaves, in which all pairs of token rows are compared.
+Classes of a larger node are first compared in full with a few of them: pairs that these connect need no leaf.
+What few such classes can't connect, and what ``MAX_ROUNDS`` don't part, is compared block against block.
 
 Pairs that the tokens leave open form candidate clusters; full sets are compared within them. A cluster
 beyond ``CLUSTER_SHINGLES`` isn't gathered in one task: it is compared leaf by leaf. Within a
@@ -38,12 +40,16 @@ ROOT_JUMP = 3
 DEVIATIONS = 5.0
 # most orders that a branch may fix at once, in a node far larger than a leaf
 MAX_JUMP = 12
-# rounds of branching; what is together after so many agrees in about a hundred random orders
+# rounds of branching; what is together after so many is compared block against block
 MAX_ROUNDS = 8
 # below the root, so many of a node's branches keep a pair together on average, even if its tokens
 # agree less than its sets do, by so many standard deviations
 GROWTH = 3.0
 LOW_TOKENS = 2.0
+# classes with which all others of a node larger than a leaf are compared in full
+REPRESENTATIVES = 2
+# rows that a branching task makes at once
+BRANCH_ROWS = 1 << 18
 CLUSTER_SHINGLES = 4 << 20
 CLUSTER_CLASSES = 4096
 LEAST_ID = -(1 << 63)
@@ -134,29 +140,36 @@ def _branches(similarity: float, orders: np.ndarray, node: np.ndarray, root: boo
 
 
 def _branched(similarity: float, root: bool):
-    """Children of (node, class, tokens, jump) rows; a jump is the number of orders a branch fixes."""
+    """Children of (node, class, color, tokens, jump) rows; a jump is the number of orders a branch fixes."""
+
+    def children(batch: pa.RecordBatch, branches: np.ndarray) -> pa.RecordBatch:
+        tokens = _token_matrix(batch.column("tokens"))
+        node = np.asarray(batch.column("node")).astype(np.int64).view(np.uint64)
+        jump = np.asarray(batch.column("jump")).astype(np.int64)
+        rows = np.repeat(np.arange(len(node)), branches)
+        number = np.arange(len(rows)) - np.repeat(np.cumsum(branches) - branches, branches)
+        child = mix64(node[rows] + (number.astype(np.uint64) + np.uint64(1)) * _ODD)
+        path = child.copy()
+        for step in range(int(jump.max())):
+            on = jump[rows] > step
+            order = (mix64(child + np.uint64(step + 1)) % np.uint64(TOKENS)).astype(np.int64)
+            value = order.astype(np.uint64) << np.uint64(16) | tokens[rows, order].astype(np.uint64)
+            path[on] = mix64(path[on] ^ mix64(value[on] + _ODD))
+        taken = pa.array(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(path.view(np.int64)), batch.column("class").take(taken), batch.column("color").take(taken)],
+            names=["node", "class", "color"],
+        )
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = _token_matrix(batch.column("tokens"))
             node = np.asarray(batch.column("node")).astype(np.int64).view(np.uint64)
-            jump = np.asarray(batch.column("jump")).astype(np.int64)
-            branches = _branches(similarity, jump, node, root)
-            rows = np.repeat(np.arange(len(node)), branches)
-            number = np.arange(len(rows)) - np.repeat(np.cumsum(branches) - branches, branches)
-            child = mix64(node[rows] + (number.astype(np.uint64) + np.uint64(1)) * _ODD)
-            path = child.copy()
-            for step in range(int(jump.max())):
-                on = jump[rows] > step
-                order = (mix64(child + np.uint64(step + 1)) % np.uint64(TOKENS)).astype(np.int64)
-                value = order.astype(np.uint64) << np.uint64(16) | tokens[rows, order].astype(np.uint64)
-                path[on] = mix64(path[on] ^ mix64(value[on] + _ODD))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(path.view(np.int64)), batch.column("class").take(pa.array(rows))],
-                names=["node", "class"],
-            )
+            branches = _branches(similarity, np.asarray(batch.column("jump")).astype(np.int64), node, root)
+            step = max(1, BRANCH_ROWS // int(branches.max()))
+            for start in range(0, batch.num_rows, step):
+                yield children(batch.slice(start, step), branches[start : start + step])
 
     return branch
 
@@ -210,13 +223,17 @@ def _links(keys: pa.Array, members: np.ndarray, others: np.ndarray) -> pa.Record
     )
 
 
-def _leaf_pairs(numerator: int, denominator: int):
-    """Connects the classes of a leaf whose token rows leave the similarity possible."""
-    similarity = numerator / denominator
-    least = math.floor(
+def _least_tokens(similarity: float) -> int:
+    """Of how many equal tokens the similarity is still possible."""
+    return math.floor(
         TOKENS * similarity - DEVIATIONS * math.sqrt(TOKENS * similarity * (1 - similarity))
     )
 
+
+def _leaf_pairs(numerator: int, denominator: int):
+    """Connects the classes of a leaf whose token rows leave the similarity possible."""
+    least = _least_tokens(numerator / denominator)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             node = np.asarray(part.column("node"))
@@ -322,37 +339,193 @@ def _confirmed(words: int, numerator: int, denominator: int):
     return confirm
 
 
-def _leaves(classes: DataFrame, trees: int, similarity: float) -> DataFrame:
-    """``node``, ``class`` of all leaves with more than one class."""
+def _possible(numerator: int, denominator: int):
+    """The (class, rep) rows whose sizes and token rows leave the similarity possible."""
+    least = _least_tokens(numerator / denominator)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, other = np.asarray(batch.column("n_shingles")), np.asarray(batch.column("rep_shingles"))
+            can = np.minimum(own, other) * denominator >= np.maximum(own, other) * numerator
+            tokens, others = _token_matrix(batch.column("tokens")), _token_matrix(batch.column("rep_tokens"))
+            can &= (tokens == others).sum(axis=1) >= least
+            yield batch.filter(pa.array(can)).select(["class", "rep", "size"])
+
+    return possible
+
+
+def _starred(words: int, numerator: int, denominator: int):
+    """Links the classes of a group with its representative, ``rep``, whose row is among them."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            groups = np.asarray(part.column("group"))
+            names, reps = part.column("class").to_pylist(), part.column("rep").to_pylist()
+            texts = utf8(part, "text")
+            linked = []
+            for rows in np.split(np.arange(len(groups)), np.flatnonzero(np.diff(groups)) + 1):
+                hubs: dict[bytes, np.ndarray] = {}
+                others = []
+                for row in rows.tolist():
+                    items = shingle_set(texts[row], words)
+                    # a copy, or another text under the same doc_id, isn't the class's text
+                    if xxhash.xxh3_128_digest(items.tobytes()) != names[row]:
+                        continue
+                    if names[row] == reps[row]:
+                        hubs[names[row]] = items
+                    else:
+                        others.append((row, items))
+                for row, items in others:
+                    hub = hubs[reps[row]]
+                    shared = len(np.intersect1d(items, hub, assume_unique=True))
+                    if shared * denominator >= (len(items) + len(hub) - shared) * numerator:
+                        linked.append(row)
+            at = pa.array(np.array(linked, int))
+            return pa.RecordBatch.from_arrays(
+                [part.column("class").take(at), part.column("rep").take(at)], names=["a", "b"]
+            )
+
+        yield from _runs(batches, "group", work)
+
+    return star
+
+
+def _colored(
+    hot: DataFrame, classes: DataFrame, texts: DataFrame, words: int, numerator: int, denominator: int
+) -> tuple[DataFrame, DataFrame]:
+    """The classes of hot nodes with the color of a representative that they are similar to, and these links.
+
+    Classes of one color in a node are connected. The representatives of all nodes come from the same
+    orders, so that nodes with the same classes compare the same pairs. Classes are dealt out in parts; each
+    part has the text of its representative.
+    """
+    spark = hot.sparkSession
+    chosen = F.struct("class", "color", "tokens", "n_shingles")
+    reps = hot.groupBy("node").agg(
+        F.array_distinct(
+            F.array(*[F.min_by(chosen, F.xxhash64("class", F.lit(i))) for i in range(REPRESENTATIVES)])
+        ).alias("reps")
+    )
+    # a representative takes the color of an earlier one only, so that the first keeps its own
+    pairs = (
+        hot.join(reps, "node")
+        .withColumn("own", F.array_position(F.transform("reps", lambda r: r["class"]), F.col("class")))
+        .select("*", F.posexplode("reps").alias("pos", "r"))
+        .where("color <> r.color and (own = 0 or pos < own - 1)")
+    )
+    possible = pairs.select(
+        "class", "tokens", "n_shingles", "size", F.col("r.class").alias("rep"),
+        F.col("r.tokens").alias("rep_tokens"), F.col("r.n_shingles").alias("rep_shingles"),
+    ).mapInArrow(_possible(numerator, denominator), "class binary, rep binary, size long")
+    members = saved(
+        possible.groupBy("class", "rep")
+        .agg(F.max("size").alias("size"))
+        .select("class", "rep", F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / LEAF)).alias("part")),
+        scratch_path(spark, "path-members"),
+    )
+    hubs = members.select(F.col("rep").alias("class"), "rep", "part").distinct()
+    stars = saved(
+        members.unionByName(hubs)
+        .join(classes.select("class", F.col("where.k").alias("k"), F.col("where.text_hash").alias("text_hash")), "class")
+        .join(texts, ["k", "text_hash"])
+        .select(F.xxhash64("rep", "part").alias("group"), "class", "rep", "text")
+        .repartition("group")
+        .sortWithinPartitions("group")
+        .mapInArrow(_starred(words, numerator, denominator), "a binary, b binary")
+        .distinct(),
+        scratch_path(spark, "path-stars"),
+    )
+    near = (
+        pairs.select("node", "class", "pos", F.col("r.class").alias("rep"), F.col("r.color").alias("to"))
+        .join(stars.select(F.col("a").alias("class"), F.col("b").alias("rep")), ["class", "rep"])
+        .groupBy("node", "class")
+        .agg(F.min_by("to", "pos").alias("to"))
+    )
+    colored = hot.join(near, ["node", "class"], "left").withColumn("color", F.coalesce("to", "color")).drop("to")
+    return saved(colored, scratch_path(spark, "path-colors")), stars
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """``node``, ``class`` of leaves in which all pairs of a node meet, but those of its main color.
+
+    The classes of the main color and the others are cut into blocks of half a leaf; every block of
+    others meets every block.
+    """
+    half = max(1, LEAF // 2)
+    other = F.col("color") != F.col("main")
+    at = F.xxhash64("class", "node")
+    cut = nodes.select(
+        "node", "class", other.alias("other"), at.alias("at"),
+        F.ceil(F.col("others") / half).alias("a"), F.ceil((F.col("size") - F.col("others")) / half).alias("b"),
+    )
+    met = cut.select(
+        "node", "class",
+        F.when(F.col("other"), F.pmod("at", "a")).otherwise(F.col("a") + F.pmod("at", "b")).alias("i"),
+        F.explode(
+            F.sequence(F.lit(0).cast("long"), F.when(F.col("other"), F.col("a") + F.col("b")).otherwise(F.col("a")) - 1)
+        ).alias("j"),
+    )
+    return met.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "class")
+
+
+def _leaves(
+    classes: DataFrame, texts: DataFrame, trees: int, words: int, numerator: int, denominator: int
+) -> tuple[DataFrame, DataFrame]:
+    """``node``, ``class`` of all leaves with more than one class, and links ``a``, ``b`` found on the way.
+
+    Pairs that no leaf holds, though they stayed together, are connected by the links.
+    """
     spark = classes.sparkSession
-    level = classes.select(_planted(trees).alias("node"), "class", "tokens", F.lit(ROOT_JUMP).alias("jump"))
+    similarity = numerator / denominator
+    level = classes.select(
+        _planted(trees).alias("node"), "class", F.xxhash64("class").alias("color"), "tokens", F.lit(ROOT_JUMP).alias("jump")
+    )
     leaves: list[DataFrame] = []
+    links = spark.createDataFrame([], "a binary, b binary")
     for depth in range(MAX_ROUNDS):
         rows = saved(
-            level.mapInArrow(_branched(similarity, depth == 0), "node long, class binary"),
+            level.mapInArrow(_branched(similarity, depth == 0), "node long, class binary, color long"),
             scratch_path(spark, "path-rows"),
         )
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # classes of one color are connected already
+        sizes = (
+            rows.groupBy("node")
+            .agg(F.count(F.lit(1)).alias("size"), F.min("color").alias("low"), F.max("color").alias("high"))
+            .where("size > 1 and low <> high")
+            .select("node", "size")
+        )
         sized = saved(rows.join(sizes, "node"), scratch_path(spark, "path-nodes"))
         leaves.append(sized.where(F.col("size") <= LEAF).select("node", "class"))
         large = sized.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        steps = F.ceil(F.log(F.col("size") / LEAF) / math.log(1 / similarity))
-        level = large.join(classes.select("class", "tokens"), "class").select(
-            "node", "class", "tokens", F.greatest(F.lit(1), F.least(F.lit(MAX_JUMP), steps)).cast("int").alias("jump")
+        hot = saved(
+            large.join(classes.select("class", "tokens", "n_shingles"), "class"), scratch_path(spark, "path-hot")
         )
-    else:
-        # classes that no order tells apart are all alike: leaves of a part each, other parts in
-        # each tree, connect them
-        parts = F.ceil(F.col("size") / LEAF)
-        leaves.append(
-            large.select(F.xxhash64("node", F.pmod(F.xxhash64("class", "node"), parts)).alias("node"), "class")
+        colored, stars = _colored(hot, classes, texts, words, numerator, denominator)
+        links = links.unionByName(stars)
+        colors = colored.groupBy("node", "color").agg(F.count(F.lit(1)).alias("n"))
+        main = colors.groupBy("node").agg(
+            F.max_by("color", F.struct("n", "color")).alias("main"), (F.sum("n") - F.max("n")).alias("others")
+        )
+        nodes = saved(colored.join(main.where("others > 0"), "node"), scratch_path(spark, "path-large"))
+        # few others are compared with all at once
+        done = F.lit(True) if depth == MAX_ROUNDS - 1 else F.col("others") * 2 <= LEAF
+        leaves.append(_blocks(nodes.where(done)))
+        large = nodes.where(~done)
+        if large.isEmpty():
+            break
+        steps = F.ceil(F.log(F.col("size") / LEAF) / math.log(1 / similarity))
+        level = large.select(
+            "node", "class", "color", "tokens",
+            F.greatest(F.lit(1), F.least(F.lit(MAX_JUMP), steps)).cast("int").alias("jump"),
         )
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out
+    return out, links
 
 
 def near_duplicates(
@@ -368,7 +541,6 @@ def near_duplicates(
     own, each kept if the id is. ``text_hash`` is the xxhash64 of the text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    similarity = numerator / denominator
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
     described = saved(
@@ -389,7 +561,9 @@ def near_duplicates(
         ),
         scratch_path(spark, "near-classes"),
     )
-    leaves = saved(_leaves(classes, trees, similarity), scratch_path(spark, "near-leaves"))
+    texts = rows.select(key.alias("k"), "text_hash", "text")
+    leaves, stars = _leaves(classes, texts, trees, words, numerator, denominator)
+    leaves = saved(leaves, scratch_path(spark, "near-leaves"))
     candidates = (
         leaves.join(classes.select("class", "n_shingles", "tokens"), "class")
         .repartition("node")
@@ -397,7 +571,7 @@ def near_duplicates(
         .mapInArrow(_leaf_pairs(numerator, denominator), "a binary, b binary")
     )
     clusters = saved(
-        components(candidates)
+        components(candidates.unionByName(stars))
         .select(F.col("node").alias("class"), "component")
         .join(classes.select("class", "n_shingles", "where"), "class"),
         scratch_path(spark, "near-clusters"),
@@ -415,7 +589,6 @@ def near_duplicates(
     members = whole.unionByName(by_leaf).select(
         "group", "class", F.col("where.k").alias("k"), F.col("where.text_hash").alias("text_hash")
     )
-    texts = rows.select(key.alias("k"), "text_hash", "text")
     links = saved(
         members.join(texts, ["k", "text_hash"])
         .select("group", "class", "text")
@@ -425,7 +598,7 @@ def near_duplicates(
         scratch_path(spark, "near-links"),
     )
     named = classes.select("class", "first_id").join(
-        components(links).withColumnRenamed("node", "class"), "class", "left"
+        components(links.unionByName(stars)).withColumnRenamed("node", "class"), "class", "left"
     ).withColumn("component", F.coalesce("component", "class"))
     named = saved(named, scratch_path(spark, "near-components"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -127,13 +127,14 @@ def test_recall_by_depth(similarity):
             [
                 pa.array(node + item // 2),
                 pa.array([int(i).to_bytes(8, "little") for i in item]),
+                pa.array(item),
                 pa.array([tokens[i] for i in item], pa.binary()),
                 pa.array(np.full(len(item), jump, dtype=np.int32)),
             ],
-            names=["node", "class", "tokens", "jump"],
+            names=["node", "class", "color", "tokens", "jump"],
         )
         out = pa.Table.from_batches(list(near_dedup._branched(similarity, depth == 0)(iter([batch]))))
-        kids, who = out.column("node").to_numpy(), np.array([int.from_bytes(x, "little") for x in out.column("class").to_pylist()])
+        kids, who = out.column("node").to_numpy(), out.column("color").to_numpy()
         places = {}
         for kid, i in zip(kids.tolist(), who.tolist()):
             places.setdefault((kid, i // 2), set()).add(i)
@@ -149,6 +150,19 @@ def test_recall_by_depth(similarity):
         item = np.array([2 * p + k for _, p in chosen for k in (0, 1)])
 
 
+def test_members_with_a_single_link_in_a_node_that_stays_large(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 4)
+    monkeypatch.setattr(near_dedup, "MAX_ROUNDS", 1)
+    # every text is similar to the hub alone, or to the member that it follows
+    base = " ".join(f"w{i}" for i in range(200))
+    tail = [" ".join(f"t{m}x{i}" for i in range(30)) for m in range(40)]
+    rows = [(m + 1, f"{base} {t}", None, None, None) for m, t in enumerate(tail)] + [(0, base, None, None, None)]
+    rows += [(100 + m, f"{base} {t} " + " ".join(f"u{m}x{i}" for i in range(30)), None, None, None) for m, t in enumerate(tail[:10])]
+    got = near_dedup.near_duplicates(documents(spark, rows), 3, 85, 100)
+    assert found(got) == brute([r[:2] for r in rows], 3, 85, 100)
+    assert {r[2] for r in found(got)} == {0}
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
 
