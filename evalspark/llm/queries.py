@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import (
+    chat_format,
     exact_dedup,
     fingerprints,
     line_dedup,
@@ -240,6 +241,47 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# the text that a conversation about the template itself would have
+MARKS_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like marks."""
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(MARKS_TEXT).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.conversation_digests(chat_format.format_conversations(turns.unionByName(own)))
+
+
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), placed AS (
+  SELECT *, row_number() OVER o AS place, lag(role) OVER o AS before
+  FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text)
+), written AS (
+  SELECT *, replace(replace(replace(replace(text, '\', '\b'), '<turn ', '\o'), '<and/>', '\a'), '</turn>', '\c') AS body,
+    CASE WHEN place > 1 AND before IS NOT DISTINCT FROM role THEN '<and/>'
+      ELSE CASE WHEN place > 1 THEN '</turn>' ELSE '' END || '<turn ' || coalesce(replace(replace(replace(replace(replace(
+        role, '\', '\b'), '<turn ', '\o'), '<and/>', '\a'), '</turn>', '\c'), '>', '\g'), '\z') || '>' END AS lead
+  FROM placed
+), learned AS (
+  SELECT conv_id, string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY place) AS turns,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS learned,
+    count(*) AS n_turns, sum(length(lead) + length(body))::BIGINT + length('</turn>') AS formatted_chars
+  FROM written GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars,
+  sha256(learned) AS loss_sha256, formatted_chars
+FROM learned
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sample_segmentations": op2_sample_segmentations,
@@ -251,6 +293,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
+    "op11_chat_format": op11_chat_format,
 }
 
 ORACLES = {
@@ -259,4 +302,5 @@ ORACLES = {
     "op4_mix_sources": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_near_duplicates": OP9_SQL,
+    "op11_chat_format": OP11_SQL,
 }
