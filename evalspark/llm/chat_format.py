@@ -180,28 +180,28 @@ def format_conversations(
     Rows with a null conv_id are one conversation. Other columns are ignored. An empty table gives an empty table.
     The texts are shuffled once, by conversation and part. Rows that share one turn number stay in one part.
     """
+    # as a struct, a null conv_id equals itself in joins, and the parts stay where they were grouped
     rows = turns.select(
-        F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"), _part(part_turns).alias("part")
+        F.struct("conv_id").alias("key"), "turn", "role", "text", _part(part_turns).alias("part")
     )
     place = F.struct("turn", "role")
-    ends = rows.groupBy("conv_id", "part").agg(
+    ends = rows.groupBy("key", "part").agg(
         F.min(place)["role"].alias("first_role"), F.max(place)["role"].alias("last_role")
     )
-    order = Window.partitionBy("conv_id").orderBy("part")
+    order = Window.partitionBy("key").orderBy("part")
     before, after = F.lag("part").over(order), F.lead("part").over(order)
     beside = ends.select(
-        F.col("conv_id").alias("_conv_id"),
-        F.col("part").alias("_part"),
+        "key",
+        "part",
         before.isNotNull().alias("_not_first"),
         after.isNotNull().alias("_not_last"),
         (before.isNotNull() & F.lag("last_role").over(order).eqNullSafe(F.col("first_role"))).alias("_continues"),
         (after.isNotNull() & F.lead("first_role").over(order).eqNullSafe(F.col("last_role"))).alias("_continued"),
     ).where("_not_first OR _not_last")
-    parts = rows.groupBy("conv_id", "part").agg(
+    parts = rows.groupBy("key", "part").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
-    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("part") == F.col("_part"))
-    placed = parts.join(beside, same, "left")
+    placed = parts.join(beside, ["key", "part"], "left")
 
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
@@ -218,7 +218,7 @@ def format_conversations(
         )
 
     whole = placed.select(
-        "conv_id",
+        F.col("key.conv_id").alias("conv_id"),
         "part",
         (~flag("_not_last")).alias("last_part"),
         F.octet_length(first_mark).alias("_offset"),
@@ -272,41 +272,32 @@ def conversation_digests(parts: DataFrame, template: ChatTemplate = ChatTemplate
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``; a null role reads as the empty one.
     Only the parts of conversations that have several move; there a digest needs the whole text.
     """
-    several = parts.where(~(F.col("last_part") & (F.col("part") == 0)))
-    joined = (
-        several.withColumn("learned", read_learned(F.col("text"), F.col("loss_spans"), template))
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("part", "text", "learned"))).alias("parts"))
-        .select(
-            "conv_id",
-            F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"),
-            F.array_join(F.transform("parts", lambda p: p["learned"]), "").alias("learned"),
-        )
-    )
-    single = parts.where(F.col("last_part") & (F.col("part") == 0)).select(
-        "conv_id", "text", read_learned(F.col("text"), F.col("loss_spans"), template).alias("learned")
-    )
-
     def line(turn: Column) -> Column:
         return F.concat(F.coalesce(turn["role"], F.lit("")), F.lit("\n"), turn["text"], F.lit("\n"))
 
-    return single.unionByName(joined).select(
-        "conv_id",
-        let(
-            read_turns(F.col("text"), template),
+    def digests(text: Column, learned: Column) -> Column:
+        return let(
+            read_turns(text, template),
             lambda turns: F.struct(
-                F.size(turns).cast("bigint").alias("n"),
-                F.sha2(F.array_join(F.transform(turns, line), ""), 256).alias("digest"),
+                F.size(turns).cast("bigint").alias("n_turns"),
+                F.sha2(F.array_join(F.transform(turns, line), ""), 256).alias("turns_sha256"),
+                F.char_length(learned).cast("bigint").alias("loss_chars"),
+                F.sha2(learned, 256).alias("loss_sha256"),
+                F.char_length(text).cast("bigint").alias("formatted_chars"),
             ),
-        ).alias("_turns"),
-        F.char_length("learned").cast("bigint").alias("loss_chars"),
-        F.sha2("learned", 256).alias("loss_sha256"),
-        F.char_length("text").cast("bigint").alias("formatted_chars"),
-    ).select(
+        )
+
+    alone = F.col("last_part") & (F.col("part") == 0)
+    read = F.struct("part", "text", read_learned(F.col("text"), F.col("loss_spans"), template).alias("learned"))
+    marked = parts.select(
         "conv_id",
-        F.col("_turns.n").alias("n_turns"),
-        F.col("_turns.digest").alias("turns_sha256"),
-        "loss_chars",
-        "loss_sha256",
-        "formatted_chars",
+        let(read, lambda p: F.when(alone, digests(p["text"], p["learned"]))).alias("alone"),
+        F.when(~alone, read).alias("piece"),
+    )
+    grouped = marked.groupBy("conv_id").agg(
+        F.max("alone").alias("alone"), F.sort_array(F.collect_list("piece")).alias("pieces")
     )
+    text, learned = (F.array_join(F.transform("pieces", lambda p: p[f]), "") for f in ("text", "learned"))
+    return grouped.select(
+        "conv_id", F.coalesce("alone", digests(text, learned)).alias("read")
+    ).select("conv_id", "read.*")
