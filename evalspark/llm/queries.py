@@ -10,6 +10,7 @@ from evalspark.llm import (
     chat_format,
     exact_dedup,
     fingerprints,
+    lexical_search,
     line_dedup,
     mixing,
     near_dedup,
@@ -282,6 +283,40 @@ FROM learned
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    signatures = lexical_search.build_signatures(docs)
+    return lexical_search.search(docs, signatures, table(spark, sf_dir, "benchmark"), top=10)
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), lengths AS (SELECT doc, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+counts AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs) GROUP BY doc, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals
+), items AS (
+  SELECT item, item_id, unnest(list_distinct(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)
+), scores AS (
+  SELECT item, item_id, l.doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * l.n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lengths l USING (doc), totals
+  GROUP BY item, item_id, l.doc, l.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sample_segmentations": op2_sample_segmentations,
@@ -294,6 +329,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
     "op11_chat_format": op11_chat_format,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -303,4 +339,5 @@ ORACLES = {
     "op7_exact_dedup": OP7_SQL,
     "op9_near_duplicates": OP9_SQL,
     "op11_chat_format": OP11_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
