@@ -15,6 +15,7 @@ from evalspark.llm import (
     mixing,
     near_dedup,
     packing,
+    phrases,
     quality,
     segmentations,
     token_counts,
@@ -283,6 +284,44 @@ FROM learned
 """
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"), min_count=100, max_words=5, top=2000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, unnest([w[i : i + m - 1] for i in range(1, len(w) - m + 2)]) AS words
+  FROM worded, range(1, 6) AS sizes(m) WHERE len(w) >= m
+), often AS (SELECT lang, words, count(*)::HUGEINT AS f FROM grams GROUP BY lang, words HAVING count(*) >= 100),
+inner_ AS (
+  SELECT lang, unnest([words[: len(words) - 1], words[2 :]]) AS words, f FROM often WHERE len(words) > 2
+), held AS (SELECT lang, words, max(f) AS longest FROM inner_ GROUP BY lang, words),
+kept AS (
+  SELECT o.lang, o.words, o.f AS a FROM often o LEFT JOIN held h ON o.lang = h.lang AND o.words = h.words
+  WHERE len(o.words) > 1 AND (h.longest IS NULL OR 100 * h.longest < 100 * o.f)
+), cuts AS (SELECT *, unnest(range(1, len(words))) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.words, c.a, c.k, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+    JOIN often x ON x.lang = c.lang AND x.words = c.words[: c.k]
+    JOIN often y ON y.lang = c.lang AND y.words = c.words[c.k + 1 :]
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, array_to_string(words, ' ') AS phrase,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     signatures = lexical_search.build_signatures(docs)
@@ -329,6 +368,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
     "op11_chat_format": op11_chat_format,
+    "op12_phrases": op12_phrases,
     "op13_lexical_search": op13_lexical_search,
 }
 
@@ -339,5 +379,6 @@ ORACLES = {
     "op7_exact_dedup": OP7_SQL,
     "op9_near_duplicates": OP9_SQL,
     "op11_chat_format": OP11_SQL,
+    "op12_phrases": OP12_SQL,
     "op13_lexical_search": OP13_SQL,
 }
