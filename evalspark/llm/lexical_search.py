@@ -33,8 +33,10 @@ SCALE = 1000
 LENGTH_SHARE = 90
 SATURATION = 8
 
-PROBES = 4
-BITS_PER_KEY = 8
+PROBES = 5
+BITS_PER_KEY = 12
+# so many times ``top`` documents of highest bound are scored first, as some owe their bound to false presence
+PILOT = 4
 # a term that occurs 2**i times is entered i + 1 times, at most so often
 LEVELS = 6
 BLOCK_DOCS = 4096
@@ -293,8 +295,8 @@ def _candidates(path: str, blocks: int, docs: int, terms: int, top: int, best_on
                             open_ = np.flatnonzero((sums >= least) & first)
                             if last_id is not None:  # equal scores go by doc_id
                                 open_ = open_[(sums[open_] > least) | (ids[open_] <= last_id)]
-                            if best_only and len(open_) > top:
-                                open_ = open_[np.argsort(-sums[open_], kind="stable")[:top]]
+                            if best_only and len(open_) > PILOT * top:
+                                open_ = open_[np.argsort(-sums[open_], kind="stable")[: PILOT * top]]
                             found += [(number, item, int(d), int(sums[d])) for d in open_]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -397,7 +399,7 @@ def search(docs: DataFrame, signatures: DataFrame, items: DataFrame, top: int =
         )
         return rows.join(scores, ["item", "digest"]).where("score > 0").select("item", "doc_id", "score")
 
-    best = _ranked(candidates(weighted_path, best_only=True), "bound", top).drop("rank")
+    best = _ranked(candidates(weighted_path, best_only=True), "bound", PILOT * top).drop("rank")
     reached = _ranked(scored(saved(best, scratch_path(spark, "search-best"))), "score", top)
     limit = reached.where(F.col("rank") == top).select(
         "item", F.col("score").alias("least"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("last_id")
