@@ -27,13 +27,13 @@ from evalspark.llm.quotient_filter import Layout
 from evalspark.session import scratch_path
 
 NO_LANG = "und"
-TEXT_BYTES = 32 << 20
+TEXT_BYTES = 8 << 20
 BUCKETS = 64
 # numbers of the words of a bucket stay open up to so many words
 OPEN_WORDS = 8 << 20
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18
 # entries that a task holds before it writes filters, and words of text for each shard
-FILTER_ENTRIES = 1 << 22
+FILTER_ENTRIES = 1 << 21
 SHARD_WORDS = 1 << 22
 LEAST_SHARD_BITS = 5
 # bits of the bitmap of frequent phrases for each of them, and at most
@@ -165,7 +165,7 @@ def _streams(path: str):
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers(path)
         for batch in batches:
-            for part in slices(batch, "text", TEXT_BYTES):
+            for part in slices(batch, "text"):
                 streams = [numbers.stream(lang, words) for lang, words in _by_lang(part) if words]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(s + 1).astype("<u4").tobytes() for s in streams], pa.binary())], names=["ids"]
