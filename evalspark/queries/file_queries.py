@@ -48,10 +48,12 @@ from evalspark.sources.catalogue import (
 from evalspark.sources.json_array import read_json_array, sample_json_array
 from evalspark.sources.jsonl import read_jsonl, read_split
 from evalspark.sources.responses import load_responses, stream_responses
+from evalspark.streaming.history import KeyedHistory
 from evalspark.streaming.incremental import (
     collapse_copies,
     drop_redelivered,
     evaluate_stream,
+    metric_state,
     running_metrics,
     stream_metrics,
 )
@@ -627,6 +629,37 @@ def metrics_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metric_columns(stream_metrics(spark, _run_stream(spark, sf_dir)))
 
 
+@query(
+    "stream_state",
+    with_views(_run_metrics_sql("judged"), TURNS_SQL, RESPONSES_SQL, _JUDGED_SQL),
+)
+def state_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics that the stream's state has taken in batch by batch."""
+    return _metric_columns(metric_state(spark, _run_stream(spark, sf_dir)).metrics())
+
+
+@query(
+    "keyed_history",
+    """SELECT o_orderkey::VARCHAR AS id, batch_id, batch_id * 1000000 + o_custkey AS n FROM (
+         SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 4 = 0 THEN 2
+                        WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 2 = 0 THEN 0 END AS batch_id
+         FROM orders WHERE o_orderkey % 7 < 3) WHERE batch_id IS NOT NULL""",
+)
+def history_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches with keys in common; the latest row of each key asked for."""
+    history = KeyedHistory(
+        spark, scratch_path(spark, "history"), ["id"], "id string, batch bigint, n bigint"
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    key = F.col("o_orderkey").cast("string").alias("id")
+    for batch in range(4):
+        rows = orders.where(F.col("o_orderkey") % (batch + 2) == 0)
+        value = F.col("o_custkey") + batch * 1_000_000
+        history.add(rows.select(key, F.lit(batch).alias("batch"), value.alias("n")), batch)
+    wanted = orders.where(F.col("o_orderkey") % 7 < 3).select(key)
+    return history.latest(wanted).select("id", F.col("batch").cast("int").alias("batch_id"), "n")
+
+
 @query(
     "running_metrics",
     with_views(

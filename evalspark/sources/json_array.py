@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators.sampling import sample_n
 from evalspark.operators.sizes import MAX_BROADCAST_ROWS
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether any file matches a path or pattern."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return found is not None and len(found) > 0
+from evalspark.sources.folders import exists
 
 
 def read_json_array(
@@ -31,7 +25,7 @@ def read_json_array(
     reader = spark.read.option("multiLine", True)
     if schema is not None:
         reader = reader.schema(schema)
-    if missing_ok and not _exists(spark, path):
+    if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], f"{schema + ', ' if schema else ''}file string, position long")
     rows = reader.json(path).select(
         "*",

@@ -7,14 +7,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from evalspark.functions.scoring import ratio, token_efficiency
 from evalspark.operators.metrics import DEFAULT_KS
 from evalspark.operators.sizes import broadcast_if_small
 from evalspark.plans.benchmark import run_metrics
 from evalspark.schema import RESPONSE_KEYS
+from evalspark.sources.folders import partition_values
 from evalspark.sources.responses import stream_responses
+from evalspark.streaming.history import KeyedHistory
+from evalspark.streaming.state import MetricState
 
 KEYS = ("run_id", *RESPONSE_KEYS)
 
@@ -47,15 +49,15 @@ def drop_redelivered(
     return unique.drop("_read_at")
 
 
-def _earlier_keys(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Keys judged by other batches; a repeated batch does not see its own rows."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return table.filter(F.col("batch_id") != batch_id).select(
-        *[F.col(k).cast("string" if k != "generation_id" else "int") for k in KEYS]
-    )
+def verdict_history(spark: SparkSession, out_dir: str) -> KeyedHistory:
+    """Keys of the responses judged so far, by batch."""
+    schema = ", ".join(f"{k} {'int' if k == 'generation_id' else 'string'}" for k in KEYS)
+    return KeyedHistory(spark, f"{out_dir.rstrip('/')}/history", KEYS, schema)
+
+
+def metric_state(spark: SparkSession, out_dir: str) -> MetricState:
+    """Metrics of each dataset, updated by every batch."""
+    return MetricState(spark, f"{out_dir.rstrip('/')}/state", ("dataset",))
 
 
 def evaluate_stream(
@@ -70,10 +72,10 @@ def evaluate_stream(
     """Judges arriving response files into ``{out_dir}/verdicts``, once per response.
 
     Each micro-batch replaces its own ``batch_id`` partition, so a repeated batch leaves no
-    copies. Re-delivered responses are folded within the batch. Of earlier batches only the key
-    columns are read, and of those only keys that arrived again are joined, without a shuffle
-    of the history while the batch is small. Lines that cannot be read go to
-    ``{out_dir}/quarantine``.
+    copies. Re-delivered responses are folded within the batch. Earlier batches are asked through
+    ``{out_dir}/history``: only those buckets of keys are opened whose filters may have a key that arrived.
+    ``{out_dir}/state`` takes in each batch's verdicts. A repeated batch writes verdicts, history and state anew
+    and does not see its own rows. Lines that cannot be read go to ``{out_dir}/quarantine``.
     """
     out = out_dir.rstrip("/")
 
@@ -91,15 +93,26 @@ def evaluate_stream(
         bad = batch.filter(F.col("error").isNotNull()).select("file", "raw", "error")
         replace_batch(bad, "quarantine", batch_id)
         arrived = collapse_copies(batch.filter(F.col("error").isNull())).persist()
+        keys = list(KEYS)
+        history = verdict_history(session, out)
+        known = history.batches() - {batch_id}
+        # verdicts of batches that have no history yet, as an earlier version left them
+        for other in sorted({int(v) for v in partition_values(session, f"{out}/verdicts", "batch_id")}):
+            if other != batch_id and other not in known:
+                history.add(session.read.parquet(f"{out}/verdicts/batch_id={other}"), other)
+                known.add(other)
         fresh = arrived
-        seen = _earlier_keys(session, f"{out}/verdicts", batch_id)
-        if seen is not None:
-            keys = list(KEYS)
+        if known:
+            found = history.candidates(arrived, known)
             arrived_keys = broadcast_if_small(arrived.select(*keys))
-            again = seen.join(arrived_keys, keys, "left_semi").distinct()
+            again = found.join(arrived_keys, keys, "left_semi").select(*keys).distinct()
             fresh = arrived.join(broadcast_if_small(again), keys, "left_anti")
         replace_batch(judge(fresh.drop("error", "raw")), "verdicts", batch_id)
         arrived.unpersist()
+        if str(batch_id) in partition_values(session, f"{out}/verdicts", "batch_id"):
+            judged = session.read.parquet(f"{out}/verdicts/batch_id={batch_id}")
+            history.add(judged, batch_id)
+            metric_state(session, out).update(judged, batch_id)
 
     writer = (
         stream_responses(spark, results_dir, files_per_trigger)
@@ -114,7 +127,7 @@ def evaluate_stream(
 def stream_metrics(
     spark: SparkSession, out_dir: str, ks: Sequence[int] = DEFAULT_KS
 ) -> DataFrame:
-    """All metrics of the verdicts so far; pass@k nests two aggregations, so it is recomputed."""
+    """All metrics of the verdicts so far, computed anew; ``metric_state`` has them without reading verdicts."""
     verdicts = spark.read.parquet(f"{out_dir.rstrip('/')}/verdicts")
     return run_metrics(verdicts, ks, by=("dataset",))
 
