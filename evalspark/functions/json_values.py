@@ -16,6 +16,28 @@ def field(record: Column, name: str) -> Column:
     return F.try_variant_get(record, f"$.{name}", "variant")
 
 
+# a string, or a number that only lenient parsers know; possessive, so long texts don't recurse
+_STRING_OR_NUMBER = r'(?s)("(?:[^"\\]++|\\.)*+")|(-?Infinity|NaN)'
+_NUMBER_TEXTS = {"": "", "NaN": '"nan"', "Infinity": '"inf"', "-Infinity": '"-inf"'}
+
+
+def strict_json(text: Column) -> Column:
+    """The text with ``NaN``, ``Infinity`` and ``-Infinity`` outside strings as the strings nan, inf and -inf.
+
+    Strings keep such words. Texts without them, and those with control characters, which no JSON has, stay as they are.
+    """
+    marked = F.regexp_replace(text, _STRING_OR_NUMBER, "$1\u0001$2\u0002")
+    for number, spelled in _NUMBER_TEXTS.items():
+        marked = F.replace(marked, F.lit(f"\u0001{number}\u0002"), F.lit(spelled))
+    lenient = (text.contains("NaN") | text.contains("Infinity")) & ~text.contains("\u0001")
+    return F.when(lenient, marked).otherwise(text)
+
+
+def record_of(text: Column) -> Column:
+    """The VARIANT of a JSON text, SQL NULL if it can't be parsed; numbers that aren't JSON are their Python text."""
+    return F.try_parse_json(strict_json(text))
+
+
 def json_literal(text: str) -> Column:
     return F.parse_json(F.lit(text))
 

@@ -171,7 +171,7 @@ def normalize_layouts(raw: DataFrame, layouts: Layouts) -> DataFrame:
     many datasets the rows belong to.
     """
     record = F.col("_record")
-    fields = raw.withColumn("_record", F.try_parse_json("value")).withColumns(
+    fields = raw.withColumn("_record", J.record_of(F.col("value"))).withColumns(
         {
             "_problem": _by_dataset(
                 layouts, lambda n: layouts[n].problem, lambda f: J.first_present(record, *f)
@@ -293,9 +293,9 @@ def standardize(raw: DataFrame, keep: Sequence[str] = ("dataset",)) -> DataFrame
     """
     known = [name for names in GENERIC_FIELDS.values() for name in names]
     record = F.col("_record")
-    parsed = raw.withColumn("_record", F.try_parse_json("value"))
+    parsed = raw.withColumn("_record", J.record_of(F.col("value")))
     leftovers = F.map_filter(
-        F.when(record.isNotNull(), F.from_json("value", "map<string,string>")),
+        F.when(record.isNotNull(), F.from_json(J.strict_json(F.col("value")), "map<string,string>")),
         lambda key, _: ~key.isin(*known),
     )
     return parsed.select(

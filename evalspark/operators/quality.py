@@ -35,7 +35,7 @@ def is_complete(record: Column, fields: Sequence[str] = ("question", "answer"))
 
 
 def complete_samples(raw: DataFrame, fields: Sequence[str] = ("question", "answer")) -> DataFrame:
-    return raw.filter(is_complete(F.try_parse_json("value"), fields))
+    return raw.filter(is_complete(J.record_of(F.col("value")), fields))
 
 
 def raw_check(
@@ -48,7 +48,7 @@ def raw_check(
     ``lines`` has ``line_idx``, ``rec_idx`` and ``value``. All are checked, or the first ``max_lines``.
     """
     record = F.col("_record")
-    checked = keep_first_lines(lines, max_lines).withColumn("_record", F.try_parse_json("value"))
+    checked = keep_first_lines(lines, max_lines).withColumn("_record", J.record_of(F.col("value")))
     sample = F.col("rec_idx").cast("string")
 
     def missing(name: str) -> tuple[Column, Column]:

@@ -131,3 +131,23 @@ def json_arrays_dir(spark: SparkSession, sf_dir: str) -> str:
         )
 
     return _once(spark, sf_dir, "arrays", write)
+
+
+def one_array_file(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one file: all orders in key order as one JSON array, over several lines."""
+
+    def write(path: str) -> None:
+        orders = table(spark, sf_dir, "orders").select("o_orderkey")
+        tag = F.concat(F.lit('["'), "o_orderkey", F.lit('", {"a": "\\", ]"}]'))
+        first, last = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+        line = F.concat(
+            F.when(F.col("o_orderkey") == first, F.lit("[\n")).otherwise(F.lit("")),
+            F.to_json(F.struct("o_orderkey", tag.alias("tag"))),
+            F.when(F.col("o_orderkey") == last, F.lit("\n]")).otherwise(F.lit(" ,")),
+        )
+        # one task writes the one file, a stream of sorted rows
+        orders.orderBy("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey").select(
+            line.alias("value")
+        ).write.text(path)
+
+    return _once(spark, sf_dir, "one-array", write)

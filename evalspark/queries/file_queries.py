@@ -10,6 +10,7 @@ from evalspark.functions.text import clean_output
 from evalspark.operators.inference import generate
 from evalspark.operators.judging import judge, judge_inputs, verdicts_from_column
 from evalspark.operators.keyed_joins import join_verdicts
+from evalspark.operators.normalize import standardize
 from evalspark.plans.benchmark import BenchmarkSettings, run_benchmark
 from evalspark.plans.comparison import compare_runs
 from evalspark.plans.file_judge import judge_file
@@ -24,6 +25,7 @@ from evalspark.queries.file_data import (
     datasets_dir,
     json_arrays_dir,
     numbered_lines_dir,
+    one_array_file,
     responses_dir,
     responses_of,
 )
@@ -133,12 +135,48 @@ def json_array_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json_array(spark, json_arrays_dir(spark, sf_dir), 10).select("o_orderkey")
 
 
-@query("json_array_sample")
+@query(
+    "json_array_sample",
+    """SELECT o_orderkey, 'Which order is ' || o_orderkey || '?' AS question FROM orders
+       ORDER BY md5('11:' || o_orderkey), o_orderkey LIMIT 50""",
+)
 def json_array_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sample_json_array(spark, json_arrays_dir(spark, sf_dir), 50, seed=11)
+    """Fifty records of all arrays, drawn by their order key."""
+    arrays = json_arrays_dir(spark, sf_dir)
+    rows = sample_json_array(spark, arrays, 50, seed=11, keys=["o_orderkey"])
     return rows.select("o_orderkey", "question")
 
 
+@query(
+    "json_array_blocks",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position,
+              '["' || o_orderkey || '", {"a": "\\\", ]"}]' AS tag FROM orders""",
+)
+def json_array_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One array of all orders in one file, read in blocks of 64 KB."""
+    schema = "o_orderkey bigint, tag string"
+    path = one_array_file(spark, sf_dir)
+    return read_json_array(spark, path, schema=schema, block_bytes=1 << 16).drop("file")
+
+
+@query(
+    "raw_lines_lenient",
+    """SELECT o_orderkey::VARCHAR AS id, 'NaN or "Infinity"?' AS question,
+              ['nan', 'inf', '-inf', '["nan",1]'][o_orderkey % 4 + 1] AS answer FROM orders""",
+)
+def raw_lines_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with numbers that JSON doesn't have, as Python's json module writes and reads them."""
+    path = f"{scratch_path(spark, 'lenient')}/orders/test.jsonl"
+    answers = F.array(*[F.lit(a) for a in ("NaN", "Infinity", "-Infinity", "[NaN, 1]")])
+    answer = F.get(answers, (F.col("o_orderkey") % 4).cast("int"))
+    line = F.format_string(
+        '{"question": "NaN or \\"Infinity\\"?", "answer": %s, "id": %d}', answer, "o_orderkey"
+    )
+    table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    rows = standardize(read_jsonl(spark, path), keep=())
+    return rows.where("error IS NULL").select("id", "question", "answer")
+
+
 # --- folders of datasets ----------------------------------------------------------------
 
 

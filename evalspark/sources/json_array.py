@@ -1,13 +1,225 @@
-"""Files that hold one JSON array of records."""
+"""Files that hold one JSON array of records, read in blocks.
+
+Where a record begins depends on all bytes before: on whether they end inside a string and on how many brackets are
+open. A task scans a block for each of the three states that it may begin in (outside a string, inside, behind a
+backslash) and returns the state it ends in, the change of depth and the commas at each depth; chained, these give every
+block its true state and the position of its first record. Blocks are then cut at the commas of depth one; a record that runs
+over the end of its block is read on by the block's task. Each record is parsed once, by Spark.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.functions.json_values import record_of, strict_json
 from evalspark.operators.sampling import sample_n
-from evalspark.operators.sizes import MAX_BROADCAST_ROWS
-from evalspark.sources.folders import exists
+from evalspark.sources.blocks import BLOCK_BYTES, Block, chunks_of, list_files, on_blocks, scanned
+
+OUTSIDE, INSIDE, ESCAPED = range(3)
+_QUOTE, _BACKSLASH, _COMMA, _OPEN, _CLOSE = b'"\\,[]'
+_STEPS = np.zeros(256, dtype=np.int8)
+_STEPS[list(b"[{")] = 1
+_STEPS[list(b"]}")] = -1
+_STRUCTURE = np.zeros(256, dtype=bool)
+_STRUCTURE[list(b"[]{},")] = True
+_BLANK = b" \t\r\n\xef\xbb\xbf"
+SCAN_SCHEMA = (
+    "block bigint, first int, ends array<int>, changes array<bigint>, "
+    "depths array<array<bigint>>, commas array<array<bigint>>"
+)
+RECORD_SCHEMA = "file string, position bigint, record string"
+
+
+def structure(raw: bytes, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Brackets and commas outside strings: their places, bytes and the depth behind each, and the state at the end."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    escaped = np.zeros(len(data) + 1, dtype=bool)
+    slashes = np.flatnonzero(data == _BACKSLASH)
+    if state == ESCAPED:
+        escaped[0] = True
+        slashes = slashes[slashes > 0]
+    if len(slashes):
+        first = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)
+        lengths = np.diff(first, append=len(slashes))
+        # a run of backslashes escapes what follows if it is odd
+        escaped[(slashes[first] + lengths)[lengths % 2 == 1]] = True
+    quotes = np.flatnonzero(data == _QUOTE)
+    quotes = quotes[~escaped[quotes]]
+    inside = int(state != OUTSIDE)
+    places = np.flatnonzero(_STRUCTURE[data])
+    places = places[(np.searchsorted(quotes, places) + inside) % 2 == 0]
+    found = data[places]
+    end = (len(quotes) + inside) % 2
+    if end and escaped[len(data)]:
+        end = ESCAPED
+    return places, found, np.cumsum(_STEPS[found], dtype=np.int64), end
+
+
+def _scan(block: Block, number: int) -> Iterator[pa.RecordBatch]:
+    ends, changes = [OUTSIDE, INSIDE, ESCAPED], [0, 0, 0]
+    counts: list[dict[int, int]] = [{}, {}, {}]
+    first = None
+    for raw in chunks_of(block.file, block.start, None if block.file.compressed else block.end):
+        if first is None and (text := raw.lstrip(_BLANK)):
+            first = text[0]
+        seen = {state: structure(raw, state) for state in set(ends)}
+        for i, state in enumerate(ends):
+            places, found, depth, end = seen[state]
+            at, n = np.unique(depth[found == _COMMA], return_counts=True)
+            for d, c in zip((at + changes[i]).tolist(), n.tolist()):
+                counts[i][d] = counts[i].get(d, 0) + c
+            changes[i] += int(depth[-1]) if len(depth) else 0
+            ends[i] = end
+    yield pa.RecordBatch.from_pylist(
+        [
+            {
+                "block": number,
+                "first": first,
+                "ends": ends,
+                "changes": changes,
+                "depths": [list(c) for c in counts],
+                "commas": [list(c.values()) for c in counts],
+            }
+        ],
+        pa.schema(
+            [
+                ("block", pa.int64()),
+                ("first", pa.int32()),
+                ("ends", pa.list_(pa.int32())),
+                ("changes", pa.list_(pa.int64())),
+                ("depths", pa.list_(pa.list_(pa.int64()))),
+                ("commas", pa.list_(pa.list_(pa.int64()))),
+            ]
+        ),
+    )
+
+
+def _chained(rows: Sequence[dict]) -> tuple[list[tuple[int, int, int]], int]:
+    """State, depth and number of records begun before each block, and how many commas part records in all."""
+    state, depth, before = OUTSIDE, 0, 0
+    out = []
+    for row in rows:
+        out.append((state, depth, before))
+        commas = dict(zip(row["depths"][state], row["commas"][state]))
+        before += commas.get(1 - depth, 0)
+        depth += row["changes"][state]
+        state = row["ends"][state]
+    return out, before
+
+
+def _is_array(rows: Sequence[dict]) -> bool:
+    """Whether a file's first byte that isn't blank opens an array; another file is one record."""
+    first = next((row["first"] for row in rows if row["first"] is not None), _OPEN)
+    return first == _OPEN
+
+
+def _emitted(file: str, records: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    kept = [(p, r) for p, r in ((p, r.strip(_BLANK)) for p, r in records) if r]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([file] * len(kept), pa.string()),
+            pa.array([p for p, _ in kept], pa.int64()),
+            pa.array([r.decode("utf-8", "replace") for _, r in kept], pa.string()),
+        ],
+        names=["file", "position", "record"],
+    )
+
+
+def _records(item: tuple, number: int) -> Iterator[pa.RecordBatch]:
+    """The records that begin in a block; ``limit`` ends them early."""
+    block, state, depth, before, limit = item
+    if state is None:  # not an array
+        whole = b"".join(chunks_of(block.file, 0))
+        yield _emitted(block.file.name, [(0, whole)])
+        return
+    at = 0 if block.file.compressed else block.start
+    end = block.file.length + 1 if block.file.compressed else block.end
+    held: list[bytes] | None = None  # the record that has begun, in pieces
+    position = before
+    for raw in chunks_of(block.file, at):
+        places, found, depths, next_state = structure(raw, state)
+        absolute = depths + depth
+        cuts = ((found == _COMMA) & (absolute == 1)) | ((found == _OPEN) & (absolute == 1) & _from(absolute, depth, 0))
+        cuts |= (found == _CLOSE) & (absolute == 0)
+        out: list[tuple[int, bytes]] = []
+        last, finished = 0, False
+        for place, byte in zip(places[cuts].tolist(), found[cuts].tolist()):
+            if held is not None:
+                held.append(raw[last:place])
+                out.append((position, b"".join(held)))
+                held = None
+            last = place + 1
+            if byte == _COMMA:
+                position += 1
+            if not block.file.compressed and at + place >= end:
+                finished = True
+                break
+            if byte != _CLOSE:
+                if limit is not None and position >= limit:
+                    finished = True
+                    break
+                held = []
+        yield _emitted(block.file.name, out)
+        if held is not None:
+            held.append(raw[last:])
+        depth += int(depths[-1]) if len(depths) else 0
+        state, at = next_state, at + len(raw)
+        if finished or (held is None and not block.file.compressed and at >= end):
+            return
+    if held is not None:  # the file ends within a record
+        yield _emitted(block.file.name, [(position, b"".join(held))])
+
+
+def _from(depths: np.ndarray, start: int, value: int) -> np.ndarray:
+    """Where the depth before a byte was ``value``."""
+    return np.concatenate([[start], depths[:-1]]) == value
+
+
+def record_texts(
+    spark: SparkSession, path: str, num_records: int | None = None, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """``file, position, record``: the text of every record of each array, or of the first ``num_records``.
+
+    A block is a task, so one file is read by many. Blank files and empty arrays have no record; a file that holds no array
+    is one record. Compressed files can't be cut and are one block each. With ``num_records`` the files are scanned only
+    as far as needed. A file that ends early gives what it has.
+    """
+    sources = [[file] for file in list_files(spark, path)]
+
+    def enough(rows: list[dict]) -> bool:
+        return not _is_array(rows) or _chained(rows)[1] >= num_records
+
+    limited = num_records is not None
+    if limited and num_records == 0:
+        return spark.createDataFrame([], RECORD_SCHEMA)
+    work = []
+    for found in scanned(spark, sources, _scan, SCAN_SCHEMA, enough if limited else None, block_bytes):
+        if not found:
+            continue
+        rows = [row for _, row in found]
+        if not _is_array(rows):
+            work.append((found[0][0], None, 0, 0, num_records))
+            continue
+        for (block, _), (state, depth, before) in zip(found, _chained(rows)[0]):
+            if not limited or before < num_records:
+                work.append((block, state, depth, before, num_records))
+    return on_blocks(spark, work, _records, RECORD_SCHEMA)
+
+
+def inferred_schema(records: DataFrame, column: str = "record") -> str | None:
+    """Type of all records as a struct: numbers with a fraction are double, fields of several kinds strings."""
+    found = records.agg(F.schema_of_variant_agg(record_of(F.col(column))).alias("s")).first()["s"]
+    if found is None or not found.startswith("OBJECT<"):
+        return None
+    ddl = re.sub(r"DECIMAL\(\d+,\s*[1-9]\d*\)|FLOAT", "DOUBLE", found)
+    ddl = re.sub(r"\b(VOID|VARIANT)\b", "STRING", ddl)
+    return re.sub(r"\bOBJECT<", "STRUCT<", ddl)
 
 
 def read_json_array(
@@ -15,40 +227,23 @@ def read_json_array(
     path: str,
     num_samples: int | None = None,
     schema: str | None = None,
-    missing_ok: bool = False,
+    missing_ok: bool = True,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Records of each array with ``file`` and ``position``; first n of each file on request.
 
-    A JSON array cannot be split, so a file is one task and its rows are counted from the
-    first one; many files still spread. ``num_samples`` of None or below 0 keeps all rows.
+    ``num_samples`` of None or below 0 keeps all rows. Without ``schema`` a first pass over the records finds it. A path
+    that doesn't exist is empty, with the columns of ``schema``, unless ``missing_ok`` is false. Records that can't be parsed have
+    null fields.
     """
-    reader = spark.read.option("multiLine", True)
-    if schema is not None:
-        reader = reader.schema(schema)
-    if missing_ok and not exists(spark, path):
-        return spark.createDataFrame([], f"{schema + ', ' if schema else ''}file string, position long")
-    rows = reader.json(path).select(
-        "*",
-        F.col("_metadata.file_path").alias("file"),
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
-    first = rows.groupBy(
-        F.col("file").alias("_f"), F.col("_part").alias("_p")
-    ).agg(F.min("_seq").alias("_first"))
-    if len(rows.inputFiles()) <= MAX_BROADCAST_ROWS:  # a row per file
-        first = F.broadcast(first)
-    fits = F.col("_first") <= F.col("_seq")
-    changed = F.raise_error(F.lit("the files were split differently between two reads"))
-    changed = changed.cast("bigint")
-    numbered = (
-        rows.join(first, (F.col("file") == F.col("_f")) & (F.col("_part") == F.col("_p")), "left")
-        .withColumn("position", F.when(fits, F.col("_seq") - F.col("_first")).otherwise(changed))
-        .drop("_part", "_seq", "_f", "_p", "_first")
-    )
-    if num_samples is None or num_samples < 0:
-        return numbered
-    return numbered.filter(F.col("position") < num_samples)
+    limit = None if num_samples is None or num_samples < 0 else num_samples
+    if not missing_ok and not list_files(spark, path):
+        raise FileNotFoundError(path)
+    texts = record_texts(spark, path, limit, block_bytes)
+    ddl = schema or inferred_schema(texts)
+    if ddl is None:
+        return texts.select("file", "position")
+    return texts.select(F.from_json(strict_json(F.col("record")), ddl).alias("_r"), "file", "position").select("_r.*", "file", "position")
 
 
 def sample_json_array(
@@ -57,13 +252,18 @@ def sample_json_array(
     num_samples: int,
     seed: int = 0,
     schema: str | None = None,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Seeded sample without replacement; every row when n exceeds the size or is negative.
 
-    Rows are drawn by file name and position, so the same files in another folder give the same sample.
+    ``keys`` names fields that identify a record. By default rows are drawn by the file's path below ``path`` and the
+    position, so the same files in another folder give the same sample.
     """
     rows = read_json_array(spark, path, schema=schema)
     if num_samples < 0:
         return rows
-    named = rows.withColumn("_name", F.substring_index("file", "/", -1))
-    return sample_n(named, ["_name", "position"], num_samples, seed).drop("_name")
+    if keys is not None:
+        return sample_n(rows, keys, num_samples, seed)
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    tail = F.substring_index("file", f"/{root}/", -1)
+    return sample_n(rows.withColumn("_name", tail), ["_name", "position"], num_samples, seed).drop("_name")

@@ -178,3 +178,21 @@ def test_fixed_rounds_like_python(spark):
     assert apply(spark, ratios, reporting.percent, "v double") == [f"{v:.1%}" for v in ratios]
     sizes = [0, 1, 51, 52, 1024, 1075, 1126, 128, 384, 10**9 + 256, 2**50 + 333]
     assert apply(spark, sizes, reporting.size_kb, "v bigint") == [f"{s / 1024:.1f} KB" for s in sizes]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('{"a": NaN}', '{"a": "nan"}'),
+        ('[-Infinity,Infinity, 1]', '["-inf","inf", 1]'),
+        ('{"a": "NaN, \\" Infinity"}', '{"a": "NaN, \\" Infinity"}'),
+        ('{"NaN": "\\\\", "b": NaN}', '{"NaN": "\\\\", "b": "nan"}'),
+        ('{"a": 1}', '{"a": 1}'),
+        ('{"a": "\u0001", "b": NaN}', '{"a": "\u0001", "b": NaN}'),
+        ('{"a": NaN', '{"a": "nan"'),
+        ('{"a": "' + 'x\\"' * 50_000 + '", "b": Infinity}', '{"a": "' + 'x\\"' * 50_000 + '", "b": "inf"}'),
+    ],
+)
+def test_strict_json(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(json_values.strict_json(F.col("t"))).first()[0]
+    assert got == want
