@@ -295,6 +295,33 @@ _VALIDATION_SQL = (
 )
 
 
+@query(
+    "capped_datasets",
+    with_views(
+        "SELECT dataset, line_idx, line_idx AS rec_idx, value FROM raw WHERE line_idx < 20",
+        "raw AS ({})".format(
+            _dataset_rows_sql(f"o_orderkey // {len(DATASETS)} AS line_idx, <value> AS value")
+        ),
+    ),
+)
+def capped_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty lines of every dataset, read as prefixes of their files."""
+    rows = read_split(spark, datasets_dir(spark, sf_dir), DATASETS, max_samples=20)
+    return rows.select("dataset", "line_idx", "rec_idx", "value")
+
+
+@query(
+    "kept_line_index",
+    with_views("SELECT line_idx, rec_idx, o_orderkey FROM lines", _LINES_SQL),
+)
+def kept_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of all lines from the block counts that an earlier read has kept."""
+    root, index = numbered_lines_dir(spark, sf_dir), scratch_path(spark, "line-index")
+    read_split(spark, root, "orders", index_dir=index)
+    key = F.get_json_object("value", "$.o_orderkey").cast("bigint").alias("o_orderkey")
+    return read_split(spark, root, "orders", index_dir=index).select("line_idx", "rec_idx", key)
+
+
 @query(
     "validate",
     with_views(

@@ -29,7 +29,7 @@ FIRST_BYTES = 64 << 10
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, order=True)
 class File:
     """A file: its name as Spark's ``_metadata.file_path`` has it, the path that tasks open, bytes and time of change."""
 

@@ -11,6 +11,7 @@ Blank lines are dropped after counting, blanks around a record are stripped.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import is_blank, strip
 from evalspark.operators.sizes import MAX_BROADCAST_ROWS
+from evalspark.sources.blocks import list_files
+from evalspark.sources.folders import exists
+from evalspark.sources.line_blocks import first_lines
 
 SOURCE_PATTERN = r"^(.*?/[^/]+\.jsonl?)(?:/[^/]*)?$"
 DATASET_PATTERN = r"/([^/]+)/([^/]+)\.jsonl?(?:/[^/]*)?$"
@@ -106,17 +110,44 @@ def keep_first_lines(lines: DataFrame, max_lines: int | None) -> DataFrame:
     return lines.filter(F.col("line_idx") < F.lit(max(max_lines, 0)))
 
 
+def _kept_blocks(spark: SparkSession, lines: DataFrame, paths: Sequence[str], index_dir: str) -> DataFrame:
+    """The block table as an earlier read of the same files, split alike, has left it, else computed and kept.
+
+    Files are the same while name, length and time of change are.
+    """
+    files = sorted(f for path in paths for f in list_files(spark, path))
+    described = repr((files, lines.rdd.getNumPartitions(), lines.schema.names))
+    path = f"{index_dir.rstrip('/')}/{hashlib.sha256(described.encode()).hexdigest()}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        _block_table(lines).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_jsonl(
-    spark: SparkSession, paths: str | Sequence[str], max_lines: int | None = None
+    spark: SparkSession, paths: str | Sequence[str], max_lines: int | None = None, index_dir: str | None = None
 ) -> DataFrame:
     """``(dataset, split, file, line_idx, rec_idx, value)`` of all non-blank lines.
 
     Two scans of the text and one join with a row per file block. The block table is
     broadcast while its bound is small; beyond that the join shuffles by block, which no
-    file can skew because a block is at most ``spark.sql.files.maxPartitionBytes``.
+    file can skew because a block is at most ``spark.sql.files.maxPartitionBytes``. With ``index_dir`` the
+    block table is kept there, and later reads of unchanged files scan the text once.
+
+    With ``max_lines`` above 0 only a prefix of each source is read (see ``first_lines``).
     """
-    lines = _scan(spark, [paths] if isinstance(paths, str) else paths)
-    blocks = _block_table(lines)
+    named = [paths] if isinstance(paths, str) else list(paths)
+    lines = _scan(spark, named)
+    if max_lines is not None and max_lines > 0:
+        files = [file for path in named for file in list_files(spark, path)]
+        return first_lines(spark, files, SOURCE_PATTERN, max_lines).select(
+            F.regexp_extract("file", DATASET_PATTERN, 1).alias("dataset"),
+            F.regexp_extract("file", DATASET_PATTERN, 2).alias("split"),
+            "file",
+            "line_idx",
+            "rec_idx",
+            "value",
+        )
+    blocks = _block_table(lines) if index_dir is None else _kept_blocks(spark, lines, named, index_dir)
     if _block_bound(lines) <= MAX_BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
     return keep_first_lines(number_lines(lines, blocks), max_lines)
@@ -132,7 +163,12 @@ def read_split(
     datasets: str | Sequence[str],
     split: str = "test",
     max_samples: int | None = None,
+    index_dir: str | None = None,
 ) -> DataFrame:
-    """One split of one or many datasets under ``{data_dir}/{dataset}/{split}.jsonl``."""
+    """One split of one or many datasets under ``{data_dir}/{dataset}/{split}.jsonl``.
+
+    ``max_samples`` limits the physical lines of each dataset.
+    """
     names = [datasets] if isinstance(datasets, str) else list(datasets)
-    return read_jsonl(spark, [split_path(data_dir, name, split) for name in names], max_samples)
+    paths = [split_path(data_dir, name, split) for name in names]
+    return read_jsonl(spark, paths, max_samples, index_dir)

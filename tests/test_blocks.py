@@ -8,6 +8,8 @@ import pytest
 
 from evalspark.sources import blocks, json_array
 from evalspark.sources.blocks import File, list_files
+from evalspark.sources import line_blocks
+from evalspark.sources.jsonl import read_jsonl
 from evalspark.sources.json_array import read_json_array, record_texts, sample_json_array, structure
 
 PIECES = ['"', "\\", '\\"', "[", "]", "{", "}", ",", "é", "\n", "x", "\\\\", "\U0001f389", " "]
@@ -135,3 +137,78 @@ def test_list_files(spark, tmp_path):
     (file,) = list_files(spark, str(tmp_path))
     assert isinstance(file, File) and file.length == 2 and b"".join(blocks.chunks_of(file, 0)) == b"hi"
     assert file.name == spark.read.text(str(tmp_path / "a b")).selectExpr("_metadata.file_path").first()[0]
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 1 << 20])
+def test_lines_of_any_file(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(blocks, "CHUNK_BYTES", 4)
+    rng = random.Random(block)
+    for n in range(30):
+        raw = "".join(rng.choices(["a", "é", " ", "\n", "\r", "\r\n", "\u3000", "\x85"], k=rng.randrange(25))).encode()
+        path = tmp_path / f"{n}.jsonl"
+        path.write_bytes(raw)
+        (file,) = list_files(spark, str(path))
+        cut = blocks.source_blocks(0, [file], block)
+        got = [line for b in cut for line in line_blocks.lines_of(b)]
+        assert got == raw.splitlines()
+
+
+def test_limited_reading_equals_whole_reading(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "FIRST_BYTES", 40)
+    rng = random.Random(6)
+    for name in ("one", "two"):
+        folder = tmp_path / name / "test.jsonl"
+        folder.mkdir(parents=True)
+        for part in range(4):
+            lines = [rng.choice(["", " ", f"line {rng.random()}", "\u3000"]) for _ in range(rng.randrange(30))]
+            (folder / f"part-{part}").write_text("\n".join(lines) + rng.choice(["", "\n"]))
+    paths = [str(tmp_path / n / "test.jsonl") for n in ("one", "two")]
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    whole = read_jsonl(spark, paths)
+    for limit in (1, 7, 50, 10_000):
+        assert rows(read_jsonl(spark, paths, limit)) == rows(whole.where(f"line_idx < {limit}"))
+
+
+def test_a_line_limit_reads_less_than_a_hundredth(spark, tmp_path, monkeypatch):
+    path = tmp_path / "d" / "test.jsonl"
+    path.parent.mkdir()
+    path.write_text("\n".join(json.dumps({"n": i, "text": "z" * 100}) for i in range(100_000)))
+    read = []
+    real = line_blocks.scanned
+
+    def counted(*args):
+        found = real(*args)
+        read.append(sum(block.end - block.start for source in found for block, _ in source))
+        return found
+
+    monkeypatch.setattr(line_blocks, "scanned", counted)
+    assert read_jsonl(spark, str(path), 5).count() == 5
+    assert read[0] < 0.01 * path.stat().st_size
+
+
+def test_kept_index_saves_a_scan(spark, tmp_path):
+    path = tmp_path / "d" / "test.jsonl"
+    path.parent.mkdir()
+    path.write_text("a\n\nb\n" * 50)
+    index = str(tmp_path / "index")
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("FileScan text")
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    first = read_jsonl(spark, str(path), index_dir=index)
+    want = rows(read_jsonl(spark, str(path)))
+    # the kept counts replace the first of two scans
+    assert scans(read_jsonl(spark, str(path))) == 2 and scans(first) == 1
+    assert rows(first) == want
+    assert rows(read_jsonl(spark, str(path), index_dir=index)) == want
+    assert len(list((tmp_path / "index").iterdir())) == 1
+    # a changed file is counted anew
+    path.write_text("x\n" * 7)
+    assert len(rows(read_jsonl(spark, str(path), index_dir=index))) == 7
+    assert len(list((tmp_path / "index").iterdir())) == 2
