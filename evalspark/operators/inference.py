@@ -71,18 +71,26 @@ def generate(
     prompt: str = "prompt",
     batch_size: int = 16,
     partitions: int | None = None,
+    store: str | None = None,
+    model: str = "",
 ) -> DataFrame:
     """One row per prompt and generation with ``generation_id``, output, tokens, finish reason.
 
     Scan partitions can be few and large for a slow model; ``partitions`` spreads the rows
     evenly first. Write the result before reading it twice: a model call is expensive and
-    may not repeat itself.
+    may not repeat itself. With ``store``, calls of the ``model`` of that name are kept in that folder:
+    equal prompts are called once, and a run that broke off goes on where it stopped.
     """
     config = config or GenerationConfig()
-    rows = df if partitions is None else df.repartition(partitions)
-    called = rows.withColumn(
-        "_generations", model_column(F.col(prompt), make_model, config, batch_size)
-    )
+    if store is not None:
+        from evalspark.operators.response_store import stored_calls
+
+        called = stored_calls(df, F.col(prompt), make_model, config, store, model, batch_size, partitions)
+    else:
+        rows = df if partitions is None else df.repartition(partitions)
+        called = rows.withColumn(
+            "_generations", model_column(F.col(prompt), make_model, config, batch_size)
+        )
     exploded = called.select("*", F.posexplode("_generations").alias("generation_id", "_g"))
     tokens = F.coalesce("_g.tokens_used", F.lit(0).cast("bigint"))
     return exploded.select(

@@ -9,7 +9,9 @@ from evalspark.functions.extraction import extract_answer
 from evalspark.functions.prompts import JUDGE_TEMPLATE, judge_prompt
 from evalspark.functions.text import clean_output, truncate_tokens
 from evalspark.functions.verdicts import is_correct, is_valid
+from evalspark.operators.dealing import deal_by_cost
 from evalspark.operators.inference import ModelFactory, model_column
+from evalspark.operators.response_store import stored_calls
 from evalspark.schema import GenerationConfig
 
 JUDGE_CONFIG = GenerationConfig(temperature=0.1, max_tokens=50)
@@ -69,18 +71,29 @@ def judge(
     batch_size: int = 32,
     tail: int | None = None,
     partitions: int | None = None,
+    store: str | None = None,
+    judge_name: str = "",
 ) -> DataFrame:
     """Responses with ``is_correct`` and the judge's text.
 
     A judge sees the cleaned output, its last ``tail`` characters if given. It is called in the responses'
     partitions; those of a table are packed by bytes and can be few for a slow judge, so
-    ``partitions`` deals the rows out evenly first.
+    ``partitions`` deals the rows out first, to tasks of equal prompt length, the longest first. With
+    ``store``, calls of the judge ``judge_name`` are kept in that folder: equal prompts are judged once, and a run that broke off
+    goes on where it stopped.
     """
-    rows = responses if partitions is None else responses.repartition(partitions)
-    called = rows.withColumn(
-        "_judged",
-        model_column(_prompt(template, clean, tail), make_judge, config, batch_size),
-    ).withColumn("_judged", F.get("_judged", F.lit(0)))
+    prompt = _prompt(template, clean, tail)
+    if store is not None:
+        called = stored_calls(
+            responses, prompt, make_judge, config, store, judge_name, batch_size, partitions
+        ).withColumnRenamed("_generations", "_judged")
+    else:
+        rows = responses
+        if partitions is not None:
+            length = F.length("model_output") + F.coalesce(F.length("problem"), F.lit(0))
+            rows = deal_by_cost(responses, length, partitions)
+        called = rows.withColumn("_judged", model_column(prompt, make_judge, config, batch_size))
+    called = called.withColumn("_judged", F.get("_judged", F.lit(0)))
     metadata = F.struct(
         F.lit("batch").alias("evaluation_mode"),
         F.col("_judged.tokens_used").alias("tokens_used"),

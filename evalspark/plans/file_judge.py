@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.prompts import JUDGE_TEMPLATE, judge_prompt
 from evalspark.functions.verdicts import is_valid
+from evalspark.operators.dealing import deal_by_cost
 from evalspark.operators.inference import ModelFactory, model_column
 from evalspark.operators.metrics import judge_statistics
-from evalspark.schema import GenerationConfig
+from evalspark.operators.response_store import stored_calls
+from evalspark.schema import JUDGE_RECORD_SCHEMA, GenerationConfig
+from evalspark.sources.folders import exists
 from evalspark.sources.json_array import read_json_array
 
 RECORD_FIELDS = ("question", "llm_output", "correct_answer")
@@ -22,14 +25,24 @@ def judge_records(
     template: str = JUDGE_TEMPLATE,
     config: GenerationConfig = GenerationConfig(temperature=0.1, top_p=0.7),
     batch_size: int = 32,
+    partitions: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
-    """Records with ``prompt``, ``judgment``, ``judge`` and ``judge_valid`` ('True' or 'False')."""
+    """Records with ``prompt``, ``judgment``, ``judge`` and ``judge_valid`` ('True' or 'False').
+
+    ``partitions`` and ``store`` are as in ``judge``.
+    """
     prompted = records.withColumn(
         "prompt", judge_prompt(*[F.col(name) for name in RECORD_FIELDS], template=template)
     )
-    called = prompted.withColumn(
-        "_judged", model_column(F.col("prompt"), make_judge, config, batch_size)
-    )
+    prompt = F.col("prompt")
+    if store is not None:
+        called = stored_calls(
+            prompted, prompt, make_judge, config, store, judge_name, batch_size, partitions
+        ).withColumnRenamed("_generations", "_judged")
+    else:
+        rows = prompted if partitions is None else deal_by_cost(prompted, F.length(prompt), partitions)
+        called = rows.withColumn("_judged", model_column(prompt, make_judge, config, batch_size))
     judgment = F.get("_judged", F.lit(0))["text"]
     return (
         called.withColumn("judgment", judgment)
@@ -51,12 +64,22 @@ def judge_file(
     data_size: int | None = None,
     schema: str | None = None,
     config: GenerationConfig = GenerationConfig(temperature=0.1, top_p=0.7),
+    partitions: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
-    """Judges a JSON-array file; writes tables results, stat_info and info, returns stat_info."""
+    """Judges a JSON-array file; writes tables results, stat_info and info, returns stat_info.
+
+    The file is read in blocks and judged in their tasks, or in ``partitions`` tasks of equal cost. A file
+    that doesn't exist has no records.
+    """
     out = out_dir.rstrip("/")
     data_name = data_path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    if schema is None and not exists(spark, data_path):
+        schema = JUDGE_RECORD_SCHEMA
     records = read_json_array(spark, data_path, data_size, schema)
-    judged = judge_records(records, make_judge, judge_name, config=config)
+    judged = judge_records(
+        records, make_judge, judge_name, config=config, partitions=partitions, store=store
+    )
     results_path = f"{out}/results/run_id={run_id}"
     judged.write.mode("overwrite").parquet(results_path)
     results = spark.read.parquet(results_path)

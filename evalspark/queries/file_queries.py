@@ -34,6 +34,7 @@ from evalspark.queries.models import (
     make_containing_judge,
     make_echo_model,
     make_mixed_judge,
+    make_rejecting_judge,
 )
 from evalspark.queries.registry import query, table
 from evalspark.queries.sample_queries import NORMALIZED, normalize_sql
@@ -382,6 +383,27 @@ def judge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("dataset", "id", "is_correct", "evaluation_reasoning")
 
 
+@query(
+    "judge_resumed",
+    with_views(
+        """SELECT dataset, id, generation_id, is_correct AND split_part(id, '_', 1)::BIGINT % 2 = 0 AS is_correct
+           FROM judged, range(2) g(generation_id)""",
+        TURNS_SQL,
+        RESPONSES_SQL,
+        _JUDGED_SQL,
+    ),
+)
+def judge_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run of all responses, each there twice, calls its judge, who rejects all, for what the first left out."""
+    store = scratch_path(spark, "judge-calls")
+    responses = responses_of(spark, sf_dir)
+    even = F.substring_index("id", "_", 1).cast("bigint") % 2 == 0
+    judge(responses.where(even), make_containing_judge, store=store, judge_name="j")
+    twice = responses.withColumn("generation_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    judged = judge(twice, make_rejecting_judge, store=store, judge_name="j", partitions=16)
+    return judged.select("dataset", "id", F.col("generation_id").cast("bigint"), "is_correct")
+
+
 @query(
     "judge_inputs",
     with_views(
@@ -426,7 +448,7 @@ def judged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three tables of a judged file; bracketed labels are not valid in its statistics."""
     out = scratch_path(spark, "judge-file")
     arrays = json_arrays_dir(spark, sf_dir)
-    statistics = judge_file(spark, arrays, out, make_mixed_judge, "mixed", "run")
+    statistics = judge_file(spark, arrays, out, make_mixed_judge, "mixed", "run", partitions=64)
     results = spark.read.parquet(f"{out}/results/run_id=run")
     counted = results.groupBy("judge").agg(F.count("judgment").alias("results_num"))
     info = spark.read.parquet(f"{out}/info/run_id=run").select(

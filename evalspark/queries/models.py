@@ -23,6 +23,13 @@ def make_containing_judge():
     return judge
 
 
+def make_rejecting_judge():
+    """Judges everything incorrect."""
+    return lambda prompts, config: [
+        [{"text": "[Incorrect]", "tokens_used": 1, "finish_reason": "stop"}] for _ in prompts
+    ]
+
+
 def make_mixed_judge():
     """As the judge above with plain labels, but bracketed ones for outputs with a key ending in 7."""
 
