@@ -93,10 +93,12 @@ RESPONSE_DATASETS = ("aa", "bb", "cc")
 
 
 def responses_dir(spark: SparkSession, sf_dir: str) -> str:
-    """``{dataset}_responses.jsonl`` folders; one of them is delivered twice."""
+    """``{dataset}_responses.jsonl`` folders; one of them is delivered twice. Two fields have no column."""
 
     def write(path: str) -> None:
-        rows = responses_of(spark, sf_dir)
+        turn = F.substring_index("id", "_", -1).cast("int")
+        more = F.struct((turn % 4).alias("level"), F.array(F.lit("t"), "id").alias("tags"))
+        rows = responses_of(spark, sf_dir).withColumns({"metadata": more, "source": F.lit("chat")})
         for name in RESPONSE_DATASETS:
             part = rows.filter(F.col("dataset") == name).drop("dataset")
             save_jsonl(part, f"{path}/{name}_responses.jsonl")

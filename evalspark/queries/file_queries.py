@@ -50,7 +50,7 @@ from evalspark.sources.catalogue import (
 )
 from evalspark.sources.json_array import read_json_array, sample_json_array
 from evalspark.sources.jsonl import read_jsonl, read_split
-from evalspark.sources.responses import load_responses, stream_responses
+from evalspark.sources.responses import load_responses, response_field, stream_responses
 from evalspark.streaming.history import KeyedHistory
 from evalspark.streaming.incremental import (
     collapse_copies,
@@ -676,6 +676,63 @@ def reevaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "response_fields",
+    with_views(
+        """SELECT dataset, id, 'chat' AS source, split_part(id, '_', 2)::INT % 4 AS level,
+                  '["t","' || id || '"]' AS tags FROM responses""",
+        TURNS_SQL,
+        RESPONSES_SQL,
+    ),
+)
+def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that have no column of their own, from the results that a re-evaluation has written."""
+    out = scratch_path(spark, "fields")
+    reevaluate(
+        spark,
+        responses_dir(spark, sf_dir),
+        out,
+        lambda responses: judge(responses, make_containing_judge),
+        "fields",
+    )
+    return read_run_table(spark, f"{out}/results", "fields").select(
+        "dataset",
+        "id",
+        response_field("source").alias("source"),
+        response_field("metadata.level", "int").alias("level"),
+        F.to_json(response_field("metadata.tags", "variant")).alias("tags"),
+    )
+
+
+@query(
+    "reevaluate_by_field",
+    with_views(
+        """SELECT dataset, attribute, value, count(*) AS total_samples,
+                  round(avg(CAST(is_correct AS INT)), 9) AS accuracy, count(*) AS problem_count
+           FROM (SELECT *, 'level' AS attribute, (split_part(id, '_', 2)::INT % 4)::VARCHAR AS value FROM judged
+                 UNION ALL SELECT *, 'source', 'chat' FROM judged)
+           GROUP BY dataset, attribute, value""",
+        TURNS_SQL,
+        RESPONSES_SQL,
+        _JUDGED_SQL,
+    ),
+)
+def reevaluated_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a re-evaluation by two of the responses' own fields."""
+    out = scratch_path(spark, "by-field")
+    reevaluate(
+        spark,
+        responses_dir(spark, sf_dir),
+        out,
+        lambda responses: judge(responses, make_containing_judge),
+        "fields",
+        attributes={"level": "metadata.level", "source": "source"},
+    )
+    table_ = read_run_table(spark, f"{out}/attributes", "fields")
+    columns = ("dataset", "attribute", "value", "total_samples", "accuracy", "problem_count")
+    return rounded(table_.select(*columns), "accuracy")
+
+
 # --- streams ----------------------------------------------------------------------------
 
 

@@ -151,3 +151,18 @@ def test_save_by_dataset(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "dataset string, n int")
     save_by_dataset(df, str(tmp_path), "responses", "a")
     assert spark.read.json(str(tmp_path / "a_responses.jsonl")).count() == 2
+
+
+def test_undeclared_fields(spark, tmp_path):
+    lines = [
+        '{"id":"a","metadata":{"level":[1,{"x":null}]},"score":NaN,"tokens_used":1}',
+        '{"id":"b"}',
+        '{"id":"c","split":"test","extra":null}',
+        "{bad",
+    ]
+    write(tmp_path / "math_responses.jsonl", "\n".join(lines))
+    rows = load_responses(spark, str(tmp_path)).selectExpr("raw", "id", "to_json(fields) AS fields").collect()
+    got = {r["raw"]: r["fields"] for r in rows}
+    assert json.loads(got[lines[0]]) == {"metadata": {"level": [1, {"x": None}]}, "score": "nan"}
+    assert got[lines[1]] is None and got[lines[3]] is None
+    assert json.loads(got[lines[2]]) == {"extra": None}
