@@ -22,10 +22,12 @@ from evalspark.operators.metrics import (
 )
 from evalspark.operators.normalize import good_samples, normalize_many
 from evalspark.schema import GenerationConfig
+from evalspark.sinks.commits import run_commit
 from evalspark.sinks.tables import (
     new_run_id,
     read_run_table,
     register_run,
+    run_folder,
     save_jsonl,
     write_run_table,
 )
@@ -53,6 +55,8 @@ class BenchmarkSettings:
     ks: Sequence[int] = DEFAULT_KS
     strict: bool = False
     run_id: str | None = None
+    call_store: str | None = None
+    judge_name: str = ""
 
 
 def load_samples(
@@ -113,36 +117,61 @@ def run_benchmark(
 
     The lineage is cut by a written table after each stage: the raw files are read once,
     and model calls are expensive and need not repeat themselves. Unreadable records stay in
-    the samples table with their ``error``.
+    the samples table with their ``error``. The run counts once all its tables are written; with
+    ``call_store`` a run that broke off doesn't repeat the model calls it had made.
     """
     run_id = settings.run_id or new_run_id(spark, settings.model_path)
     out = settings.out_dir.rstrip("/")
-    register_run(spark, f"{out}/runs", run_id, settings.model_path, asdict(settings))
+    with run_commit(spark, out, run_id) as stages:
+        return _run_stages(spark, settings, run_id, out, stages, make_model, make_judge, groups)
+
+
+def _run_stages(
+    spark: SparkSession,
+    settings: BenchmarkSettings,
+    run_id: str,
+    out: str,
+    stages: dict[str, str],
+    make_model: ModelFactory,
+    make_judge: ModelFactory,
+    groups: DataFrame | None,
+) -> DataFrame:
+    """The stages of a run; each folder written is entered into ``stages``."""
 
+    def write_stage(rows: DataFrame, name: str) -> DataFrame:
+        write_run_table(rows, f"{out}/{name}", run_id)
+        stages[name] = run_folder(f"{out}/{name}", run_id)
+        return read_run_table(spark, f"{out}/{name}", run_id)
+
+    register_run(spark, f"{out}/runs", run_id, settings.model_path, asdict(settings))
     samples = load_samples(
         spark, settings.data_dir, settings.datasets, settings.split, settings.max_samples
     )
-    write_run_table(with_run(samples, run_id, settings.model_path), f"{out}/samples", run_id)
-    readable = good_samples(read_run_table(spark, f"{out}/samples", run_id), settings.strict)
-    prompts = with_chat(readable, settings.system_prompt)
+    written_samples = write_stage(with_run(samples, run_id, settings.model_path), "samples")
+    prompts = with_chat(good_samples(written_samples, settings.strict), settings.system_prompt)
     responses = generate(
-        prompts, make_model, settings.generation, "messages", settings.batch_size, settings.partitions
+        prompts,
+        make_model,
+        settings.generation,
+        "messages",
+        settings.batch_size,
+        settings.partitions,
+        settings.call_store and f"{settings.call_store.rstrip('/')}/generate",
+        settings.model_path,
     ).drop("messages")
-    write_run_table(responses, f"{out}/responses", run_id)
     verdicts = judge(
-        read_run_table(spark, f"{out}/responses", run_id),
+        write_stage(responses, "responses"),
         make_judge,
         settings.judge_template,
         settings.verdict_mode,
         batch_size=settings.judge_batch_size,
         tail=settings.judge_tail,
         partitions=settings.partitions,
+        store=settings.call_store and f"{settings.call_store.rstrip('/')}/judge",
+        judge_name=settings.judge_name,
     )
-    write_run_table(verdicts, f"{out}/results", run_id)
-    results = read_run_table(spark, f"{out}/results", run_id)
-    metrics = run_metrics(results, settings.ks)
-    write_run_table(metrics, f"{out}/metrics", run_id)
-    written = read_run_table(spark, f"{out}/metrics", run_id)
+    results = write_stage(verdicts, "results")
+    written = write_stage(run_metrics(results, settings.ks), "metrics")
     grouped = None
     if groups is not None:
         grouped = group_metrics(metric_rows(results, ("dataset",)), groups, ("dataset",))

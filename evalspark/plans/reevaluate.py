@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from evalspark.operators.metrics import DEFAULT_KS
 from evalspark.plans.benchmark import METRIC_KEYS, run_metrics, write_summary
-from evalspark.sinks.tables import read_run_table, write_run_table
+from evalspark.sinks.commits import run_commit
+from evalspark.sinks.tables import read_run_table, run_folder, write_run_table
 from evalspark.sources.responses import load_responses, response_field
 from evalspark.streaming.incremental import KEYS, collapse_copies
 
@@ -57,14 +58,19 @@ def reevaluate(
     out = out_dir.rstrip("/")
     loaded = load_responses(spark, results_dir).withColumn("run_id", F.lit(run_id))
     unreadable = loaded.filter(F.col("error").isNotNull())
-    write_run_table(unreadable.select("run_id", "dataset", "file", "raw", "error"), f"{out}/quarantine", run_id)
-    once = collapse_copies(loaded.filter(F.col("error").isNull()), KEYS)
-    write_run_table(judge(once.drop("error", "raw", "file")), f"{out}/results", run_id)
-    results = read_run_table(spark, f"{out}/results", run_id)
-    if attributes:
-        write_run_table(attribute_table(results, attributes, ks, tokens), f"{out}/attributes", run_id)
-    metrics = run_metrics(results, ks, tokens=tokens)
-    write_run_table(metrics, f"{out}/metrics", run_id)
-    written = read_run_table(spark, f"{out}/metrics", run_id)
-    write_summary(written, f"{out}/summary/run_id={run_id}", ks)
+    with run_commit(spark, out, run_id) as stages:
+
+        def write_stage(rows: DataFrame, name: str) -> DataFrame:
+            write_run_table(rows, f"{out}/{name}", run_id)
+            stages[name] = run_folder(f"{out}/{name}", run_id)
+            return read_run_table(spark, f"{out}/{name}", run_id)
+
+        bad = unreadable.select("run_id", "dataset", "file", "raw", "error")
+        write_run_table(bad, f"{out}/quarantine", run_id)
+        once = collapse_copies(loaded.filter(F.col("error").isNull()), KEYS)
+        results = write_stage(judge(once.drop("error", "raw", "file")), "results")
+        if attributes:
+            write_stage(attribute_table(results, attributes, ks, tokens), "attributes")
+        written = write_stage(run_metrics(results, ks, tokens=tokens), "metrics")
+        write_summary(written, f"{out}/summary/run_id={run_id}", ks)
     return written

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ from evalspark.queries.metric_queries import rounded
 from evalspark.queries.models import (
     make_containing_judge,
     make_echo_model,
+    make_failing_judge,
     make_mixed_judge,
     make_rejecting_judge,
 )
@@ -42,7 +44,8 @@ from evalspark.queries.text_queries import sql_clean, sql_literal
 from evalspark.queries.views import TURNS_SQL, record_expression, with_views
 from evalspark.schema import GenerationConfig
 from evalspark.session import scratch_path
-from evalspark.sinks.tables import read_run_table, register_run, save_jsonl, write_run_table
+from evalspark.sinks.commits import manifests
+from evalspark.sinks.tables import read_run_table, register_runs, save_jsonl, write_run_table
 from evalspark.sources.catalogue import (
     dataset_totals,
     file_inventory,
@@ -459,19 +462,29 @@ def judged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "runs_table",
-    """SELECT 'run ' || n_nationkey % 5 AS run_id, 'org/model-' || max(n_nationkey) AS model_path,
-              'model-' || max(n_nationkey) AS model, max(n_nationkey)::VARCHAR AS seed
-       FROM nation GROUP BY n_nationkey % 5""",
+    """SELECT 'run ' || strftime(o_orderdate, '%Y-%m') AS run_id, 'org/model-' || max(o_orderkey) AS model_path,
+              'model-' || max(o_orderkey) AS model, max(o_orderkey)::VARCHAR AS seed, count(*) > 1 AS replaced
+       FROM orders GROUP BY 1""",
 )
 def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered runs; registering a run again replaces its row."""
+    """A run for each month of orders: its first order registered, then all others; the last one counts."""
     path = scratch_path(spark, "runs")
-    # the nations are 25 rows at every size
-    for row in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
-        key = row["n_nationkey"]
-        register_run(spark, path, f"run {key % 5}", f"org/model-{key}", {"seed": key})
-    return read_run_table(spark, path).select(
-        "run_id", "model_path", "model", F.col("config")["seed"].alias("seed")
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    rows = orders.select(
+        F.concat(F.lit("run "), F.date_format("o_orderdate", "yyyy-MM")).alias("run_id"),
+        F.concat(F.lit("org/model-"), key).alias("model_path"),
+        F.create_map(F.lit("seed"), key.cast("string")).alias("config"),
+        F.timestamp_seconds(key).alias("started_at"),
+    )
+    first = rows.groupBy("run_id").agg(F.min("started_at").alias("started_at"))
+    before = rows.join(first, ["run_id", "started_at"])
+    register_runs(before, path)
+    register_runs(rows.join(before, ["run_id", "started_at"], "left_anti"), path)
+    later = rows.groupBy("run_id").agg((F.count(F.lit(1)) > 1).alias("replaced"))
+    runs = read_run_table(spark, path).join(later, "run_id")
+    return runs.select(
+        "run_id", "model_path", "model", F.col("config")["seed"].alias("seed"), "replaced"
     )
 
 
@@ -634,6 +647,32 @@ def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.select("dataset", "model", "accuracy", "total_samples"), "accuracy")
 
 
+@query(
+    "committed_runs",
+    with_views(
+        """SELECT run_id, stage, rows FROM (VALUES ('run1'), ('run2')) r(run_id) CROSS JOIN (
+             SELECT 'samples' AS stage, (SELECT count(*) FROM orders WHERE o_orderkey % 9 IN (0, 1)) AS rows
+             UNION ALL SELECT 'responses', (SELECT count(*) FROM run WHERE dataset IN ('math', 'gsm8k'))
+             UNION ALL SELECT 'results', (SELECT count(*) FROM run WHERE dataset IN ('math', 'gsm8k'))
+             UNION ALL SELECT 'metrics', 2) WHERE run_id <> 'run2'""",
+        _SAMPLES_SQL,
+        _echo_sql(),
+    ),
+)
+def complete_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests after one run that is complete and one whose judge failed."""
+    first = _benchmark_settings(spark, sf_dir, datasets=("math", "gsm8k"))
+    run_benchmark(spark, first, make_echo_model, make_containing_judge)
+    try:
+        broken = _benchmark_settings(
+            spark, sf_dir, datasets=("math",), run_id="run2", out_dir=first.out_dir
+        )
+        run_benchmark(spark, broken, make_echo_model, make_failing_judge)
+    except PythonException:
+        pass
+    return manifests(spark, first.out_dir).select("run_id", "stage", "rows")
+
+
 @query(
     "load_responses",
     with_views(

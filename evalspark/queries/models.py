@@ -30,6 +30,15 @@ def make_rejecting_judge():
     ]
 
 
+def make_failing_judge():
+    """Fails when it is called."""
+
+    def judge(prompts, config):
+        raise RuntimeError("the judge is gone")
+
+    return judge
+
+
 def make_mixed_judge():
     """As the judge above with plain labels, but bracketed ones for outputs with a key ending in 7."""
 

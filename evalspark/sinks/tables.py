@@ -30,7 +30,7 @@ def save_by_dataset(df: DataFrame, base: str, name: str, dataset: str, mode: str
     )
 
 
-def _run_folder(path: str, run_id: str) -> str:
+def run_folder(path: str, run_id: str) -> str:
     return f"{path.rstrip('/')}/run_id={quote(run_id, safe='')}"
 
 
@@ -42,13 +42,13 @@ def write_run_table(df: DataFrame, path: str, run_id: str) -> None:
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("dataset")
-        .parquet(_run_folder(path, run_id))
+        .parquet(run_folder(path, run_id))
     )
 
 
 def read_run_table(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """The table, or the one run's folder alone."""
-    folder = path if run_id is None else _run_folder(path, run_id)
+    folder = path if run_id is None else run_folder(path, run_id)
     inferred = spark.read.option("basePath", path).parquet(folder).schema
     # partition values such as 20240131_101500 or 007 must stay text
     fields = [
@@ -85,6 +85,33 @@ def register_run(
     )
 
 
+def register_runs(runs: DataFrame, path: str) -> None:
+    """Rows of ``run_id, model_path, config`` as runs, all in one write.
+
+    Of several rows of a run the one with the greatest ``started_at`` counts, if the table has this column. Runs that
+    were registered before and aren't among the rows stay.
+    """
+    if "started_at" not in runs.columns:
+        runs = runs.withColumn("started_at", F.current_timestamp())
+    last = runs.groupBy("run_id").agg(
+        F.max(F.struct("started_at", "model_path", F.to_json("config").alias("config"))).alias("_run")
+    )
+    (
+        last.select(
+            F.col("_run.model_path").alias("model_path"),
+            F.substring_index("_run.model_path", "/", -1).alias("model"),
+            F.col("_run.started_at").alias("started_at"),
+            F.from_json("_run.config", "map<string,string>").alias("config"),
+            "run_id",
+        )
+        .repartition("run_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id")
+        .parquet(path)
+    )
+
+
 def write_text_lines(df: DataFrame, order: list[str], line: str, path: str) -> None:
     """Ordered text; part files read in name order give the whole document."""
     df.orderBy(*order).select(F.col(line).alias("value")).write.mode("overwrite").text(path)

@@ -293,3 +293,52 @@ def test_rewritten_run_has_no_old_datasets(spark, tmp_path):
     write_run_table(rows, path, "x:1")
     write_run_table(rows.filter("dataset = 'a'"), path, "x:1")
     assert [tuple(r) for r in read_run_table(spark, path, "x:1").select("dataset", "n", "run_id").collect()] == [("a", 1, "x:1")]
+
+
+def test_broken_run_is_invisible(spark, tmp_path, data_dir):
+    from evalspark.queries.models import make_failing_judge
+    from evalspark.sinks.commits import committed_runs, manifests
+
+    def run(run_id, judge_factory, model="org/a"):
+        settings = BenchmarkSettings(
+            data_dir=str(data_dir), datasets=("math",), out_dir=str(tmp_path / "out"), model_path=model, run_id=run_id,
+            call_store=str(tmp_path / f"calls {run_id}"),
+        )
+        return run_benchmark(spark, settings, make_echo_model, judge_factory)
+
+    def grid():
+        rows = compare_runs(spark, str(tmp_path / "out/metrics"), ["a b", "r2"], ["a", "b"]).collect()
+        return {r["model"]: r["total_samples"] for r in rows}
+
+    run("a b", make_containing_judge)
+    whole = grid()["a"]
+    with pytest.raises(Exception, match="the judge is gone"):
+        run("r2", make_failing_judge, "org/b")
+    assert committed_runs(spark, str(tmp_path / "out")) == {"a b"} and grid() == {"a": whole, "b": None}
+    assert spark.read.parquet(str(tmp_path / "out/responses/run_id=r2")).count() == whole
+    run("r2", make_containing_judge, "org/b")
+    assert grid() == {"a": whole, "b": whole}
+    stages = {r["stage"]: r["rows"] for r in manifests(spark, str(tmp_path / "out")).where("run_id = 'r2'").collect()}
+    assert set(stages) == {"samples", "responses", "results", "metrics"} and stages["results"] == whole
+    # a complete run that is written again, and fails, is gone too
+    with pytest.raises(Exception, match="the judge is gone"):
+        (tmp_path / "calls a b").rename(tmp_path / "other calls")
+        run("a b", make_failing_judge)
+    assert grid() == {"b": whole}
+
+
+def test_two_writers_of_a_run_conflict(spark, tmp_path):
+    from evalspark.sinks.commits import RunConflict, committed_runs, release, run_commit
+
+    out = str(tmp_path / "out")
+    spark.range(3).write.parquet(f"{out}/t")
+    with run_commit(spark, out, "x/1") as stages:
+        stages["t"] = f"{out}/t"
+        with pytest.raises(RunConflict):
+            with run_commit(spark, out, "x/1"):
+                raise AssertionError("not reached")
+        assert committed_runs(spark, out) == set()
+        with run_commit(spark, out, "other"):
+            pass
+    assert committed_runs(spark, out) == {"x/1", "other"}
+    release(spark, out, "never")
