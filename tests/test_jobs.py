@@ -324,7 +324,7 @@ def test_broken_run_is_invisible(spark, tmp_path, data_dir):
     with pytest.raises(Exception, match="the judge is gone"):
         (tmp_path / "calls a b").rename(tmp_path / "other calls")
         run("a b", make_failing_judge)
-    assert grid() == {"b": whole}
+    assert grid() == {"a": None, "b": whole}
 
 
 def test_two_writers_of_a_run_conflict(spark, tmp_path):
