@@ -41,6 +41,31 @@ def has_boxed(text: Column) -> Column:
     return F.contains(text, F.lit("\\boxed{")) & text.rlike(BOXED)
 
 
+def balanced_boxed(text: Column) -> Column:
+    """What the first boxed answer holds, up to the brace that closes it; null if there is none or it isn't closed.
+
+    Braces behind a backslash are text. The characters are folded as runs between braces, so the work is linear.
+    """
+    mark = F.lit("\\boxed{")
+    rest = F.substr(text, F.instr(text, mark) + F.length(mark))
+    runs = F.regexp_extract_all(rest, F.lit(r"(?s)\\.|[{}]|[^{}\\]++|\\$"), F.lit(0))
+
+    def step(state: Column, run: Column) -> Column:
+        depth = state["depth"] + F.when(run == "{", 1).when(run == "}", -1).otherwise(0)
+        closed = (state["end"] < 0) & (depth == 0)
+        return F.struct(
+            depth.alias("depth"),
+            (state["at"] + F.length(run)).alias("at"),
+            F.when(closed, state["at"]).otherwise(state["end"]).alias("end"),
+        )
+
+    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+    end = F.aggregate(runs, begin, step, lambda state: state["end"])
+    held = F.filter(F.array(end), lambda e: e >= 0)
+    inside = F.get(F.transform(held, lambda e: F.substr(rest, F.lit(1), e)), F.lit(0))
+    return F.when(F.contains(text, mark), inside)
+
+
 def _phrase_branch(text: Column, phrase: str) -> tuple[Column, Column]:
     pattern = phrase_pattern(phrase)
     found = F.contains(text, F.lit(PHRASES[phrase][0])) & text.rlike(pattern)
@@ -60,8 +85,11 @@ def gsm8k_answer(text: Column) -> Column:
     ).otherwise(F.coalesce(F.try_element_at(numbers, F.lit(-1)), strip(text)))
 
 
-def extract_answer(text: Column, rule: str = "general") -> Column:
-    """The answer stated in ``text`` under one of ``RULES``."""
+def extract_answer(text: Column, rule: str = "general", balanced: bool = False) -> Column:
+    """The answer stated in ``text`` under one of ``RULES``.
+
+    A boxed answer ends at the first closing brace, or with ``balanced`` at the one that matches its opening brace.
+    """
     if rule not in RULES:
         raise ValueError(f"unknown extraction rule {rule!r}, expected one of {RULES}")
     if rule == "gsm8k":
@@ -69,7 +97,11 @@ def extract_answer(text: Column, rule: str = "general") -> Column:
     if rule in ("minerva", "olympiad"):
         text = F.coalesce(text, F.lit(""))
     fallback = _last_line(text) if rule == "math" else strip(text)
-    branches = [(has_boxed(text), F.regexp_extract(text, BOXED, 1))]
+    if balanced:
+        inside = balanced_boxed(text)
+        branches = [(inside.isNotNull(), inside)]
+    else:
+        branches = [(has_boxed(text), F.regexp_extract(text, BOXED, 1))]
     branches += [_phrase_branch(text, phrase) for phrase in RULE_PHRASES[rule]]
     first, *rest = branches
     chain = reduce(lambda c, branch: c.when(*branch), rest, F.when(*first))

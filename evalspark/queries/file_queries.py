@@ -12,6 +12,7 @@ from evalspark.operators.inference import generate
 from evalspark.operators.judging import judge, judge_inputs, verdicts_from_column
 from evalspark.operators.keyed_joins import join_verdicts
 from evalspark.operators.normalize import standardize
+from evalspark.operators.quality import expected_file_check
 from evalspark.plans.benchmark import BenchmarkSettings, run_benchmark
 from evalspark.plans.comparison import compare_runs
 from evalspark.plans.file_judge import judge_file
@@ -45,7 +46,13 @@ from evalspark.queries.views import TURNS_SQL, record_expression, with_views
 from evalspark.schema import GenerationConfig
 from evalspark.session import scratch_path
 from evalspark.sinks.commits import manifests
-from evalspark.sinks.tables import read_run_table, register_runs, save_jsonl, write_run_table
+from evalspark.sinks.tables import (
+    read_run_table,
+    register_runs,
+    save_jsonl,
+    write_run_table,
+    write_text_lines,
+)
 from evalspark.sources.catalogue import (
     dataset_totals,
     file_inventory,
@@ -234,6 +241,35 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_catalogue(spark, file_inventory(spark, datasets_dir(spark, sf_dir)))
 
 
+@query(
+    "expected_files",
+    f"""SELECT dataset, count(o_orderkey) > 0 AS has_test_file
+        FROM (VALUES {', '.join(f"('{name}', {i})" for i, name in enumerate(DATASETS))}, ('absent', -1)) d(dataset, i)
+        LEFT JOIN orders ON o_orderkey % {len(DATASETS)} = i GROUP BY dataset""",
+)
+def expected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which datasets of a folder, and one that isn't there, have a file of the expected name."""
+    found = file_inventory(spark, datasets_dir(spark, sf_dir))
+    asked = found.select("dataset").unionByName(spark.range(1).select(F.lit("absent").alias("dataset")))
+    return expected_file_check(found, asked)
+
+
+@query(
+    "ordered_text",
+    """SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS line_idx,
+              o_orderkey || ' ' || o_orderpriority AS value FROM orders""",
+)
+def ordered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in an order of their own, written as part files and numbered through by their names."""
+    path = f"{scratch_path(spark, 'ordered')}/report/test.jsonl"
+    rows = table(spark, sf_dir, "orders").select(
+        (-F.col("o_totalprice")).alias("order"), "o_orderkey",
+        F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("line"),
+    )
+    write_text_lines(rows, ["order", "o_orderkey"], "line", path)
+    return read_jsonl(spark, path).select("line_idx", "value")
+
+
 def _dealt_sql(name: str, index: int) -> str:
     """Expected readable samples of a dataset that holds every ninth order."""
     prefix, problem, answer, rule, _ = NORMALIZED[name]
@@ -613,6 +649,33 @@ def small_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "dataset_info",
+    with_views(
+        """SELECT dataset, dataset AS name, count(*) AS total_samples, 'echo' AS model,
+                  'models/echo' AS model_path, true AS stamped
+           FROM run WHERE dataset IN ('math', 'gsm8k') GROUP BY dataset""",
+        _SAMPLES_SQL,
+        _echo_sql(),
+    ),
+)
+def dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the metrics documents that a run writes say of the run."""
+    settings = _benchmark_settings(spark, sf_dir, datasets=("math", "gsm8k"))
+    run_benchmark(spark, settings, make_echo_model, make_containing_judge)
+    lines = spark.read.text(f"{settings.out_dir}/summary/run_id=run1")
+    written = F.from_json("value", "dataset string, document string").alias("w")
+    info = "struct<name: string, total_samples: bigint, model: string, model_path: string, evaluation_timestamp: string>"
+    rows = lines.select(written).select(
+        "w.dataset", F.from_json("w.document", f"dataset_info {info}")["dataset_info"].alias("i")
+    )
+    stamp = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$"
+    return rows.select(
+        "dataset", "i.name", "i.total_samples", "i.model", "i.model_path",
+        F.col("i.evaluation_timestamp").rlike(stamp).alias("stamped"),
+    )
+
+
 @query(
     "compare_runs",
     with_views(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import prompts as P
-from evalspark.functions.extraction import RULES
+from evalspark.functions.extraction import RULES, extract_answer
+from evalspark.functions.reporting import iso_stamp, run_stamp
 from evalspark.functions.text import (
     WHITESPACE_CLASS,
     clean_output,
@@ -256,21 +257,64 @@ def render_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join_generations",
-    """SELECT u.conv_id, u.turn, u.text AS problem, a.turn - u.turn AS generation_id, a.text AS output
-       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id
-       WHERE u.role = 'user' AND u.turn = 0 AND a.role = 'assistant'""",
+    """WITH asked AS (
+         SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
+                     OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations
+       ), replies AS (
+         SELECT conv_id, asked AS turn, text AS output,
+                row_number() OVER (PARTITION BY conv_id, asked ORDER BY turn) - 1 AS generation_id
+         FROM asked WHERE role = 'assistant')
+       SELECT conv_id, turn, u.text AS problem, generation_id, output
+       FROM conversations u JOIN replies USING (conv_id, turn) WHERE u.role = 'user'""",
 )
 def generations_of_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening questions with all replies of their conversation."""
+    """Every question of every conversation with the replies up to the next question."""
     rows = table(spark, sf_dir, "conversations")
-    samples = rows.filter((F.col("role") == "user") & (F.col("turn") == 0)).select(
-        "conv_id", "turn", F.col("text").alias("problem")
+    user = F.col("role") == "user"
+    asked = F.last(F.when(user, F.col("turn")), ignorenulls=True).over(
+        Window.partitionBy("conv_id").orderBy("turn")
     )
-    replies = rows.filter(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("generation_id"), F.col("text").alias("output")
+    number = F.row_number().over(Window.partitionBy("conv_id", "asked").orderBy("turn")) - 1
+    replies = (
+        rows.withColumn("asked", asked)
+        .filter(F.col("role") == "assistant")
+        .select("conv_id", F.col("asked").alias("turn"), number.alias("generation_id"), F.col("text").alias("output"))
+    )
+    samples = rows.filter(user).select("conv_id", "turn", F.col("text").alias("problem"))
+    return join_generations(samples, replies, ["conv_id", "turn"])
+
+
+@query(
+    "extract_balanced",
+    """SELECT l_orderkey, l_linenumber,
+              CASE l_linenumber % 4 WHEN 3 THEN 'no box' ELSE chr(92) || 'frac{' || l_orderkey || '}{{' || l_partkey || '}}'
+                || CASE l_linenumber % 4 WHEN 0 THEN chr(92) || '{' ELSE ' x' END END AS answer
+       FROM lineitem""",
+)
+def extract_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxed answers with braces inside, one kind with an escaped brace and one that is never closed."""
+    kind = F.col("l_linenumber") % 4
+    inside = F.concat(
+        F.lit("\\frac{"), "l_orderkey", F.lit("}{{"), "l_partkey", F.lit("}}"), F.when(kind == 0, "\\{").otherwise(" x")
+    )
+    boxed = F.concat(F.lit("So \\boxed{"), inside, F.lit("}. Not {this}."))
+    text = F.when(kind == 3, "open \\boxed{{a}\nno box").otherwise(boxed)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", extract_answer(text, "math", balanced=True).alias("answer")
+    )
+
+
+@query(
+    "time_stamps",
+    """SELECT o_orderkey, strftime(ts, '%Y%m%d_%H%M%S') AS run_stamp, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso_stamp
+       FROM (SELECT o_orderkey, make_timestamp(o_orderkey * 1000003) AS ts FROM orders)""",
+)
+def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two spellings of a time that runs and metrics carry."""
+    ts = F.timestamp_micros(F.col("o_orderkey") * 1_000_003)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", run_stamp(ts).alias("run_stamp"), iso_stamp(ts).alias("iso_stamp")
     )
-    joined = join_generations(samples, replies, ["conv_id"])
-    return joined.withColumn("generation_id", F.col("generation_id") - F.col("turn"))
 
 
 @query(

@@ -196,3 +196,34 @@ def test_fixed_rounds_like_python(spark):
 def test_strict_json(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(json_values.strict_json(F.col("t"))).first()[0]
     assert got == want
+
+
+def brute_boxed(text):
+    start = text.find("\\boxed{")
+    if start < 0:
+        return None
+    depth, i = 1, start + 7
+    while i < len(text):
+        if text[i] == "\\":
+            i += 2
+            continue
+        depth += {"{": 1, "}": -1}.get(text[i], 0)
+        if depth == 0:
+            return text[start + 7 : i]
+        i += 1
+    return None
+
+
+def test_balanced_boxed(spark):
+    rng = random.Random(2)
+    pieces = ["\\boxed{", "{", "}", "}", "\\", "\\{", "\\}", "x", "é\n", "\\frac{1}{2}", "🎉"]
+    values = ["", "\\boxed{}", "\\boxed{\\frac{1}{2}}", "\\boxed{a", "\\boxed{a\\", "\\boxed{" + "{" * 3000 + "}" * 3001]
+    values += ["".join(rng.choices(pieces, k=rng.randrange(14))) for _ in range(400)]
+    want = [brute_boxed(v) for v in values]
+    assert apply(spark, values, extraction.balanced_boxed) == want
+    assert sum(w is not None for w in want) > 50
+    got = apply(spark, values, lambda c: extraction.extract_answer(c, "math", balanced=True))
+    simple = apply(spark, values, lambda c: extraction.extract_answer(c, "math"))
+    assert all(g == w for g, w in zip(got, want) if w is not None)
+    assert all(g == s for g, s, v in zip(got, simple, values) if "boxed" not in v)
+    assert apply(spark, [None], extraction.balanced_boxed) == [None]
