@@ -33,7 +33,7 @@ from evalspark.session import scratch_path
 
 TOKENS = 128
 TREES = 12
-LEAF = 1024
+LEAF = 4096
 # orders that the branches of a root fix at once, so that only alike documents stay together
 ROOT_JUMP = 3
 # how far below the asked similarity the estimate from the tokens may lie, in standard deviations
@@ -231,7 +231,11 @@ def _least_tokens(similarity: float) -> int:
 
 
 def _leaf_pairs(numerator: int, denominator: int):
-    """Connects the classes of a leaf whose token rows leave the similarity possible."""
+    """Connects the classes of a leaf whose token rows leave the similarity possible.
+
+    Classes of one color in a node are connected already: of the pairs between two colors as many become links
+    as connect them, fewer than there are colors.
+    """
     least = _least_tokens(numerator / denominator)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +243,9 @@ def _leaf_pairs(numerator: int, denominator: int):
             node = np.asarray(part.column("node"))
             size = np.asarray(part.column("n_shingles"))
             tokens = _token_matrix(part.column("tokens"))
+            places = np.stack([node, np.asarray(part.column("color"))], axis=1)
+            _, first, color = np.unique(places, axis=0, return_index=True, return_inverse=True)
+            color = color.reshape(-1)
             left, right = [], []
             rows = np.arange(len(node))
             for step in range(1, len(node)):
@@ -248,15 +255,15 @@ def _leaf_pairs(numerator: int, denominator: int):
                     break
                 small = np.minimum(size[rows], size[rows + step])
                 large = np.maximum(size[rows], size[rows + step])
-                can = rows[small * denominator >= large * numerator]
+                can = rows[(small * denominator >= large * numerator) & (color[rows] != color[rows + step])]
                 same = (tokens[can] == tokens[can + step]).sum(axis=1)
                 left.append(can[same >= least])
                 right.append(can[same >= least] + step)
             if not left:
                 return _links(part.column("class"), rows[:0], rows[:0])
-            labels = _joined_labels(len(node), np.concatenate(left), np.concatenate(right))
-            moved = np.flatnonzero(labels != np.arange(len(node)))
-            return _links(part.column("class"), moved, labels[moved])
+            labels = _joined_labels(len(first), color[np.concatenate(left)], color[np.concatenate(right)])
+            moved = np.flatnonzero(labels != np.arange(len(first)))
+            return _links(part.column("class"), first[moved], first[labels[moved]])
 
         yield from _runs(batches, "node", work)
 
@@ -448,7 +455,7 @@ def _colored(
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """``node``, ``class`` of leaves in which all pairs of a node meet, but those of its main color.
+    """``node``, ``class``, ``color`` of leaves in which all pairs of a node meet, but those of its main color.
 
     The classes of the main color and the others are cut into blocks of half a leaf; every block of
     others meets every block.
@@ -457,23 +464,23 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     other = F.col("color") != F.col("main")
     at = F.xxhash64("class", "node")
     cut = nodes.select(
-        "node", "class", other.alias("other"), at.alias("at"),
+        "node", "class", "color", other.alias("other"), at.alias("at"),
         F.ceil(F.col("others") / half).alias("a"), F.ceil((F.col("size") - F.col("others")) / half).alias("b"),
     )
     met = cut.select(
-        "node", "class",
+        "node", "class", "color",
         F.when(F.col("other"), F.pmod("at", "a")).otherwise(F.col("a") + F.pmod("at", "b")).alias("i"),
         F.explode(
             F.sequence(F.lit(0).cast("long"), F.when(F.col("other"), F.col("a") + F.col("b")).otherwise(F.col("a")) - 1)
         ).alias("j"),
     )
-    return met.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "class")
+    return met.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "class", "color")
 
 
 def _leaves(
     classes: DataFrame, texts: DataFrame, trees: int, words: int, numerator: int, denominator: int
 ) -> tuple[DataFrame, DataFrame]:
-    """``node``, ``class`` of all leaves with more than one class, and links ``a``, ``b`` found on the way.
+    """``node``, ``class``, ``color`` of all leaves with more than one class, and links ``a``, ``b`` found on the way.
 
     Pairs that no leaf holds, though they stayed together, are connected by the links.
     """
@@ -497,7 +504,7 @@ def _leaves(
             .select("node", "size")
         )
         sized = saved(rows.join(sizes, "node"), scratch_path(spark, "path-nodes"))
-        leaves.append(sized.where(F.col("size") <= LEAF).select("node", "class"))
+        leaves.append(sized.where(F.col("size") <= LEAF).select("node", "class", "color"))
         large = sized.where(F.col("size") > LEAF)
         if large.isEmpty():
             break

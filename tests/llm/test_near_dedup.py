@@ -195,3 +195,34 @@ def test_components(spark):
     assert got == {node: least[roots[node]] for node in got}
     assert set(got) == {x for link in links for x in link}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_leaf_links_colors_once():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 16, near_dedup.TOKENS).astype(np.uint16)
+    rows = np.stack([base] * 60 + [rng.integers(0, 1 << 16, near_dedup.TOKENS).astype(np.uint16) for _ in range(20)])
+    color = [0] * 30 + [1] * 20 + list(range(2, 12)) + list(range(100, 120))
+    order = rng.permutation(80)
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "node": [5] * 80,
+            "class": [bytes([i]) for i in order.tolist()],
+            "color": [color[i] for i in order.tolist()],
+            "n_shingles": [50] * 80,
+            "tokens": [rows[i].tobytes() for i in order.tolist()],
+        }
+    )
+    (links,) = near_dedup._leaf_pairs(85, 100)(iter([batch]))
+    # twelve colors of one family, the others alike to nothing
+    assert links.num_rows == 11
+    joined = {color[b[0]]: color[b[0]] for b in batch.column("class").to_pylist()}
+
+    def root(c):
+        return c if joined[c] == c else root(joined[c])
+
+    for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist()):
+        joined[root(color[a[0]])] = root(color[b[0]])
+    assert len({root(c) for c in range(12)}) == 1 and all(root(c) == c for c in range(100, 120))
