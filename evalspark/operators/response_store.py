@@ -17,7 +17,7 @@ from evalspark.operators.dealing import deal_by_cost
 from evalspark.operators.inference import ModelFactory, model_column
 from evalspark.operators.sizes import broadcast_if_small
 from evalspark.schema import GENERATIONS_TYPE, GenerationConfig
-from evalspark.streaming.history import KeyedHistory
+from evalspark.streaming.history import MERGED_BATCHES, KeyedHistory
 
 WAVE_ROWS = 100_000
 
@@ -59,7 +59,7 @@ def stored_calls(
     known = history.candidates(wanted.select("call").distinct()).select("call").distinct()
     missing = once.join(broadcast_if_small(known), "call", "left_anti").persist()
     waves = -(-missing.count() // wave_rows)
-    done = max(history.batches(), default=-1)
+    done = max((segment.last for segment in history.segments()), default=-1)
     for wave in range(waves):
         part = missing.where(F.pmod(F.xxhash64("call"), F.lit(waves)) == wave)
         if partitions is not None:
@@ -67,6 +67,7 @@ def stored_calls(
         results = model_column(F.col("_prompt"), make_model, config, batch_size)
         history.add(part.select("call", results.alias("generations")), done + 1 + wave)
     missing.unpersist()
+    history.merge(MERGED_BATCHES, before=done + waves)
     found = history.candidates(wanted.select("call").distinct()).select(
         F.col("call").alias("_call"), F.col("generations").alias("_generations")
     )

@@ -21,3 +21,9 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of a table's first partition column, from the names of its folders; none if the path is missing."""
     pattern, files = _opened(spark, f"{path.rstrip('/')}/{column}=*")
     return [status.getPath().getName().split("=", 1)[1] for status in files.globStatus(pattern) or []]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder with all it holds, if it is there."""
+    place, files = _opened(spark, path)
+    files.delete(place, True)

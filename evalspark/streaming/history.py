@@ -2,12 +2,13 @@
 
 A batch's rows are written by bucket of their key's hash, with a Bloom filter for each bucket. A later batch reads
 only the filters of the buckets that its own keys fall into, and opens only those buckets of those batches whose filter
-may have one of its keys; the rows found there are compared by key.
+may have one of its keys; the rows found there are compared by key. Old batches are merged to one segment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 import evalspark
 from evalspark.operators.sizes import broadcast_if_small
-from evalspark.sources.folders import partition_values
+from evalspark.sources.folders import delete, partition_values
 
 # functions of this package travel to the workers whole, so it need not be installed there
 cloudpickle.register_pickle_by_value(evalspark)
@@ -27,6 +28,8 @@ BUCKETS = 32
 BITS_PER_KEY = 20
 PROBES = 8
 LEAST_BITS = 1024
+# so many batches become one segment
+MERGED_BATCHES = 32
 FILTER_SCHEMA = "bucket int, bits bigint, filter binary"
 
 
@@ -53,48 +56,79 @@ def _filter(rows: pa.Table) -> pa.Table:
 
 
 def _hits(wanted: pa.Table, filters: pa.Table) -> pa.Table:
-    """Batches whose filter of this bucket may have one of the wanted keys."""
+    """Segments whose filter of this bucket may have one of the wanted keys."""
     hashes = np.asarray(wanted.column("hash"))
     found = []
     if len(hashes):
         for row in filters.to_pylist():
             table = np.unpackbits(np.frombuffer(row["filter"], np.uint8)).astype(bool)
             if table[_places(hashes, row["bits"])].all(axis=1).any():
-                found.append((row["bucket"], row["batch_id"]))
+                found.append((row["bucket"], row["segment"]))
     return pa.table(
         {
             "bucket": pa.array([f[0] for f in found], pa.int32()),
-            "batch_id": pa.array([f[1] for f in found], pa.int64()),
+            "segment": pa.array([f[1] for f in found], pa.string()),
         }
     )
 
 
+@dataclass(frozen=True, order=True)
+class Segment:
+    """The batches from ``first`` to ``last``: one batch, or several that were merged."""
+
+    first: int
+    last: int
+
+    @property
+    def name(self) -> str:
+        return f"{self.first}-{self.last}"
+
+    def covers(self, batch: int) -> bool:
+        return self.first <= batch <= self.last
+
+
 class KeyedHistory:
     """Rows under ``path`` by batch; ``schema`` (DDL) names their columns, the key columns among them.
 
     A key occurs once in a batch; it may occur in several. Writing a batch again replaces it. Null keys equal
-    nothing and are never found. A batch costs a file for each bucket that its keys fall into.
+    nothing and are never found. A batch costs a file for each bucket that its keys fall into; ``merge`` makes
+    one segment of many batches, with the latest row of each key.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: str, buckets: int = BUCKETS):
         self.spark, self.keys, self.buckets = spark, list(keys), buckets
         self.rows_path, self.filters_path = f"{path.rstrip('/')}/rows", f"{path.rstrip('/')}/filters"
         self.schema = T.StructType.fromDDL(schema)
+        self.stored = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
 
-    def batches(self) -> set[int]:
-        """Batches that are wholly written; a missing folder is an empty history, any other fault an error."""
-        return {int(v) for v in partition_values(self.spark, self.filters_path, "batch_id")}
+    def segments(self) -> list[Segment]:
+        """Segments that are wholly written; those that a merged one covers don't count.
+
+        A missing folder is an empty history, any other fault an error.
+        """
+        names = partition_values(self.spark, self.filters_path, "segment")
+        found = sorted(Segment(*map(int, name.split("-"))) for name in names)
+        return [s for s in found if not any(o != s and o.covers(s.first) and o.covers(s.last) for o in found)]
+
+    def knows(self, batch_id: int) -> bool:
+        return any(s.covers(batch_id) for s in self.segments())
+
+    def others(self, batch_id: int) -> list[Segment]:
+        """All segments but the batch's own; a batch that was merged with others can't be told from them."""
+        found = [s for s in self.segments() if s != Segment(batch_id, batch_id)]
+        if any(s.covers(batch_id) for s in found):
+            raise ValueError(f"batch {batch_id} is older than the history; was the stream's checkpoint lost?")
+        return found
 
     def _hashed(self, rows: DataFrame) -> DataFrame:
         key_hash = F.xxhash64(*self.keys)
         return rows.withColumn("hash", key_hash).withColumn("bucket", F.pmod("hash", F.lit(self.buckets)).cast("int"))
 
-    def add(self, rows: DataFrame, batch_id: int) -> None:
-        """Writes a batch's rows, then their filters: a batch counts once its filters are there."""
-        folder = f"{self.rows_path}/batch_id={batch_id}"
-        named = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
+    def _write(self, rows: DataFrame, segment: Segment) -> None:
+        """Writes a segment's rows, then their filters: it counts once its filters are there."""
+        folder = f"{self.rows_path}/segment={segment.name}"
         (
-            self._hashed(named)
+            self._hashed(rows)
             .repartition("bucket")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
@@ -104,18 +138,40 @@ class KeyedHistory:
         hashes = self.spark.read.schema("hash bigint, bucket int").parquet(folder)
         filters = hashes.groupBy("bucket").applyInArrow(_filter, FILTER_SCHEMA)
         filters.coalesce(1).sortWithinPartitions("bucket").write.mode("overwrite").parquet(
-            f"{self.filters_path}/batch_id={batch_id}"
+            f"{self.filters_path}/segment={segment.name}"
         )
 
-    def opened(self, wanted: DataFrame, batches: Sequence[int]) -> list[tuple[int, int]]:
-        """(batch, bucket) of the folders that may have a wanted key; at most buckets times batches."""
+    def add(self, rows: DataFrame, batch_id: int) -> None:
+        """Writes a batch, or replaces it."""
+        named = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
+        self._write(named.withColumn("batch_id", F.lit(batch_id).cast("bigint")), Segment(batch_id, batch_id))
+
+    def merge(self, most: int, before: int) -> None:
+        """Once ``most`` or more segments lie before that batch, makes one of them.
+
+        The filters that a later batch reads are as many as the segments, so their number stays bounded. The merged
+        segment counts from when it is whole; then those it covers are deleted.
+        """
+        old = [s for s in self.segments() if s.last < before]
+        if len(old) < max(2, most):
+            return
+        whole = Segment(old[0].first, max(s.last for s in old))
+        rows = self._read([f"{self.rows_path}/segment={s.name}" for s in old])
+        self._write(self._latest(rows).select(*[f.name for f in self.stored]), whole)
+        for segment in old:
+            # first the filters: rows without filters are no part of the history
+            delete(self.spark, f"{self.filters_path}/segment={segment.name}")
+            delete(self.spark, f"{self.rows_path}/segment={segment.name}")
+
+    def opened(self, wanted: DataFrame, segments: Iterable[Segment]) -> list[str]:
+        """The folders that may have a wanted key; at most buckets times segments."""
         hashed = self._hashed(wanted).select("bucket", "hash")
         touched = [r["bucket"] for r in hashed.select("bucket").distinct().collect()]  # at most ``buckets``
-        if not touched or not batches:
+        folders = [f"{self.filters_path}/segment={s.name}" for s in segments]
+        if not touched or not folders:
             return []
-        folders = [f"{self.filters_path}/batch_id={b}" for b in sorted(batches)]
         filters = (
-            self.spark.read.schema(f"{FILTER_SCHEMA}, batch_id bigint")
+            self.spark.read.schema(f"{FILTER_SCHEMA}, segment string")
             .option("basePath", self.filters_path)
             .parquet(*folders)
             .where(F.col("bucket").isin(touched))
@@ -123,29 +179,32 @@ class KeyedHistory:
         pairs = (
             hashed.groupBy("bucket")
             .cogroup(filters.groupBy("bucket"))
-            .applyInArrow(_hits, "bucket int, batch_id bigint")
+            .applyInArrow(_hits, "bucket int, segment string")
         )
-        return sorted((r["batch_id"], r["bucket"]) for r in pairs.collect())
+        return sorted(f"{self.rows_path}/segment={r['segment']}/bucket={r['bucket']}" for r in pairs.collect())
+
+    def _read(self, folders: Sequence[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.stored)
+        rows = self.spark.read.schema(self.stored).option("basePath", self.rows_path).parquet(*folders)
+        return rows.select(*[f.name for f in self.stored])
 
-    def candidates(self, wanted: DataFrame, batches: Iterable[int] | None = None) -> DataFrame:
+    def candidates(self, wanted: DataFrame, segments: Iterable[Segment] | None = None) -> DataFrame:
         """Rows, with their ``batch_id``, of the folders that may have a wanted key.
 
-        ``wanted`` has the key columns; ``batches`` names those to look into, by default all.
+        ``wanted`` has the key columns; ``segments`` are those to look into, by default all.
         """
-        chosen = self.batches() if batches is None else batches
-        pairs = self.opened(wanted.select(*self.keys), list(chosen))
-        schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
-        if not pairs:
-            return self.spark.createDataFrame([], schema)
-        folders = [f"{self.rows_path}/batch_id={batch}/bucket={bucket}" for batch, bucket in pairs]
-        return self.spark.read.schema(schema).option("basePath", self.rows_path).parquet(*folders)
-
-    def latest(self, wanted: DataFrame, batches: Iterable[int] | None = None) -> DataFrame:
-        """For each wanted key that those batches have, the row of the latest one."""
-        found = self.candidates(wanted, batches).join(
-            broadcast_if_small(wanted.select(*self.keys).distinct()), self.keys, "left_semi"
-        )
+        chosen = self.segments() if segments is None else segments
+        return self._read(self.opened(wanted.select(*self.keys), chosen))
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
         values = [f.name for f in self.schema if f.name not in self.keys]
         row = F.max(F.struct("batch_id", *values)).alias("_row")
-        return found.groupBy(*self.keys).agg(row).select(*self.keys, *[F.col(f"_row.{v}") for v in values])
+        return rows.groupBy(*self.keys).agg(row).select(*self.keys, "_row.*")
 
+    def latest(self, wanted: DataFrame, segments: Iterable[Segment] | None = None) -> DataFrame:
+        """For each wanted key that those segments have, the row of the latest batch."""
+        found = self.candidates(wanted, segments).join(
+            broadcast_if_small(wanted.select(*self.keys).distinct()), self.keys, "left_semi"
+        )
+        return self._latest(found).select(*[f.name for f in self.schema])

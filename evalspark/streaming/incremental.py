@@ -15,7 +15,7 @@ from evalspark.plans.benchmark import run_metrics
 from evalspark.schema import RESPONSE_KEYS
 from evalspark.sources.folders import partition_values
 from evalspark.sources.responses import stream_responses
-from evalspark.streaming.history import KeyedHistory
+from evalspark.streaming.history import MERGED_BATCHES, KeyedHistory
 from evalspark.streaming.state import MetricState
 
 KEYS = ("run_id", *RESPONSE_KEYS)
@@ -95,12 +95,11 @@ def evaluate_stream(
         arrived = collapse_copies(batch.filter(F.col("error").isNull())).persist()
         keys = list(KEYS)
         history = verdict_history(session, out)
-        known = history.batches() - {batch_id}
         # verdicts of batches that have no history yet, as an earlier version left them
         for other in sorted({int(v) for v in partition_values(session, f"{out}/verdicts", "batch_id")}):
-            if other != batch_id and other not in known:
+            if other != batch_id and not history.knows(other):
                 history.add(session.read.parquet(f"{out}/verdicts/batch_id={other}"), other)
-                known.add(other)
+        known = history.others(batch_id)
         fresh = arrived
         if known:
             found = history.candidates(arrived, known)
@@ -112,6 +111,7 @@ def evaluate_stream(
         if str(batch_id) in partition_values(session, f"{out}/verdicts", "batch_id"):
             judged = session.read.parquet(f"{out}/verdicts/batch_id={batch_id}")
             history.add(judged, batch_id)
+            history.merge(MERGED_BATCHES, before=batch_id)
             metric_state(session, out).update(judged, batch_id)
 
     writer = (

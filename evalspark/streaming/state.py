@@ -18,7 +18,7 @@ from evalspark.functions.reporting import iso_stamp
 from evalspark.functions.scoring import pass_at_k, ratio, token_efficiency
 from evalspark.operators.metrics import DEFAULT_KS, metric_rows, per_problem
 from evalspark.sources.folders import partition_values
-from evalspark.streaming.history import KeyedHistory
+from evalspark.streaming.history import MERGED_BATCHES, KeyedHistory
 
 SUMS = {"tokens": "bigint", "correct_tokens": "bigint", "n_conf": "bigint", "sum_conf": "double"}
 BOUNDS = {"min_conf": F.min, "max_conf": F.max}
@@ -55,7 +55,7 @@ class MetricState:
         last = earlier[-1] if earlier else None
         named = verdicts.withColumns({name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in self.by})
         new = per_problem(metric_rows(named, self.by, tokens=tokens), self.by).persist()
-        before = [b for b in self.problems.batches() if b < batch_id]
+        before = [s for s in self.problems.others(batch_id) if s.last < batch_id]
         old = self.problems.latest(new, before).withColumnsRenamed({"n": "_n", "c": "_c"})
         moved = new.join(old, [*self.by, "sample_id"], "left").select(
             *self.by,
@@ -88,6 +88,7 @@ class MetricState:
         sums.write.mode("overwrite").parquet(f"{self.path}/sums/batch_id={batch_id}")
         moved.unpersist()
         new.unpersist()
+        self.problems.merge(MERGED_BATCHES, before=batch_id)
 
     def metrics(self, ks: Sequence[int] = DEFAULT_KS, version: int | None = None) -> DataFrame:
         """All metrics as of a batch, the last one by default; the columns of ``comprehensive``."""

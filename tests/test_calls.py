@@ -69,7 +69,7 @@ def test_a_broken_run_goes_on(spark, tmp_path):
 
     with pytest.raises(Exception, match="the model is gone"):
         run(counting_model(calls, fail_on="prompt 33"))
-    kept = call_store(spark, store).batches()
+    kept = call_store(spark, store).segments()
     before = {r["call"] for r in call_store(spark, store).candidates(
         rows.select(call_key(F.col("prompt"), config, "m").alias("call"))).collect()} if kept else set()
     for file in calls.iterdir():

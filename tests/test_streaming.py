@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from evalspark.operators.judging import judge
 from evalspark.plans.benchmark import run_metrics
 from evalspark.queries.models import make_containing_judge
-from evalspark.streaming.history import KeyedHistory
+from evalspark.streaming.history import KeyedHistory, Segment
+from evalspark.streaming import incremental
+from evalspark.streaming import state as state_module
 from evalspark.streaming.incremental import evaluate_stream, metric_state, stream_metrics, verdict_history
 from evalspark.streaming.state import MetricState
 
@@ -20,20 +22,24 @@ def history(spark, path):
     return KeyedHistory(spark, str(path), ["kind", "id"], SCHEMA, buckets=8)
 
 
+def one(batch):
+    return Segment(batch, batch)
+
+
 def rows_of(spark, ids, n=0):
     return spark.createDataFrame([("k", str(i), n) for i in ids], SCHEMA)
 
 
 def test_history_finds_the_latest_row(spark, tmp_path):
     h = history(spark, tmp_path / "h")
-    assert h.batches() == set() and h.candidates(rows_of(spark, [1])).count() == 0
+    assert h.segments() == [] and h.candidates(rows_of(spark, [1])).count() == 0
     h.add(rows_of(spark, range(0, 200), 1), 0)
     h.add(rows_of(spark, range(100, 300), 2), 1)
     h.add(rows_of(spark, [], 3), 2)
-    assert h.batches() == {0, 1, 2}
+    assert h.segments() == [one(0), one(1), one(2)]
     wanted = rows_of(spark, [5, 150, 299, 1000])
     assert sorted(map(tuple, h.latest(wanted).collect())) == [("k", "150", 2), ("k", "299", 2), ("k", "5", 1)]
-    assert sorted(map(tuple, h.latest(wanted, [0]).collect())) == [("k", "150", 1), ("k", "5", 1)]
+    assert sorted(map(tuple, h.latest(wanted, [one(0)]).collect())) == [("k", "150", 1), ("k", "5", 1)]
     # a batch written again has no rows of its former self
     h.add(rows_of(spark, [7], 9), 1)
     assert sorted(map(tuple, h.latest(rows_of(spark, [7, 150, 299])).collect())) == [("k", "150", 1), ("k", "7", 9)]
@@ -46,7 +52,7 @@ def test_only_buckets_that_may_have_a_key_are_opened(spark, tmp_path):
     opened = []
     for batch in range(50):
         ids = range(batch * 40, batch * 40 + 40)
-        if batch % 7 == 0:
+        if batch % 12 == 0:
             found = h.candidates(rows_of(spark, ids))
             opened.append(sum(len(open(f.removeprefix("file://"), "rb").read()) for f in found.inputFiles()))
         h.add(rows_of(spark, ids), batch)
@@ -55,10 +61,33 @@ def test_only_buckets_that_may_have_a_key_are_opened(spark, tmp_path):
     assert max(opened) <= 3 * one
     again = h.candidates(rows_of(spark, [45]))
     folders = {"/".join(f.split("/")[-3:-1]) for f in again.inputFiles()}
-    assert any(f.startswith("batch_id=1/") for f in folders) and len(folders) <= 2
+    assert any(f.startswith("segment=1-1/") for f in folders) and len(folders) <= 2
     assert again.where("id = '45'").count() == 1
 
 
+def test_merged_batches_answer_as_before(spark, tmp_path):
+    h = history(spark, tmp_path / "h")
+    for batch in range(6):
+        h.add(rows_of(spark, range(batch * 5, batch * 5 + 20), batch), batch)
+    wanted = rows_of(spark, range(60))
+    want = sorted(map(tuple, h.latest(wanted).collect()))
+    h.merge(10, before=5)
+    assert len(h.segments()) == 6
+    h.merge(4, before=5)
+    assert h.segments() == [Segment(0, 4), one(5)]
+    assert sorted(map(tuple, h.latest(wanted).collect())) == want
+    assert len(list((tmp_path / "h/rows").iterdir())) == len(list((tmp_path / "h/filters").iterdir())) == 2
+    assert h.knows(3) and not h.knows(6)
+    # the last batch may come again, merged ones can't
+    h.add(rows_of(spark, [1], 9), 5)
+    assert h.latest(rows_of(spark, [1])).first()["n"] == 9 and h.others(5) == [Segment(0, 4)]
+    with pytest.raises(ValueError, match="older than the history"):
+        h.others(3)
+    # a merge that broke off before the old batches were deleted
+    h.add(rows_of(spark, [2], 77), 2)
+    assert h.segments() == [Segment(0, 4), one(5)]
+
+
 def test_faults_are_not_an_empty_history(spark, tmp_path):
     h = history(spark, tmp_path / "h")
     h.add(rows_of(spark, range(5)), 0)
@@ -139,7 +168,7 @@ def write(path, rows):
     path.write_text("\n".join(json.dumps(r) for r in rows))
 
 
-def test_stream_keeps_history_and_state(spark, tmp_path):
+def test_stream_keeps_history_and_state(spark, tmp_path, monkeypatch):
     results, out, checkpoint = tmp_path / "results", str(tmp_path / "out"), str(tmp_path / "checkpoint")
     folder = results / "aa_responses.jsonl"
 
@@ -149,11 +178,13 @@ def test_stream_keeps_history_and_state(spark, tmp_path):
         assert got == plain(stream_metrics(spark, out, (1, 2, 5)))
         return got
 
-    for part in range(3):
+    monkeypatch.setattr(incremental, "MERGED_BATCHES", 2)
+    monkeypatch.setattr(state_module, "MERGED_BATCHES", 2)
+    for part in range(4):
         write(folder / f"part-{part}", [response(i, generation_id=g) for i in range(part * 4, part * 4 + 6) for g in (0, part)])
         run()
     assert run()[0][1] == spark.read.parquet(f"{out}/verdicts").dropDuplicates(["id", "generation_id"]).count()
-    assert verdict_history(spark, out).batches() == {0, 1, 2}
+    assert verdict_history(spark, out).segments() == [Segment(0, 2), one(3)]
 
 
 def test_verdicts_without_history_are_taken_in(spark, tmp_path):
@@ -165,6 +196,6 @@ def test_verdicts_without_history_are_taken_in(spark, tmp_path):
     moved.withColumn("batch_id", F.lit(7)).write.partitionBy("batch_id").parquet(f"{old}/verdicts")
     write(results / "bb_responses.jsonl", [response(1)])
     evaluate_stream(spark, str(results), old, judged, str(tmp_path / "two")).awaitTermination()
-    assert verdict_history(spark, old).batches() == {0, 7}
+    assert verdict_history(spark, old).segments() == [one(0), one(7)]
     got = spark.read.parquet(f"{old}/verdicts").groupBy("dataset").count().collect()
     assert {r["dataset"]: r["count"] for r in got} == {"aa": 6, "bb": 1}
