@@ -538,14 +538,15 @@ def _leaves(
 def near_duplicates(
     docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, trees: int = TREES
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept, component.
 
     Texts are cut into words at ASCII blanks, A-Z lower-cased. A document's set holds its distinct shingles of
     ``words`` words; a shorter text is one shingle; a null text, or one without words, has an empty set and is
     linked with nothing. Documents are linked if intersection / union is at least ``numerator`` /
     ``denominator``. ``component_id`` is the smallest doc_id reachable through links; ``kept`` says that it
     is the row's own. Null doc_ids are larger than any other; rows with equal doc_id are rows of their
-    own, each kept if the id is. ``text_hash`` is the xxhash64 of the text. An empty table gives an empty result.
+    own, each kept if the id is. ``text_hash`` is the xxhash64 of the text. ``component`` names the group also where several
+    have one component_id, as null ids or repeated ones can; null for empty sets. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -609,10 +610,14 @@ def near_duplicates(
     ).withColumn("component", F.coalesce("component", "class"))
     named = saved(named, scratch_path(spark, "near-components"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(ids, "component").select("class", "component_id")
+    of_class = named.join(ids, "component").select("class", "component_id", "component")
     return described.join(of_class, "class", "left").select(
         "doc_id",
         "text_hash",
         "n_shingles",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        F.col("doc_id").eqNullSafe(
+            F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        ).alias("kept"),
+        "component",
+    )

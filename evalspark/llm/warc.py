@@ -9,6 +9,7 @@ records; each record is a Zstandard frame, so a record can be read at its offset
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,9 @@ DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD_URN = "urn:page:"
-NO_URL = "about:blank"
+# the exact url where its field can't hold it: control characters, blanks at the ends
+EXACT_URL = "Page-URL"
+CONTROL = re.compile("[\x00-\x1f\x7f]")
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 DICTIONARY_BYTES = 32 << 10
@@ -83,13 +86,17 @@ def record_bytes(row: dict, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
     revisit = row["refers_to"] is not None
     block = http if revisit else http + row["payload"]
-    url = NO_URL if row["url"] is None else quote(row["url"], safe="")
+    url = row["url"]
+    # as it is, so that any reader can use it; null has no such field
+    target = [] if url is None else [f"WARC-Target-URI: {CONTROL.sub(lambda c: quote(c[0]), url).strip()}"]
+    if url is not None and (CONTROL.search(url) or url != url.strip()):
+        target.append(f"{EXACT_URL}: {quote(url, safe='')}")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {_urn(row['page_id'])}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {url}",
+        *target,
         f"WARC-Payload-Digest: sha256:{row['payload_digest']}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
@@ -110,10 +117,10 @@ def page_of_record(raw: bytes) -> dict:
     response = fields["WARC-Type"] == "response"
     if response and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest")
-    url = fields["WARC-Target-URI"]
+    url = fields.get("WARC-Target-URI")
     return {
         "page_id": _page_of(fields["WARC-Record-ID"]),
-        "url": None if url == NO_URL else unquote(url),
+        "url": unquote(fields[EXACT_URL]) if EXACT_URL in fields else url,
         "record_type": fields["WARC-Type"],
         "refers_to": None if response else _page_of(fields["WARC-Refers-To"]),
         "payload_bytes": len(payload) if response else int(stated["Content-Length"]),

@@ -60,7 +60,12 @@ def test_mix(stages):
 def test_encoded(stages):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = {r["doc_id"]: r["text"] for r in stages[4]}
-    assert len(stages[5]) == len(stages[4])
+    assert len(stages[4]) < len(stages[5]) <= 2 * len(stages[4])
+    drawn = {}
+    for r in stages[5]:
+        drawn.setdefault(r["doc_id"], {}).setdefault(r["sample"], set()).add(tuple(r["ids"]))
+        assert r["log_inclusion"] <= 0 and r["n_tokens"] == len(r["ids"])
+    assert all(len(set().union(*d.values())) == len(d) for d in drawn.values())
     assert all(library.decode(r["ids"]) == library.decode(library.encode(texts[r["doc_id"]])) for r in stages[5])
 
 
@@ -70,10 +75,25 @@ def test_stages_keep_columns_and_take_edges(spark):
         docs = corpus_pipeline.saved(stage(spark, docs, SF_DIR), corpus_pipeline.scratch_path(spark, name))
         assert docs.columns == list(corpus_pipeline.DOCUMENT)
         assert docs.count() > 0
-    assert corpus_pipeline.encode(spark, docs, SF_DIR).count() == docs.count()
+    assert docs.count() <= corpus_pipeline.encode(spark, docs, SF_DIR).count() <= 2 * docs.count()
 
 
 def test_empty_documents(spark):
     docs = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF_DIR).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(7, text), (7, text), (7, text + " end"), (9, text), (None, other), (None, other), (None, other + " end"), (3, other + " x")]
+    rows += [(None, None), (None, ""), (4, None), (5, "alone of all"), (5, "alone of all"), (5, "quite another one")]
+    rows += [(None, f"{text} {other}"), (None, f"{text} {other}")]
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    sevens = [r for r in got if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0][1].startswith(text)
+    want = [(3, other + " x"), (None, None), (None, ""), (4, None), (5, "alone of all"), (5, "quite another one"), (None, f"{text} {other}")]
+    assert [r for r in got if r[0] != 7] == sorted(want, key=repr)

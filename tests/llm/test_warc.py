@@ -79,3 +79,18 @@ def test_changed_payload_fails():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_target_uri_is_readable_by_others():
+    def record(url):
+        row = {"page_id": 1, "url": url, "payload": b"x", "payload_bytes": 1, "payload_digest": hashlib.sha256(b"x").hexdigest(), "refers_to": None}
+        return warc.record_bytes(row, "2024-01-01T00:00:00Z")
+
+    url = "https://example.org/a?b=c%20d&é=1"
+    raw = record(url)
+    assert f"\r\nWARC-Target-URI: {url}\r\n".encode() in raw
+    for exact in (url, "", " x", "a\r\nb: c", "%0D", "\x00\x7f", "a: b", None):
+        raw = record(exact)
+        assert warc.page_of_record(raw)["url"] == exact
+        head = raw.split(b"\r\n\r\n")[0]
+        assert (b"WARC-Target-URI" in head) == (exact is not None) and head.count(b"\r\n") <= 9
