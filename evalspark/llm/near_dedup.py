@@ -50,6 +50,8 @@ LOW_TOKENS = 2.0
 REPRESENTATIVES = 2
 # rows that a branching task makes at once
 BRANCH_ROWS = 1 << 18
+# pairs that a leaf holds before it joins them
+LEAF_PAIRS = 1 << 16
 CLUSTER_SHINGLES = 4 << 20
 CLUSTER_CLASSES = 4096
 LEAST_ID = -(1 << 63)
@@ -246,7 +248,12 @@ def _leaf_pairs(numerator: int, denominator: int):
             places = np.stack([node, np.asarray(part.column("color"))], axis=1)
             _, first, color = np.unique(places, axis=0, return_index=True, return_inverse=True)
             color = color.reshape(-1)
-            left, right = [], []
+            label = np.arange(len(first))
+            left, right, held = [label], [label], 0
+
+            def joined() -> np.ndarray:
+                return _joined_labels(len(first), np.concatenate([*left, label]), np.concatenate([*right, label]))
+
             rows = np.arange(len(node))
             for step in range(1, len(node)):
                 rows = rows[rows < len(node) - step]
@@ -255,15 +262,20 @@ def _leaf_pairs(numerator: int, denominator: int):
                     break
                 small = np.minimum(size[rows], size[rows + step])
                 large = np.maximum(size[rows], size[rows + step])
-                can = rows[(small * denominator >= large * numerator) & (color[rows] != color[rows + step])]
+                # what is connected so far isn't compared
+                apart = label[color[rows]] != label[color[rows + step]]
+                can = rows[(small * denominator >= large * numerator) & apart]
                 same = (tokens[can] == tokens[can + step]).sum(axis=1)
-                left.append(can[same >= least])
-                right.append(can[same >= least] + step)
-            if not left:
-                return _links(part.column("class"), rows[:0], rows[:0])
-            labels = _joined_labels(len(first), color[np.concatenate(left)], color[np.concatenate(right)])
-            moved = np.flatnonzero(labels != np.arange(len(first)))
-            return _links(part.column("class"), first[moved], first[labels[moved]])
+                found = can[same >= least]
+                left.append(color[found])
+                right.append(color[found + step])
+                held += len(found)
+                if held > LEAF_PAIRS:
+                    label = joined()
+                    left, right, held = [np.arange(len(first))], [label], 0
+            label = joined()
+            moved = np.flatnonzero(label != np.arange(len(first)))
+            return _links(part.column("class"), first[moved], first[label[moved]])
 
         yield from _runs(batches, "node", work)
 
