@@ -40,6 +40,7 @@ def wide_comparison(grid: DataFrame, models: Sequence[str], value: str = "accura
 
 def summary_lines(metrics: DataFrame) -> DataFrame:
     """``(dataset, line)``: one sentence per metrics row."""
+    # The wording of the sentence.
     return metrics.select(
         "dataset",
         F.concat(
@@ -96,6 +97,7 @@ def report_lines(grid: DataFrame) -> DataFrame:
 
 def with_title(lines: DataFrame) -> DataFrame:
     """Report lines below the title, which sorts before every dataset."""
+    # The title of the report.
     title = [("", 0, "", "# Model Comparison Report"), ("", 1, "", "")]
     head = lines.sparkSession.createDataFrame(
         title, "dataset string, line_no int, model string, line string"

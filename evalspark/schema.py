@@ -30,6 +30,7 @@ JUDGE_RECORD_SCHEMA = (
 class GenerationConfig:
     """Sampling parameters passed unchanged to the user's model callable."""
 
+    # Names and defaults of the parameters.
     temperature: float = 0.7
     top_p: float = 0.9
     top_k: int = 50
