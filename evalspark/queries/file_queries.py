@@ -838,7 +838,7 @@ def reevaluated_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------
 
 
-def _run_stream(spark: SparkSession, sf_dir: str) -> str:
+def _run_stream(spark: SparkSession, sf_dir: str, keep_state: bool = False) -> str:
     out = scratch_path(spark, "stream")
     stream = evaluate_stream(
         spark,
@@ -847,6 +847,7 @@ def _run_stream(spark: SparkSession, sf_dir: str) -> str:
         lambda responses: judge(responses, make_containing_judge),
         f"{out}/checkpoint",
         files_per_trigger=4,
+        keep_state=keep_state,
     )
     stream.awaitTermination()
     return out
@@ -881,7 +882,7 @@ def metrics_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def state_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics that the stream's state has taken in batch by batch."""
-    return _metric_columns(metric_state(spark, _run_stream(spark, sf_dir)).metrics())
+    return _metric_columns(metric_state(spark, _run_stream(spark, sf_dir, keep_state=True)).metrics())
 
 
 @query(

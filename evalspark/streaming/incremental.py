@@ -68,13 +68,14 @@ def evaluate_stream(
     checkpoint_dir: str,
     available_now: bool = True,
     files_per_trigger: int = 1000,
+    keep_state: bool = True,
 ) -> StreamingQuery:
     """Judges arriving response files into ``{out_dir}/verdicts``, once per response.
 
     Each micro-batch replaces its own ``batch_id`` partition, so a repeated batch leaves no
     copies. Re-delivered responses are folded within the batch. Earlier batches are asked through
     ``{out_dir}/history``: only those buckets of keys are opened whose filters may have a key that arrived.
-    ``{out_dir}/state`` takes in each batch's verdicts. A repeated batch writes verdicts, history and state anew
+    ``{out_dir}/state`` takes in each batch's verdicts, unless ``keep_state`` is false. A repeated batch writes verdicts, history and state anew
     and does not see its own rows. Lines that cannot be read go to ``{out_dir}/quarantine``.
     """
     out = out_dir.rstrip("/")
@@ -112,7 +113,8 @@ def evaluate_stream(
             judged = session.read.parquet(f"{out}/verdicts/batch_id={batch_id}")
             history.add(judged, batch_id)
             history.merge(MERGED_BATCHES, before=batch_id)
-            metric_state(session, out).update(judged, batch_id)
+            if keep_state:
+                metric_state(session, out).update(judged, batch_id)
 
     writer = (
         stream_responses(spark, results_dir, files_per_trigger)
