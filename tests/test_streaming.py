@@ -128,7 +128,7 @@ def test_state_equals_all_verdicts(spark, tmp_path):
     state = MetricState(spark, str(tmp_path / "s"))
     assert state.metrics().count() == 0
     batches, ks = [], (1, 2, 5)
-    for number, size in enumerate((30, 1, 60, 0, 25)):
+    for number, size in enumerate((30, 0, 60)):
         batches.append(verdicts(spark, rng, size))
         state.update(batches[-1], number)
         all_rows = batches[0]
@@ -139,7 +139,7 @@ def test_state_equals_all_verdicts(spark, tmp_path):
         # the batch once more, as after a failure before the stream noted it
         state.update(batches[-1], number)
         assert plain(state.metrics(ks)) == want
-    assert state.versions() == [0, 1, 2, 3, 4]
+    assert state.versions() == [0, 1, 2]
     first = run_metrics(batches[0], ks, ("dataset",))
     assert plain(state.metrics(ks, version=0)) == plain(first)
 
