@@ -1,11 +1,11 @@
 """Exact copies by an extendible-hash index kept as a table in the shared folder.
 
-Texts are hashed; equal rows meet in an aggregation that compares the bytes of hash and text, with
-a partial step in every task, so a group of any size reaches its owner as one row per task. The
-distinct texts are the entries of the index. Its directory starts as one bucket and doubles
-wherever a bucket is overfull, until every bucket holds at most ``BUCKET_ENTRIES`` entries. A bucket is a
-range of hashes and has one owner task; entries of equal hash and different bytes are chained in it.
-Rows find their entry through the directory.
+The distinct hashes of all texts build the directory. It starts as one bucket and doubles wherever a
+bucket is overfull, until every bucket holds at most ``BUCKET_ENTRIES`` hashes. A bucket is a range of hashes and
+has one owner task. Copies are first folded in ``LANES`` lanes, so that a group of any size reaches its
+owner as at most one row a lane, with its bytes. The owner compares the bytes of the rows of each
+hash: equal ones are one entry, and entries of equal hash and different bytes are chained. Rows
+find their hash through the directory, and their entry in a chain of several by its digest.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ BUCKET_ENTRIES = 1 << 13
 # a hash has so many leading bits that the directory can use
 MAX_DEPTH = 24
 HASH_BITS = 64
+# a group comes to its owner in at most so many rows
+LANES = 16
+# pointers of a directory of so many bits, 24 bytes each, may be broadcast
+BROADCAST_DEPTH = 18
 
 
 def normalized(text: Column) -> Column:
@@ -93,31 +97,42 @@ def group_copies(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
     keyed = docs.select("doc_id", normalized(F.col("text")).alias("body")).withColumn(
         "h", F.xxhash64("body")
     )
-    # equal hash and equal bytes: the aggregation compares both, in the task first
-    entries = saved(
-        keyed.groupBy("h", "body")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size"),
-        scratch_path(spark, "copy-entries"),
-    )
-    buckets = saved(directory(entries, capacity), scratch_path(spark, "copy-directory"))
+    hashes = keyed.select("h").distinct()
+    buckets = saved(directory(hashes, capacity), scratch_path(spark, "copy-directory"))
     depth = buckets.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     owners = pointers(buckets, depth)
+    if depth <= BROADCAST_DEPTH:
+        owners = F.broadcast(owners)
     slot = _prefix(F.col("h"), F.lit(depth))
-    chain = Window.partitionBy("depth", "prefix", "h").orderBy("text_sha256")
+    lanes = (
+        keyed.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES)))
+        .groupBy("lane", "h", "body")
+        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    )
+    in_bucket = Window.partitionBy("depth", "prefix", "h")
     index = saved(
-        entries.withColumn("slot", slot)
+        lanes.withColumn("slot", slot)
         .join(owners, "slot")
         .repartition("depth", "prefix")
-        .withColumn("chain", F.row_number().over(chain))
-        .select("depth", "prefix", "h", "chain", "text_sha256", "keep_id", "group_size"),
+        # rows of equal bytes have the same place in the chain of their hash
+        .withColumn("chain", F.dense_rank().over(in_bucket.orderBy("body")))
+        .select("depth", "prefix", "h", "chain", F.sha2("body", 256).alias("text_sha256"), "keep_id", "copies")
+        .groupBy("depth", "prefix", "h", "chain")
+        .agg(
+            F.min("text_sha256").alias("text_sha256"),
+            F.min("keep_id").alias("keep_id"),
+            F.sum("copies").alias("group_size"),
+        )
+        .withColumn("chained", F.count(F.lit(1)).over(in_bucket)),
         scratch_path(spark, "copy-index"),
     )
-    rows = keyed.select("doc_id", "h", F.sha2("body", 256).alias("text_sha256"))
+    rows = keyed.select("doc_id", "h", F.sha2("body", 256).alias("digest"))
+    found = (F.col("chained") == 1) | (F.col("digest") == F.col("text_sha256"))
     return (
         rows.withColumn("slot", slot)
         .join(owners, "slot")
-        .join(index, ["depth", "prefix", "h", "text_sha256"])
+        .join(index, ["depth", "prefix", "h"])
+        .where(found)
         .select(
             "doc_id",
             "keep_id",

@@ -56,3 +56,23 @@ def test_chained_collisions(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(5).cast("bigint"))
     rows = edge_rows()
     assert found(exact_dedup.group_copies(documents(spark, rows), 2)) == brute(rows)
+
+
+def test_bytes_are_compared_in_the_buckets(spark, monkeypatch):
+    # without places in the chain, texts of equal hash would become one group
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(5).cast("bigint"))
+    monkeypatch.setattr(exact_dedup.F, "dense_rank", lambda: F.max(F.lit(1)))
+    rows = [(1, "a", None, None, None), (2, "b", None, None, None)]
+    merged = exact_dedup.group_copies(documents(spark, rows)).collect()
+    assert {r["group_size"] for r in merged} != {1}
+
+
+def test_groups_over_many_partitions(spark):
+    rows = [(i, f"text {i % 7}", None, None, None) for i in range(400)]
+    docs = documents(spark, rows).repartition(23)
+    assert found(exact_dedup.group_copies(docs, 2)) == brute(rows)
+
+
+def test_plan_is_native(spark):
+    plan = exact_dedup.group_copies(documents(spark, edge_rows()))._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
