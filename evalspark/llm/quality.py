@@ -2,22 +2,24 @@
 
 Of a labelled document of quality 1 and one of quality 0 the first is preferred. The score of a document is
 linear in features of its text, and the probability of a preference is the logistic function of the
-difference of two scores; so the loss is logistic in feature differences. The threshold is the
-quantile of the training scores that cuts off the share of quality 0. Training takes a
-bounded sample of labelled documents; all documents are scored in their tasks.
+difference of two scores; so the loss is logistic in feature differences. The weights are fitted to a
+bounded sample of labelled documents, whatever the order of the rows. The threshold is the quantile of the scores of
+all labelled documents that cuts off their share of quality 0. All documents are scored in their tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import output_schema, replaced, slices, utf8
+from evalspark.llm.common import output_schema, replaced, saved, slices, utf8
+from evalspark.operators.ranks import values_at_ranks
+from evalspark.session import scratch_path
 
 # bounds of what training collects: labelled documents of either quality, and pairs of them
 SAMPLE_PER_CLASS = 2000
@@ -92,7 +94,8 @@ class Model:
     def rank(self, rows: np.ndarray) -> np.ndarray:
         own = _weighed(rows, self.typical)
         scaled = np.clip((own - self.mean) / self.spread, -SPREAD_LIMIT, SPREAD_LIMIT)
-        return scaled @ self.weights
+        # a matrix product would round by the place of a row in its batch
+        return (scaled * self.weights).sum(axis=1)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Probability that the document would be preferred to one at the threshold."""
@@ -130,6 +133,39 @@ def fit_preferences(rows: np.ndarray, labels: np.ndarray, seed: int = 7) -> Mode
     return Model(typical, mean, spread, weights, float((ordered[cut - 1] + ordered[cut]) / 2))
 
 
+def _ranked(model: Model):
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = np.array([features(t) for t in utf8(part, "text")])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(model.rank(rows))], names=["doc_id", "rank"]
+                )
+
+    return rank
+
+
+def cut_off(docs: DataFrame, open_: DataFrame, model: Model) -> float:
+    """The rank that as many labelled documents stay below as have quality 0.
+
+    It lies halfway between two ranks of documents of ``open_`` (doc_id, quality). Documents are ranked in their tasks, only ids and ranks
+    meet the labels. Where fewer than two labels find a document or all have one quality, it is the model's own.
+    """
+    ranks = (
+        docs.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+        .select("doc_id", "text")
+        .mapInArrow(_ranked(model), "doc_id bigint, rank double")
+        .join(open_, "doc_id")
+    )
+    ranks = saved(ranks.select("quality", "rank"), scratch_path(docs.sparkSession, "label-ranks"))
+    total, bad = ranks.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 0)).first()
+    if not 0 < bad < total:
+        return model.threshold
+    # a row for each of the two wanted ranks
+    both = values_at_ranks(ranks, [], "rank", [F.lit(bad - 1).cast("bigint"), F.lit(bad).cast("bigint")])
+    return float(both.agg(F.avg("value")).first()[0])
+
+
 def is_held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 1 on division by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
@@ -140,36 +176,47 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             rows = [features(t).tolist() for t in utf8(part, "text")]
             yield pa.RecordBatch.from_arrays(
-                [part.column("quality"), pa.array(rows, pa.list_(pa.float64()))],
-                names=["quality", "features"],
+                [part.column("place"), part.column("quality"), pa.array(rows, pa.list_(pa.float64()))],
+                names=["place", "quality", "features"],
             )
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, seed: int = 7) -> Model:
     """Fits the model to at most ``per_class`` labelled documents of either quality.
 
-    Only documents that aren't held out are taken; which ones follows from the hash of their id. Labels other than
-    0 and 1 and rows without an id play no part.
+    Only documents that aren't held out are taken; which ones follows from the hash of their id. Of rows with the same id
+    the least text is taken. Labels other than 0 and 1 and rows without an id play no part. The threshold comes from all
+    labelled documents that aren't held out.
     """
-    open_ = labels.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    order = F.xxhash64("doc_id", F.lit(seed))
+    open_ = (
+        labels.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+        .where(F.col("quality").isin(0, 1))
+        .select("doc_id", F.col("quality").cast("int").alias("quality"))
+        .distinct()
+    )
+    place = F.xxhash64("doc_id", F.lit(seed)).alias("place")
     drawn = [
-        open_.where(F.col("quality") == q).select("doc_id", F.lit(q).alias("quality")).distinct()
-        .orderBy(order).limit(per_class)
+        open_.where(F.col("quality") == q).select("doc_id", "quality", place)
+        .orderBy("place", "doc_id").limit(per_class)
         for q in (0, 1)
     ]
     sample = drawn[0].unionByName(drawn[1])
+    # at most a row for each of the 2 * per_class rows of the sample
     rows = (
         docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")  # at most 2 * per_class rows
-        .select("quality", "text")
-        .mapInArrow(_features_of, "quality int, features array<double>")
-        .limit(4 * per_class)
+        .join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id", "quality", "place")
+        .agg(F.min("text").alias("text"))
+        .mapInArrow(_features_of, "place long, quality int, features array<double>")
         .toArrow()
+        .sort_by([("quality", "ascending"), ("place", "ascending")])
     )
     width = len(features(b""))
     matrix = np.array(rows.column("features").to_pylist(), dtype=float).reshape(-1, width)
-    return fit_preferences(matrix, np.array(rows.column("quality").to_pylist(), dtype=int), seed)
+    model = fit_preferences(matrix, np.array(rows.column("quality").to_pylist(), dtype=int), seed)
+    if not model.weights.any():
+        return model
+    return replace(model, threshold=cut_off(docs, open_, model))
 
 
 def _scored(model: Model):

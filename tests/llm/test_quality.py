@@ -65,3 +65,47 @@ def test_held_out_rows_never_train(spark):
     marks = labels(spark, [(i, i % 2, 0) for i in held])
     assert docs.where(~quality.is_held_out(F.col("doc_id"))).count() == 0
     assert not quality.train(docs, marks).weights.any()
+
+
+def test_layout_and_bound_of_the_sample(spark):
+    rng = random.Random(2)
+    # the share of quality 0 is a tenth, whatever the sample
+    rows = [
+        (i, "### $$$ " * rng.randint(3, 9) if i % 10 == 0 else sentence(rng, rng.randint(5, 60)), None, None, None)
+        for i in range(1_500)
+    ]
+    marks = labels(spark, [(i, int(i % 10 != 0), 0) for i in range(1_500)])
+    docs = documents(spark, rows)
+    scores = []
+    for order in (docs, docs.repartition(13).orderBy(F.xxhash64("doc_id"))):
+        scored = quality.score_quality(order, marks, per_class=40)
+        scores.append({r["doc_id"]: r["score"] for r in scored.collect()})
+    assert scores[0] == scores[1]
+    learned = [s for i, s in scores[0].items() if zlib.crc32(str(i).encode()) % 3 != 1]
+    bad = sum(i % 10 == 0 and zlib.crc32(str(i).encode()) % 3 != 1 for i in scores[0])
+    assert sum(s < 0.5 for s in learned) == bad
+
+
+def test_threshold_is_a_quantile_of_all_labels(spark):
+    rng = random.Random(3)
+    # noisy labels: the scores of the qualities overlap
+    rows = [(i, sentence(rng, 20) + " $$" * rng.randint(0, 9), None, None, None) for i in range(1_200)]
+    marks = [(i, int(rng.random() > (0.1 + 0.04 * rows[i][1].count("$$"))), 0) for i in range(1_200)]
+    docs, table = documents(spark, rows), labels(spark, marks)
+    model = quality.train(docs, table, per_class=30)
+    held = {i for i in range(1_200) if zlib.crc32(str(i).encode()) % 3 == 1}
+    own = sorted(
+        float(model.rank(quality.features(t.encode())[None])[0]) for i, t, *_ in rows if i not in held
+    )
+    bad = sum(q == 0 for i, q, _ in marks if i not in held)
+    assert abs(model.threshold - (own[bad - 1] + own[bad]) / 2) < 1e-9
+
+
+def test_repeated_ids(spark):
+    rows = [(5, "b $$$", None, None, None)] * 300 + [(5, "a ###", None, None, None), (6, None, None, None, None)]
+    rows += [(7 + i, "some words of plain text.", None, None, None) for i in range(20)]
+    marks = labels(spark, [(5, 0, 0), (6, 0, 0)] + [(7 + i, 1, 0) for i in range(20)])
+    docs = documents(spark, rows)
+    first = {r["text"]: r["score"] for r in quality.score_quality(docs, marks).collect()}
+    again = {r["text"]: r["score"] for r in quality.score_quality(docs.repartition(9), marks).collect()}
+    assert first == again
