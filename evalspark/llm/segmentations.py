@@ -31,7 +31,7 @@ from evalspark.llm.common import mix64, output_schema, slices, strings
 
 SPACE = "▁"
 SLICE_TEXT = 1 << 20
-# words up to this length are laid out as a table of characters
+# words up to this length are laid out together as a table of characters, longer ones each by its places
 LONG_WORD = 48
 FILTER_BITS = 22
 # log weight of a character spelled in bytes; nothing competes with it
@@ -95,7 +95,9 @@ class Lattice:
 
     def __init__(self, vocabulary: _Vocabulary, words: list[str]):
         self.vocabulary = vocabulary
-        self.total = np.zeros(1)
+        # of each state, with room for more
+        self.total = np.zeros(1 << 10)
+        self.states = 1
         self.edges: list[tuple[np.ndarray, ...]] = []
         self.first: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
         self.count = 0
@@ -108,7 +110,7 @@ class Lattice:
             order = np.array(sorted(short.tolist(), key=words.__getitem__), dtype=np.int64)
             self._grow([words[i] for i in order.tolist()], order)
         for i in np.flatnonzero(size > LONG_WORD).tolist():
-            self._grow([words[i]], np.array([i]))
+            self.final[i] = self._grow_long(words[i])
         self.net = self._arrays()
 
     def _grow(self, words: list[str], places: np.ndarray) -> None:
@@ -124,7 +126,7 @@ class Lattice:
         states = np.zeros((len(words), width + 1), dtype=np.int64)
         for end in range(1, width + 1):
             rows = np.flatnonzero((shared < end) & (sizes >= end))
-            base = len(self.total)
+            base = self.states
             self._add(characters, states, rows, end)
             new = np.zeros(len(words), dtype=np.int64)
             new[rows] = np.arange(base, base + len(rows))
@@ -155,17 +157,61 @@ class Lattice:
                 owners.append(at)
                 befores.append(before)
                 scores.append(self.total[before] + SPELLED_WEIGHT)
-                codes = (characters[rows[at], end - 1] - np.uint64(1)).tolist()
-                outputs.append(
-                    np.array(
-                        [self.spelled.setdefault(c, v.size + len(self.spelled)) for c in codes],
-                        dtype=np.int64,
-                    )
-                )
-        owner = np.concatenate(owners)
+                outputs.append(self._spelled(characters[rows[at], end - 1]))
+        owner, before, score, output = map(np.concatenate, (owners, befores, scores, outputs))
         order = np.argsort(owner, kind="stable")
-        owner = owner[order]
-        score = np.concatenate(scores)[order]
+        self._append(owner[order], before[order], score[order], output[order])
+
+    def _grow_long(self, word: str) -> int:
+        """Adds the states of a long word and returns its last: pieces are found at all places together.
+
+        Time and memory grow with the length; only the sums of the prefixes are made one by one.
+        """
+        v = self.vocabulary
+        codes = np.array([word], dtype=f"U{len(word)}").view(np.uint32).astype(np.uint64) + np.uint64(1)
+        length = len(codes)
+        hashes = np.zeros(length, dtype=np.uint64)
+        owners, befores, weights, outputs = [], [], [], []
+        for size in range(1, min(length, v.longest) + 1):
+            hashes[size - 1 :] += codes[: length - size + 1] * v.powers[size - 1]
+            at, number = v.found(hashes[size - 1 :], size)
+            owners.append(at + size - 1)
+            befores.append(at)
+            weights.append(v.weights[number])
+            outputs.append(v.ids[number])
+            if size == 1 and len(at) < length:
+                alone = np.ones(length, dtype=bool)
+                alone[at] = False
+                at = np.flatnonzero(alone)
+                owners.append(at)
+                befores.append(at)
+                weights.append(np.full(len(at), SPELLED_WEIGHT))
+                outputs.append(self._spelled(codes[at]))
+        owner, before, weight, output = map(np.concatenate, (owners, befores, weights, outputs))
+        order = np.argsort(owner, kind="stable")
+        owner, before, weight, output = owner[order], before[order], weight[order], output[order]
+        bounds = np.searchsorted(owner, np.arange(length + 1)).tolist()
+        places, own = before.tolist(), weight.tolist()
+        totals = [0.0]
+        for low, high in zip(bounds, bounds[1:]):
+            ways = [totals[places[i]] + own[i] for i in range(low, high)]
+            most = max(ways)
+            totals.append(most + math.log(sum([math.exp(x - most) for x in ways])))
+        base = self.states
+        score = np.array(totals)[before] + weight
+        self._append(owner, np.where(before > 0, base + before - 1, 0), score, output)
+        return base + length - 1
+
+    def _spelled(self, characters: np.ndarray) -> np.ndarray:
+        """Output rows of characters without a piece."""
+        v = self.vocabulary
+        codes = (characters - np.uint64(1)).tolist()
+        return np.array(
+            [self.spelled.setdefault(c, v.size + len(self.spelled)) for c in codes], dtype=np.int64
+        )
+
+    def _append(self, owner: np.ndarray, before: np.ndarray, score: np.ndarray, output: np.ndarray) -> None:
+        """Adds states and their edges, which stand in order of ``owner``, the number of the new state."""
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         most = np.maximum.reduceat(score, starts)
         share = np.exp(score - most[owner])
@@ -175,13 +221,14 @@ class Lattice:
         run -= (run - chance)[starts][owner]
         # the last edge takes whatever number is drawn
         run[np.append(starts[1:], len(run)) - 1] = 2.0
-        base = len(self.total)
+        base = self.states
         self.first.append(self.count + starts)
         self.count += len(owner)
-        self.edges.append(
-            (base + owner, np.concatenate(befores)[order], chance, run, np.concatenate(outputs)[order])
-        )
-        self.total = np.concatenate([self.total, most + np.log(whole)])
+        self.edges.append((base + owner, before, chance, run, output))
+        self.states += len(starts)
+        if self.states > len(self.total):
+            self.total = np.concatenate([self.total[:base], np.zeros(2 * self.states - base)])
+        self.total[base : self.states] = most + np.log(whole)
 
     def _arrays(self) -> dict[str, np.ndarray]:
         kinds = (np.int64, np.int64, float, float, np.int64)

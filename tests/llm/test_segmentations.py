@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -114,3 +115,27 @@ def test_table(spark, library):
 def test_empty_table(spark):
     empty = segmentations.sample_encodings(documents(spark, []), PATH)
     assert segmentations.decode_ids(empty, PATH).count() == 0
+
+
+def test_long_words_as_short_ones(library, monkeypatch):
+    # the same lattice, whichever way it is laid out
+    words = ["▁antidisestablishment", "▁日本語の文字列", "a", "▁\x00\U0001f600x", "▁antidote"]
+    nets = []
+    for bound in (48, 0):
+        monkeypatch.setattr(segmentations, "LONG_WORD", bound)
+        sampler = segmentations.Sampler(PATH, 3)
+        nets.append(sampler.sample(["".join(words), *words], keys(6)))
+    for one, other in zip(*nets):
+        assert [len(p.edges) for p in one] == [len(p.edges) for p in other]
+        assert np.allclose([p.log_prob for p in one], [p.log_prob for p in other])
+
+
+def test_text_without_blanks_takes_no_square(library):
+    sampler = segmentations.Sampler(PATH, 2)
+    text = "".join(chr(0x3041 + i * i % 83) for i in range(100_000))
+    urls = " ".join(f"https://example.org/{'path/' * 15}{i}" for i in range(1_000))
+    start = time.perf_counter()
+    sampler.sample([text], keys(1))
+    sampler.sample([urls], keys(1))
+    # laid out character by character it took minutes
+    assert time.perf_counter() - start < 30
