@@ -26,6 +26,10 @@ BLOCK_BYTES = 64 << 20
 CHUNK_BYTES = 8 << 20
 # with a limit, so much of each source is scanned first
 FIRST_BYTES = 64 << 10
+# opening a file costs as much as reading so many bytes
+OPEN_BYTES = 64 << 10
+# many small blocks are dealt to so many tasks for each core
+TASKS_PER_CORE = 4
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
 
 
@@ -107,20 +111,57 @@ def source_blocks(source: int, files: Sequence[File], block_bytes: int) -> list[
     return out
 
 
+def onward(block: Block, start: int) -> Iterator[bytes]:
+    """The bytes of a block from ``start``, then those behind it in steps that double: little is read for a short rest.
+
+    A compressed file is read from its start to its end.
+    """
+    if block.file.compressed:
+        yield from chunks_of(block.file, 0)
+        return
+    yield from chunks_of(block.file, start, block.end)
+    at, step = block.end, FIRST_BYTES
+    while at < block.file.length:
+        for raw in chunks_of(block.file, at, at + step):
+            at += len(raw)
+            yield raw
+        step = min(2 * step, BLOCK_BYTES)
+
+
+def _packs(spark: SparkSession, items: Sequence) -> list[list[tuple[int, object]]]:
+    """Items with their numbers, in order, as tasks take them: large blocks alone, small ones together.
+
+    The number of tasks follows the bytes, not the number of files.
+    """
+    blocks = [item if isinstance(item, Block) else item[0] for item in items]
+    costs = [block.end - block.start + OPEN_BYTES for block in blocks]
+    total = sum(costs)
+    tasks = max(-(-total // (BLOCK_BYTES + OPEN_BYTES)), min(len(items), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    packs: dict[int, list[tuple[int, object]]] = {}
+    before = 0
+    for number, (item, cost) in enumerate(zip(items, costs)):
+        packs.setdefault(before * tasks // total, []).append((number, item))
+        before += cost
+    return list(packs.values())
+
+
 def on_blocks(
     spark: SparkSession, blocks: Sequence, work: Callable[..., Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """The rows that ``work`` makes of each block, a task for each."""
-    held = list(blocks)
+    """The rows that ``work`` makes of each block; a task gets one large block, or several small ones, and no others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number in batch.column("id").to_pylist():
-                yield from work(held[number], number)
+            for pack in batch.column("pack").to_pylist():
+                for number, item in cloudpickle.loads(pack):
+                    yield from work(item, number)
 
+    held = list(blocks)
     if not held:
         return spark.createDataFrame([], schema)
-    return spark.range(0, len(held), 1, len(held)).mapInArrow(run, schema)
+    rows = [(cloudpickle.dumps(pack),) for pack in _packs(spark, held)]
+    packs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "pack binary", verifySchema=False)
+    return packs.mapInArrow(run, schema)
 
 
 def scanned(

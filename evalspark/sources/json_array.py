@@ -4,13 +4,15 @@ Where a record begins depends on all bytes before: on whether they end inside a
 open. A task scans a block for each of the three states that it may begin in (outside a string, inside, behind a
 backslash) and returns the state it ends in, the change of depth and the commas at each depth; chained, these give every
 block its true state and the position of its first record. Blocks are then cut at the commas of depth one; a record that runs
-over the end of its block is read on by the block's task. Each record is parsed once, by Spark.
+over the end of its block is read on by the block's task. A file that is one block needs no scan: it begins outside.
+Each record is parsed once, by Spark.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,17 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.json_values import record_of, strict_json
 from evalspark.operators.sampling import sample_n
-from evalspark.sources.blocks import BLOCK_BYTES, Block, chunks_of, list_files, on_blocks, scanned
+from evalspark.sources.blocks import (
+    BLOCK_BYTES,
+    FIRST_BYTES,
+    Block,
+    File,
+    chunks_of,
+    list_files,
+    on_blocks,
+    onward,
+    scanned,
+)
 
 OUTSIDE, INSIDE, ESCAPED = range(3)
 _QUOTE, _BACKSLASH, _COMMA, _OPEN, _CLOSE = b'"\\,[]'
@@ -132,17 +144,25 @@ def _emitted(file: str, records: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _records(item: tuple, number: int) -> Iterator[pa.RecordBatch]:
-    """The records that begin in a block; ``limit`` ends them early."""
+    """The records that begin in a block; ``limit`` ends them early. Without a state it is its file's first block."""
     block, state, depth, before, limit = item
-    if state is None:  # not an array
-        whole = b"".join(chunks_of(block.file, 0))
-        yield _emitted(block.file.name, [(0, whole)])
-        return
     at = 0 if block.file.compressed else block.start
     end = block.file.length + 1 if block.file.compressed else block.end
+    chunks = onward(block, at)
+    if state is None:
+        lead = []
+        for raw in chunks:
+            lead.append(raw)
+            if raw.strip(_BLANK):
+                break
+        chunks = chain(lead, chunks)
+        state = OUTSIDE
+        if lead and (text := lead[-1].lstrip(_BLANK)) and text[0] != _OPEN:  # not an array
+            yield _emitted(block.file.name, [(0, b"".join(chunks))])
+            return
     held: list[bytes] | None = None  # the record that has begun, in pieces
     position = before
-    for raw in chunks_of(block.file, at):
+    for raw in chunks:
         places, found, depths, next_state = structure(raw, state)
         absolute = depths + depth
         cuts = ((found == _COMMA) & (absolute == 1)) | ((found == _OPEN) & (absolute == 1) & _from(absolute, depth, 0))
@@ -190,18 +210,24 @@ def record_texts(
     is one record. Compressed files can't be cut and are one block each. With ``num_records`` the files are scanned only
     as far as needed. A file that ends early gives what it has.
     """
-    sources = [[file] for file in list_files(spark, path)]
+    limited = num_records is not None
+    if limited and num_records == 0:
+        return spark.createDataFrame([], RECORD_SCHEMA)
+    single = min(block_bytes, FIRST_BYTES) if limited else block_bytes
+    work: list[tuple] = []
+    sources: list[list[File]] = []
+    for file in list_files(spark, path):
+        if not file.length:
+            continue
+        if file.compressed or file.length <= single:
+            work.append((Block(0, file, 0, file.length), None, 0, 0, num_records))
+        else:
+            sources.append([file])
 
     def enough(rows: list[dict]) -> bool:
         return not _is_array(rows) or _chained(rows)[1] >= num_records
 
-    limited = num_records is not None
-    if limited and num_records == 0:
-        return spark.createDataFrame([], RECORD_SCHEMA)
-    work = []
     for found in scanned(spark, sources, _scan, SCAN_SCHEMA, enough if limited else None, block_bytes):
-        if not found:
-            continue
         rows = [row for _, row in found]
         if not _is_array(rows):
             work.append((found[0][0], None, 0, 0, num_records))

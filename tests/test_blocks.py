@@ -68,6 +68,30 @@ def test_one_file_is_many_tasks(spark, tmp_path):
     assert sorted((r["n"], r["position"]) for r in rows.collect()) == [(i, i) for i in range(1000)]
 
 
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    for i in range(200):
+        (tmp_path / f"{i:03}.json").write_text(json.dumps([{"n": 3 * i + j} for j in range(3)]))
+    scans = []
+    real = blocks.on_blocks
+    monkeypatch.setattr(blocks, "on_blocks", lambda spark, held, *rest: scans.append(len(held)) or real(spark, held, *rest))
+    rows = read_json_array(spark, str(tmp_path), schema="n int")
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and not sum(scans)
+    assert sorted((r["n"], r["position"]) for r in rows.collect()) == [(n, n % 3) for n in range(600)]
+
+
+def test_a_small_block_reads_little_behind_it(tmp_path, monkeypatch):
+    path = tmp_path / "long.json"
+    path.write_text(json.dumps([{"n": i, "text": "z" * 40} for i in range(20_000)]))
+    file = File(str(path), str(path), path.stat().st_size, 0)
+    read = []
+    real = blocks.chunks_of
+    monkeypatch.setattr(blocks, "chunks_of", lambda *a: (read.append(len(raw)) or raw for raw in real(*a)))
+    item = (blocks.Block(0, file, 0, 1000), json_array.OUTSIDE, 0, 0, None)
+    rows = [n for batch in json_array._records(item, 0) for n in batch.column("position").to_pylist()]
+    assert rows == list(range(len(rows))) and 10 < len(rows) < 30
+    assert sum(read) <= 1000 + blocks.FIRST_BYTES
+
+
 def test_odd_files(spark, tmp_path):
     for name, text in {
         "empty.json": "", "blank.json": " \n", "none.json": " [ ] ", "object.json": ' {"a": [1, 2]} ', "bom.json": "﻿[1]",
