@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,13 @@ cloudpickle.register_pickle_by_value(evalspark)
 Model = Callable[[Sequence[Any], GenerationConfig], Sequence[Sequence[dict]]]
 ModelFactory = Callable[[], Model]
 
+# GENERATIONS_TYPE, as Arrow has it
+_ARROW_TYPE = pa.list_(
+    pa.struct(
+        [("text", pa.string()), ("tokens_used", pa.int64()), ("finish_reason", pa.string()), ("saw_eos", pa.bool_())]
+    )
+)
+
 
 def finish_reason(tokens: Column, max_tokens: int, saw_eos: Column) -> Column:
     return (
@@ -47,19 +54,20 @@ def model_column(
     prompt: Column, make_model: ModelFactory, config: GenerationConfig, batch_size: int
 ) -> Column:
     """Array of generations per prompt, called in slices of ``batch_size``."""
-
-    @F.pandas_udf(GENERATIONS_TYPE)
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(GENERATIONS_TYPE)
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make_model()
-        for prompts in batches:
+        for given in batches:
+            prompts = given.to_pandas().tolist()
             results: list[list[dict]] = []
             for start in range(0, len(prompts), batch_size):
-                part = list(prompts.iloc[start : start + batch_size])
+                part = prompts[start : start + batch_size]
                 answers = list(model(part, config))
                 if len(answers) != len(part):
                     raise ValueError("the model must return one list of results per prompt")
                 results.extend([_result(r) for r in answer] for answer in answers)
-            yield pd.Series(results, dtype=object)
+            # Arrow builds the column itself; pandas would convert every value in Python
+            yield pa.array(results, _ARROW_TYPE)
 
     return call.asNondeterministic()(prompt)
 

@@ -2,9 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from evalspark.operators.dealing import deal_by_cost
-from evalspark.operators.inference import generate
+from evalspark.operators.inference import generate, model_column
 from evalspark.operators.judging import judge
 from evalspark.operators.response_store import call_key, call_store, stored_calls
 from evalspark.plans.file_judge import judge_file
@@ -128,3 +129,16 @@ def test_judge_with_store(spark, tmp_path):
     assert judged.filter("is_correct").count() == 20
     assert spark.read.parquet(store + "/rows").count() == 5
     assert judge(rows, make_containing_judge, partitions=5).rdd.getNumPartitions() == 5
+
+
+def test_results_reach_spark_as_arrow(spark):
+    """Each result is one list of structs, built by Arrow; keys that a model leaves out are null."""
+
+    def make_model():
+        return lambda prompts, config: [[{"text": f"{p}!", "saw_eos": True}, {"text": None, "tokens_used": 2}] for p in prompts]
+
+    prompts = spark.createDataFrame([("a",), (None,)], "prompt string")
+    judged = prompts.select("prompt", model_column(F.col("prompt"), make_model, GenerationConfig(n=2), 1).alias("g"))
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in judged._jdf.queryExecution().executedPlan().toString()
+    got = {r["prompt"]: [tuple(g) for g in r["g"]] for r in judged.collect()}
+    assert got == {p: [(f"{p}!", None, None, True), (None, 2, None, None)] for p in ("a", None)}
