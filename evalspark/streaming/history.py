@@ -83,6 +83,10 @@ class Segment:
     def name(self) -> str:
         return f"{self.first}-{self.last}"
 
+    @property
+    def batches(self) -> int:
+        return self.last - self.first + 1
+
     def covers(self, batch: int) -> bool:
         return self.first <= batch <= self.last
 
@@ -127,9 +131,11 @@ class KeyedHistory:
     def _write(self, rows: DataFrame, segment: Segment) -> None:
         """Writes a segment's rows, then their filters: it counts once its filters are there."""
         folder = f"{self.rows_path}/segment={segment.name}"
+        # a file for each bucket: the few rows of a batch would go to one task, which writes them one by one
+        tasks = min(self.buckets, self.spark.sparkContext.defaultParallelism)
         (
             self._hashed(rows)
-            .repartition("bucket")
+            .repartition(tasks, "bucket")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy("bucket")
@@ -147,16 +153,22 @@ class KeyedHistory:
         self._write(named.withColumn("batch_id", F.lit(batch_id).cast("bigint")), Segment(batch_id, batch_id))
 
     def merge(self, most: int, before: int) -> None:
-        """Once ``most`` or more segments lie before that batch, makes one of them.
+        """Once ``most`` or more segments lie before that batch, makes one of them, or of the later ones.
 
-        The filters that a later batch reads are as many as the segments, so their number stays bounded. The merged
-        segment counts from when it is whole; then those it covers are deleted.
+        The filters that a later batch reads are as many as the segments, so their number stays bounded. First segments
+        that each have more batches than all after them stay as they are, up to half of ``most``, so a row is written
+        again a number of times that grows with the logarithm of the batches. The merged segment counts from when it
+        is whole; then those it covers are deleted.
         """
         old = [s for s in self.segments() if s.last < before]
         if len(old) < max(2, most):
             return
+        for _ in range(most // 2 - 1):
+            if 2 * old[0].batches <= sum(s.batches for s in old):
+                break
+            old = old[1:]
         whole = Segment(old[0].first, max(s.last for s in old))
-        rows = self._read([f"{self.rows_path}/segment={s.name}" for s in old])
+        rows = self.rows_in([f"{self.rows_path}/segment={s.name}" for s in old])
         self._write(self._latest(rows).select(*[f.name for f in self.stored]), whole)
         for segment in old:
             # first the filters: rows without filters are no part of the history
@@ -183,7 +195,8 @@ class KeyedHistory:
         )
         return sorted(f"{self.rows_path}/segment={r['segment']}/bucket={r['bucket']}" for r in pairs.collect())
 
-    def _read(self, folders: Sequence[str]) -> DataFrame:
+    def rows_in(self, folders: Sequence[str]) -> DataFrame:
+        """Rows, with their ``batch_id``, of folders that ``opened`` names."""
         if not folders:
             return self.spark.createDataFrame([], self.stored)
         rows = self.spark.read.schema(self.stored).option("basePath", self.rows_path).parquet(*folders)
@@ -195,7 +208,7 @@ class KeyedHistory:
         ``wanted`` has the key columns; ``segments`` are those to look into, by default all.
         """
         chosen = self.segments() if segments is None else segments
-        return self._read(self.opened(wanted.select(*self.keys), chosen))
+        return self.rows_in(self.opened(wanted.select(*self.keys), chosen))
 
     def _latest(self, rows: DataFrame) -> DataFrame:
         values = [f.name for f in self.schema if f.name not in self.keys]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.reporting import iso_stamp
 from evalspark.functions.scoring import pass_at_k, ratio, token_efficiency
 from evalspark.operators.metrics import DEFAULT_KS, metric_rows, per_problem
-from evalspark.sources.folders import partition_values
+from evalspark.sources.folders import exists, partition_values
 from evalspark.streaming.history import MERGED_BATCHES, KeyedHistory
 
 SUMS = {"tokens": "bigint", "correct_tokens": "bigint", "n_conf": "bigint", "sum_conf": "double"}
@@ -41,6 +41,12 @@ class MetricState:
         """Batches that the state has taken in; the sums of a batch are written last."""
         return sorted(int(v) for v in partition_values(self.spark, f"{self.path}/sums", "batch_id"))
 
+    def _before(self, batch_id: int) -> int | None:
+        """The latest version before a batch: as a rule the batch before, so no list of all is asked for."""
+        if exists(self.spark, f"{self.path}/sums/batch_id={batch_id - 1}"):
+            return batch_id - 1
+        return max((v for v in self.versions() if v < batch_id), default=None)
+
     def _version(self, name: str, schema: str, version: int | None) -> DataFrame:
         if version is None:
             return self.spark.createDataFrame([], schema)
@@ -51,10 +57,11 @@ class MetricState:
 
         Batches come in ascending order, as a stream numbers them. A null group counts as the empty name.
         """
-        earlier = [v for v in self.versions() if v < batch_id]
-        last = earlier[-1] if earlier else None
+        last = self._before(batch_id)
         named = verdicts.withColumns({name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in self.by})
-        new = per_problem(metric_rows(named, self.by, tokens=tokens), self.by).persist()
+        # kept rows aren't packed by bytes: without this each look at them takes a task for every shuffle partition
+        tasks = max(named.rdd.getNumPartitions(), self.spark.sparkContext.defaultParallelism)
+        new = per_problem(metric_rows(named, self.by, tokens=tokens), self.by).coalesce(tasks).persist()
         before = [s for s in self.problems.others(batch_id) if s.last < batch_id]
         old = self.problems.latest(new, before).withColumnsRenamed({"n": "_n", "c": "_c"})
         moved = new.join(old, [*self.by, "sample_id"], "left").select(
@@ -64,7 +71,7 @@ class MetricState:
             (F.col("c") + F.coalesce("_c", F.lit(0))).alias("c"),
             "_n",
             "_c",
-        ).persist()
+        ).coalesce(tasks).persist()
         self.problems.add(moved.drop("_n", "_c"), batch_id)
         left = moved.where("_n IS NOT NULL").select(
             *self.by, F.col("_n").alias("n"), F.col("_c").alias("c"), F.lit(-1).cast("bigint").alias("problems")
