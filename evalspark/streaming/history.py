@@ -2,7 +2,7 @@
 
 A batch's rows are written by bucket of their key's hash, with a Bloom filter for each bucket. A later batch reads
 only the filters of the buckets that its own keys fall into, and opens only those buckets of those batches whose filter
-may have one of its keys; the rows found there are compared by key. Old batches are merged to one segment.
+may have one of its keys; the rows found there are compared by key. Batches are merged to few segments.
 """
 
 from __future__ import annotations
