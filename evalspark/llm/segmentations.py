@@ -9,34 +9,37 @@ Segmentations with Gumbel noise on their log probability are searched best first
 end of the text to its start and keeps its value; at each step the pieces not taken
 are one open set, with the largest value in it drawn from a Gumbel distribution cut off at the path's. The best open set
 is split next. The first ``samples`` values are a sample without replacement; the value after them
-gives each its inclusion probability. No piece spans the start of a word, so the lattice of a batch of texts holds the
-prefixes of its distinct words once each, and all words walk at the same time.
+gives each its inclusion probability. No piece spans the start of a word, so the lattice holds distinct words, those of
+earlier texts too until it is full, and all words of a batch of texts walk at the same time.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
-from evalspark.llm.common import mix64, output_schema, slices, strings
+from evalspark.llm.common import mix64, output_schema, replaced, slices, strings
 
 SPACE = "▁"
 SLICE_TEXT = 1 << 20
 # words up to this length are laid out together as a table of characters, longer ones each by its places
 LONG_WORD = 48
+# the lattice serves the next slices until it holds this many edges
+KEPT_EDGES = 1 << 20
+EDGE_KINDS = {"states": np.int32, "previous": np.int32, "sums": float, "rows": np.int32, "log": float, "log_rest": float}
 FILTER_BITS = 22
 # log weight of a character spelled in bytes; nothing competes with it
 SPELLED_WEIGHT = -20.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_WORD = (1 << 64) - 1
 
 
 class _Vocabulary:
@@ -90,10 +93,11 @@ class Lattice:
     """The lattices of words, by prefix: a state is a prefix, its edges are the pieces it can end in.
 
     Edges of a state stand together, each with its state, the state before the piece, its probability, the sum of
-    probabilities so far, and its row of output ids. State 0 is the empty prefix.
+    probabilities so far, and its row of output ids. State 0 is the empty prefix. Words may be added
+    later; those of up to ``LONG_WORD`` characters that are added together share the states of their prefixes.
     """
 
-    def __init__(self, vocabulary: _Vocabulary, words: list[str]):
+    def __init__(self, vocabulary: _Vocabulary):
         self.vocabulary = vocabulary
         # of each state, with room for more
         self.total = np.zeros(1 << 10)
@@ -103,35 +107,43 @@ class Lattice:
         self.count = 0
         # a piece's output is its id; spelled characters follow
         self.spelled: dict[int, int] = {}
-        self.final = np.zeros(len(words), dtype=np.int64)
-        size = np.array([len(w) for w in words], dtype=np.int64)
-        short = np.flatnonzero(size <= LONG_WORD)
-        if len(short):
-            order = np.array(sorted(short.tolist(), key=words.__getitem__), dtype=np.int64)
-            self._grow([words[i] for i in order.tolist()], order)
-        for i in np.flatnonzero(size > LONG_WORD).tolist():
-            self.final[i] = self._grow_long(words[i])
-        self.net = self._arrays()
-
-    def _grow(self, words: list[str], places: np.ndarray) -> None:
-        """Adds the states of sorted words, all prefixes of a length at a time."""
+        # the last state of each word
+        self.final: dict[str, int] = {}
+        self.net = {name: np.zeros(0, kind) for name, kind in EDGE_KINDS.items()}
+        self._arrays()
+
+    def add(self, words: list[str]) -> None:
+        """Adds distinct words that the lattice doesn't hold."""
+        short = sorted(w for w in words if len(w) <= LONG_WORD)
+        if short:
+            self.final.update(zip(short, self._grow(short).tolist()))
+        for word in words:
+            if len(word) > LONG_WORD:
+                self.final[word] = self._grow_long(word)
+        self._arrays()
+
+    def _grow(self, words: list[str]) -> np.ndarray:
+        """Adds the states of sorted words, all prefixes of a length at a time; returns the last of each."""
         v = self.vocabulary
         sizes = np.array([len(w) for w in words])
         width = int(sizes.max())
         table = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
-        characters = table.astype(np.uint64) + np.uint64(1)
+        # by place, so that those of a place stand together
+        characters = table.T.astype(np.uint64, order="C")
+        characters += np.uint64(1)
         # a prefix that the word before has as well isn't new
-        same = np.cumprod(table[1:] == table[:-1], axis=1, dtype=np.int8).sum(axis=1)
+        differs = table[1:] != table[:-1]
+        same = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
         shared = np.concatenate([[0], np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))])
-        states = np.zeros((len(words), width + 1), dtype=np.int64)
+        states = np.zeros((width + 1, len(words)), dtype=np.int64)
         for end in range(1, width + 1):
             rows = np.flatnonzero((shared < end) & (sizes >= end))
             base = self.states
             self._add(characters, states, rows, end)
             new = np.zeros(len(words), dtype=np.int64)
             new[rows] = np.arange(base, base + len(rows))
-            states[:, end] = np.maximum.accumulate(new)
-        self.final[places] = states[np.arange(len(words)), sizes]
+            np.maximum.accumulate(new, out=states[end])
+        return states[sizes, np.arange(len(words))]
 
     def _add(self, characters: np.ndarray, states: np.ndarray, rows: np.ndarray, end: int) -> None:
         """The states of the prefixes of length ``end`` of these rows."""
@@ -141,9 +153,9 @@ class Lattice:
         owners, befores, scores, outputs = [], [], [], []
         hashes = np.zeros(len(rows), dtype=np.uint64)
         for size in range(1, min(end, v.longest) + 1):
-            hashes += characters[rows, end - size] * v.powers[size - 1]
+            hashes += characters[end - size][rows] * v.powers[size - 1]
             at, number = v.found(hashes, size)
-            before = states[rows[at], end - size]
+            before = states[end - size][rows[at]]
             owners.append(at)
             befores.append(before)
             scores.append(self.total[before] + v.weights[number])
@@ -153,11 +165,11 @@ class Lattice:
                 alone = np.ones(len(rows), dtype=bool)
                 alone[at] = False
                 at = np.flatnonzero(alone)
-                before = states[rows[at], end - 1]
+                before = states[end - 1][rows[at]]
                 owners.append(at)
                 befores.append(before)
                 scores.append(self.total[before] + SPELLED_WEIGHT)
-                outputs.append(self._spelled(characters[rows[at], end - 1]))
+                outputs.append(self._spelled(characters[end - 1][rows[at]]))
         owner, before, score, output = map(np.concatenate, (owners, befores, scores, outputs))
         order = np.argsort(owner, kind="stable")
         self._append(owner[order], before[order], score[order], output[order])
@@ -230,26 +242,25 @@ class Lattice:
             self.total = np.concatenate([self.total[:base], np.zeros(2 * self.states - base)])
         self.total[base : self.states] = most + np.log(whole)
 
-    def _arrays(self) -> dict[str, np.ndarray]:
-        kinds = (np.int64, np.int64, float, float, np.int64)
-        columns = [
-            np.concatenate([e[i] for e in self.edges]) if self.edges else np.zeros(0, kind)
-            for i, kind in enumerate(kinds)
-        ]
-        self.edges = []
-        states, previous, chance, sums, rows = columns
-        some = np.minimum(chance, 1 - 1e-16)
-        with np.errstate(divide="ignore"):
-            net = {"log": np.log(chance), "log_rest": np.where(chance < 1 - 1e-12, np.log1p(-some), -np.inf)}
-        net |= {"states": states, "previous": previous, "sums": sums, "rows": rows}
-        net["first"] = np.concatenate(self.first)
-        v = self.vocabulary
+    def _arrays(self) -> None:
+        """Lays the edges added since the last time out after the others."""
+        net, v = self.net, self.vocabulary
+        if self.edges:
+            states, previous, chance, sums, rows = map(np.concatenate, zip(*self.edges))
+            some = np.minimum(chance, 1 - 1e-16)
+            with np.errstate(divide="ignore"):
+                rest = np.where(chance < 1 - 1e-12, np.log1p(-some), -np.inf)
+            new = {"states": states, "previous": previous, "sums": sums, "rows": rows, "log": np.log(chance), "log_rest": rest}
+            self.edges = []
+            net |= {name: np.append(net[name], new[name].astype(kind)) for name, kind in EDGE_KINDS.items()}
+        self.first = [np.concatenate(self.first)]
+        net["first"] = self.first[0]
         bytes_ = [[v.byte_ids[b] for b in chr(c).encode()] for c in self.spelled]
-        sizes = np.array([1] * v.size + [len(o) for o in bytes_], dtype=np.int64)
+        sizes = np.append(np.ones(v.size, np.int64), np.array([len(o) for o in bytes_], np.int64))
         net["output_start"] = np.cumsum(sizes) - sizes
         net["output_size"] = sizes
-        net["output_ids"] = np.array([*range(v.size), *(i for o in bytes_ for i in o)], dtype=np.int32)
-        return net
+        spelled = np.array([i for o in bytes_ for i in o], dtype=np.int32)
+        net["output_ids"] = np.append(np.arange(v.size, dtype=np.int32), spelled)
 
 
 def _uniform(key: np.ndarray, *counters) -> np.ndarray:
@@ -260,6 +271,17 @@ def _uniform(key: np.ndarray, *counters) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
 
 
+def _uniform_of(key: int, *counters: int) -> float:
+    """As ``_uniform``, for one key."""
+    x = int(key)
+    for c in counters:
+        x ^= (c + 1) * int(_ODD) & _WORD
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _WORD
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & _WORD
+        x ^= x >> 31
+    return (float(x >> 11) + 0.5) / float(1 << 53)
+
+
 def _below(loc: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values with these locations, cut off at ``bound``."""
     return loc - np.log(np.exp(np.minimum(loc - bound, 700.0)) - np.log(u))
@@ -327,23 +349,41 @@ class Sampler:
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         self.vocabulary = _Vocabulary(self.processor, sharpness)
-        self.net = Lattice(self.vocabulary, []).net
+        self.lattice = Lattice(self.vocabulary)
         self.samples = samples
-        spanning = any("\n" in p for p in self.vocabulary.pieces)
-        self.unit = re.compile(
-            f"{SPACE}*[^{SPACE}]+|{SPACE}+" if spanning else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
-        )
+        # where no piece spans a line end, it is a word of its own
+        self.spanning = any("\n" in p for p in self.vocabulary.pieces)
+
+    def _words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words of texts, the number of each word of the texts in order, and the bounds of each text."""
+        raw = [self.processor.normalize(text).encode() for text in texts]
+        ends = np.cumsum([0, *map(len, raw)])
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        blanks = np.flatnonzero(data == 0xE2)
+        blanks = blanks[(data[blanks + 1] == 0x96) & (data[blanks + 2] == 0x81)]
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        # blanks begin a word together
+        begins[blanks[np.diff(blanks, prepend=-3) != 3]] = True
+        begins[ends] = True
+        if not self.spanning:
+            lines = np.flatnonzero(data == 0x0A)
+            begins[lines] = begins[lines + 1] = True
+        # the end of the last text begins nothing, and bounds its last word
+        offsets = np.flatnonzero(begins)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(joined)]
+        found = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers).dictionary_encode()
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.searchsorted(offsets, ends)
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[list[_Path]]:
         """The paths of each text, best value first."""
-        units = [self.unit.findall(self.processor.normalize(text)) for text in texts]
-        place = {name: i for i, name in enumerate(dict.fromkeys(chain.from_iterable(units)))}
-        lattice = Lattice(self.vocabulary, list(place))
-        documents = [
-            lattice.final[np.fromiter(map(place.__getitem__, names), np.int64, len(names))]
-            for names in units
-        ]
-        self.net = net = lattice.net
+        words, numbers, bounds = self._words(texts)
+        if self.lattice.count > KEPT_EDGES:
+            self.lattice = Lattice(self.vocabulary)
+        net, final = self.lattice.net, self.lattice.final
+        self.lattice.add([w for w in words if w not in final])
+        states = np.fromiter(map(final.__getitem__, words), np.int64, len(words))[numbers]
+        documents = [states[a:b] for a, b in zip(bounds, bounds[1:])]
         count = len(texts)
         paths: list[list[_Path]] = [[] for _ in range(count)]
         open_: list[list[tuple]] = [[] for _ in range(count)]
@@ -405,12 +445,12 @@ class Sampler:
         high = int(net["first"][state + 1]) if state + 1 < len(net["first"]) else len(net["states"])
         others = [e for e in range(low, high) if e not in taken]
         shares = np.exp(net["log"][others])
-        draw = _uniform(np.array([key]), round_, step, number, 11)[0] * shares.sum()
+        draw = _uniform_of(key, round_, step, number, 11) * shares.sum()
         chosen = others[min(int(np.searchsorted(np.cumsum(shares), draw)), len(others) - 1)]
         before = float(parent.before[step])
         left = shares.sum() - math.exp(net["log"][chosen])
         if len(others) > 1 and left > 0:
-            u = _uniform(np.array([key]), round_, step, number, 13)
+            u = np.array([_uniform_of(key, round_, step, number, 13)])
             again = float(_below(np.array([before + math.log(left)]), np.array([value]), u)[0])
             heapq.heappush(open_, (-again, number, step, (*taken, chosen)))
         word = int(parent.words[step])
@@ -428,7 +468,7 @@ class Sampler:
 
     def ids(self, paths: list[_Path]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of paths of the last sample, one after the other, and the offset of each."""
-        net = self.net
+        net = self.lattice.net
         rows = [net["rows"][p.edges[::-1]] for p in paths]
         flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
         sizes = net["output_size"][flat]
@@ -520,10 +560,30 @@ class Decoder:
             else processor.id_to_piece(i).replace(SPACE, " ").encode()
             for i in range(processor.get_piece_size())
         ]
+        self.table = pa.array(self.pieces, pa.large_binary())
 
     def text(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.pieces.__getitem__, ids))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        return self.texts(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def texts(self, ids: pa.Array) -> pa.Array:
+        """The texts of lists of ids; a null list is the empty text."""
+        flat = ids.flatten()
+        if flat.null_count:
+            raise ValueError("an id is null")
+        counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), dtype=np.int64)
+        pieces = self.table.take(flat)
+        places = np.concatenate([[0], np.cumsum(counts)])
+        bounds = np.frombuffer(pieces.buffers()[1], dtype=np.int64, count=len(pieces) + 1)[places]
+        raw = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8, count=int(bounds[-1]))
+        starts = bounds[:-1][bounds[:-1] < bounds[1:]]
+        blanks = starts[raw[starts] == 0x20]
+        bounds = bounds - np.searchsorted(blanks, bounds)
+        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(np.delete(raw, blanks))]
+        joined = pa.Array.from_buffers(pa.large_binary(), len(ids), buffers)
+        try:
+            return joined.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([v.decode("utf-8", "replace") for v in joined.to_pylist()], pa.string())
 
 
 def _decoded(path: str):
@@ -532,9 +592,7 @@ def _decoded(path: str):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [decoder.text(ids or []) for ids in part.column("ids").to_pylist()]
-                columns = {n: part.column(n) for n in part.schema.names} | {"decoded": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_pydict(columns)
+                yield replaced(part, {"decoded": decoder.texts(part.column("ids"))})
 
     return decode
 

@@ -3,6 +3,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -139,3 +140,37 @@ def test_text_without_blanks_takes_no_square(library):
     sampler.sample([urls], keys(1))
     # laid out character by character it took minutes
     assert time.perf_counter() - start < 30
+
+
+def test_words_of_earlier_texts_stay_in_the_lattice(library, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["then", "thence", "other\n", "\n\n", "日本語", "▁▁x", "", "\x00\U0001f600", "b" * 60]
+    texts = [" ".join(rng.choice(words, 12).tolist()) for _ in range(8)]
+    sampler = segmentations.Sampler(PATH, 2)
+    first = [lists(sampler, p) for p in sampler.sample(texts, keys(8))]
+    held = sampler.lattice.count
+    assert [lists(sampler, p) for p in sampler.sample(texts[::-1], keys(8)[::-1])] == first[::-1]
+    assert sampler.lattice.count == held
+    # a full lattice is begun anew
+    monkeypatch.setattr(segmentations, "KEPT_EDGES", 0)
+    small = segmentations.Sampler(PATH, 2)
+    for i in range(8):
+        (paths,) = small.sample(texts[i : i + 1], keys(8)[i : i + 1])
+        assert lists(small, paths) == first[i]
+    assert small.lattice.count < held
+
+
+def test_texts_of_a_block_of_ids(library):
+    decoder = segmentations.Decoder(PATH)
+    blank = library.piece_to_id("▁")
+    byte = {int(library.id_to_piece(i)[3:5], 16): i for i in range(library.get_piece_size()) if library.is_byte(i)}
+    rows = [library.encode(t) for t in TEXTS]
+    rows += [None, [], [blank, blank], [library.bos_id(), blank, byte[0x41]], [byte[0xE3], byte[0x41]], [blank], None]
+    want = [
+        b"".join(decoder.pieces[i] for i in r or []).removeprefix(b" ").decode("utf-8", "replace") for r in rows
+    ]
+    ids = pa.array(rows, pa.list_(pa.int32()))
+    assert decoder.texts(ids).to_pylist() == want
+    assert decoder.texts(ids.slice(1, 9)).to_pylist() == want[1:10]
+    assert decoder.texts(ids.slice(0, 0)).to_pylist() == []
+    assert "\ufffd" in want[len(TEXTS) + 4]
