@@ -5,7 +5,8 @@ count at a place is the count of the units before it plus that of the unit's own
 piece the counts follow by dynamic programming: the encoding of a prefix ends in the one
 token that fits both the bytes before the place and the last token of the encoding before it, and
 has one token more than that encoding. What is found for a prefix serves every word that
-begins with it. The counts of all prefixes are stored with the text, so truncation and budget questions
+begins with it; the new words of a slice of texts are sorted and encoded together, all prefixes of a length at
+a time. The counts of all prefixes are stored with the text, so truncation and budget questions
 are answered by looking them up.
 """
 
@@ -15,6 +16,7 @@ import gc
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,11 @@ from evalspark.llm.common import output_schema, replaced, slices, strings
 MEMORY = 250_000
 SHORT = (3, 2, 1)
 BYTES = [bytes([i]) for i in range(256)]
+# pieces of up to so many bytes are encoded together, so many at a time
+BATCH_BYTES = 32
+BATCH = 1 << 15
+FILTER_BITS = 22
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 # characters that some tokenizer may take for blanks
 BLANK_CANDIDATES = (
     [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680)]
@@ -56,6 +63,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def _hashes(columns: np.ndarray) -> np.ndarray:
+    """Hashes of all prefixes of byte strings that are given by place; the first are of the empty one."""
+    out = np.zeros((len(columns) + 1, columns.shape[1]), dtype=np.uint64)
+    for place, values in enumerate(columns):
+        out[place + 1] = out[place] * _ODD + (values.astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * _ODD >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _by_code_points(raw: bytes, counts: list[int]) -> list[int]:
+    """Counts of the prefixes by bytes at the ends of code points."""
+    # a code point ends before a byte that doesn't continue one
+    ends = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
+    return [counts[i - 1] for i in ends] + counts[-1:]
+
+
 class PrefixCounter:
     """Counts the tokens of all prefixes of texts for a byte-level BPE file of the tokenizers library."""
 
@@ -80,6 +106,7 @@ class PrefixCounter:
             if len(word) > 3:
                 lengths.setdefault(word[-4:], set()).add(len(word))
         self.lengths = {end: (*sorted(found, reverse=True), *SHORT) for end, found in lengths.items()}
+        self._lay_out(sorted(t for t in self.ids if 0 < len(t) <= BATCH_BYTES))
         self.written = {n: w for w, n in content["model"]["vocab"].items()}
         special = [t["content"] for t in content.get("added_tokens", []) if t.get("special")]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -95,6 +122,19 @@ class PrefixCounter:
         self.units: dict[str, np.ndarray] = {}
         self.former: dict[str, np.ndarray] = {}
 
+    def _lay_out(self, tokens: list[bytes]) -> None:
+        """The tokens by their hash: number, length and bytes."""
+        sizes = np.array([len(t) for t in tokens])
+        table = np.array(tokens, dtype=f"S{BATCH_BYTES}").view(np.uint8).reshape(len(tokens), BATCH_BYTES)
+        hashes = _hashes(table.T)[sizes, np.arange(len(tokens))]
+        order = np.argsort(hashes)
+        self.hashes, self.sizes, self.bytes = hashes[order], sizes[order], table[order].T.copy()
+        self.numbers = np.array([self.ids[t] for t in tokens], dtype=np.int64)[order]
+        self.longest = int(sizes.max())
+        self.powers = np.cumprod(np.array([1] + [_ODD] * BATCH_BYTES, dtype=np.uint64))
+        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.filter[_slots(self.hashes)] = True
+
     def _forget(self) -> None:
         """Drops what the memory holds beyond its bound, the older half of the units first."""
         if len(self.units) > MEMORY:
@@ -140,6 +180,84 @@ class PrefixCounter:
                         break
         return list(counts)
 
+    def _all_fit(self, pairs: np.ndarray) -> np.ndarray:
+        """``_fit`` of pairs, each as one number."""
+        distinct, place = np.unique(pairs, return_inverse=True)
+        keys = distinct.tolist()
+        found = list(map(self.fits.get, keys))
+        for at in [i for i, fit in enumerate(found) if fit is None]:
+            found[at] = self._fit(keys[at] >> 20, keys[at] & (1 << 20) - 1)
+        return np.array(found, dtype=bool)[place]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the counts of sorted pieces, found for all prefixes of a length together."""
+        raw = [piece.encode() for piece in pieces]
+        lengths = np.array(list(map(len, raw)))
+        rows, width = len(raw), int(lengths.max())
+        columns = np.array(raw, dtype=f"S{width}").view(np.uint8).reshape(rows, width).T.copy()
+        hashes = _hashes(columns)
+        # a prefix that the piece before has as well isn't new
+        differs = columns[:, 1:] != columns[:, :-1]
+        same = np.where(differs.any(axis=0), differs.argmax(axis=0), width)
+        shared = np.concatenate([[0], np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))])
+        # of each new prefix: its last token and its count; 0 is the empty one
+        states = np.zeros((width + 1, rows), dtype=np.int64)
+        token = np.full(1 + int((lengths - shared).sum()), -1, dtype=np.int64)
+        count = np.zeros(len(token), dtype=np.int64)
+        base = 1
+        for end in range(1, width + 1):
+            open_ = np.flatnonzero((shared < end) & (lengths >= end))
+            state = np.arange(base, base + len(open_))
+            base += len(open_)
+            new = np.zeros(rows, dtype=np.int64)
+            new[open_] = state
+            for size in range(min(end, self.longest), 0, -1):
+                wanted = hashes[end][open_] - hashes[end - size][open_] * self.powers[size]
+                at = np.flatnonzero(self.filter[_slots(wanted)])
+                number = np.minimum(np.searchsorted(self.hashes, wanted[at]), len(self.hashes) - 1)
+                some = (self.hashes[number] == wanted[at]) & (self.sizes[number] == size)
+                at, number = at[some], number[some]
+                if not len(at):
+                    continue
+                before = states[end - size][open_[at]]
+                ids = self.numbers[number]
+                fit = self._all_fit(token[before] << 20 | ids)
+                for k in range(size):
+                    fit &= self.bytes[k][number] == columns[end - size + k][open_[at]]
+                at, before = at[fit], before[fit]
+                token[state[at]] = ids[fit]
+                count[state[at]] = count[before] + 1
+                rest = np.ones(len(open_), dtype=bool)
+                rest[at] = False
+                open_, state = open_[rest], state[rest]
+                if not len(open_):
+                    break
+            if len(open_):
+                raise ValueError("no token ends a prefix")
+            np.maximum.accumulate(new, out=states[end])
+        found = count[states[1:]].T.tolist()
+        for piece, own, counts in zip(pieces, raw, found):
+            if len(own) == len(piece):
+                self.pieces[piece] = counts[: len(own)]
+            else:
+                self.pieces[piece] = _by_code_points(own, counts[: len(own)])
+
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """Remembers the units of texts that are new, their pieces encoded together; returns the units of each."""
+        self._forget()
+        units, former, known = self.units, self.former, self.pieces
+        found = list(map(self.unit.findall, texts))
+        names = set(chain.from_iterable(found))
+        cut = {name: self._pieces(name) for name in names if name not in units and name not in former}
+        new = sorted(
+            p for p in set(chain.from_iterable(cut.values())).difference(known) if len(p.encode()) <= BATCH_BYTES
+        )
+        for start in range(0, len(new), BATCH):
+            self._learn(new[start : start + BATCH])
+        for name, pieces in cut.items():
+            units[name] = self._unit(name, pieces)
+        return found
+
     def _long_piece(self, raw: bytes) -> list[int]:
         """As ``_piece``, for a piece too long for its prefixes to be remembered."""
         states: list[tuple[int, int]] = [(-1, 0)]
@@ -160,9 +278,7 @@ class PrefixCounter:
             raw = piece.encode()
             counts = self._piece(raw) if len(raw) <= 64 else self._long_piece(raw)
             if len(raw) != len(piece):
-                # a code point ends before a byte that doesn't continue one
-                ends = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
-                counts = [counts[i - 1] for i in ends] + counts[-1:]
+                counts = _by_code_points(raw, counts)
             self.pieces[piece] = counts
         return counts
 
@@ -171,9 +287,11 @@ class PrefixCounter:
             return CUT.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _unit(self, unit: str) -> np.ndarray:
+    def _unit(self, unit: str, pieces: list[str] | None = None) -> np.ndarray:
         """Token counts of all prefixes of a unit, by code points."""
-        pieces = self._pieces(unit)
+        pieces = self._pieces(unit) if pieces is None else pieces
+        if len(pieces) == 1 and unit[0] != "'" and not (unit[0] in self.blank and unit[1:2] in self.blank):
+            return np.array(self._of_piece(unit), dtype=np.int32)
         blanks = 0
         while blanks < len(unit) and unit[blanks] in self.blank:
             blanks += 1
@@ -193,9 +311,9 @@ class PrefixCounter:
             at += len(piece)
         return np.array(out, dtype=np.int32)
 
-    def _segment(self, text: str) -> tuple[np.ndarray, str]:
-        """Counts of all prefixes of a text without special strings; its last unit."""
-        names = self.unit.findall(text)
+    def _segment(self, text: str, names: list[str] | None = None) -> tuple[np.ndarray, str]:
+        """Counts of all prefixes of a text without special strings, of these units if they are known; its last unit."""
+        names = self.unit.findall(text) if names is None else names
         if not names:
             return np.zeros(0, dtype=np.int32), ""
         units, former = self.units, self.former
@@ -213,8 +331,8 @@ class PrefixCounter:
         before = np.cumsum(totals) - totals
         return joined + np.repeat(before, lengths).astype(np.int32), names[-1]
 
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """Number of tokens of ``text[:i]`` for every i from 0 to the length."""
+    def prefix_counts(self, text: str, names: list[str] | None = None) -> np.ndarray:
+        """Number of tokens of ``text[:i]`` for every i from 0 to the length; ``names`` are its units, from ``prepare``."""
         self._forget()
         out = [np.zeros(1, dtype=np.int32)]
         base, at = 0, 0
@@ -230,7 +348,7 @@ class PrefixCounter:
             ]
             out.append(np.array([*marks, before + 1], dtype=np.int32))
             base, at = before + 1, match.end()
-        out.append(base + self._segment(text[at:])[0])
+        out.append(base + self._segment(text[at:], None if at else names)[0])
         return np.concatenate(out)
 
 
@@ -261,8 +379,9 @@ def _counted(path: str, keep_prefixes: bool):
         for batch in batches:
             for part in slices(batch, "text"):
                 totals, stored = [], []
-                for text in strings(part, "text"):
-                    counts = counter.prefix_counts(text)
+                texts = strings(part, "text")
+                for text, names in zip(texts, counter.prepare(texts)):
+                    counts = counter.prefix_counts(text, names)
                     totals.append(int(counts[-1]))
                     stored.append(pack_counts(counts) if keep_prefixes else None)
                 yield replaced(

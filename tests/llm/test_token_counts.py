@@ -78,3 +78,24 @@ def test_table_and_questions(spark):
 
 def test_empty_table(spark):
     assert token_counts.count_tokens(documents(spark, []), PATH).count() == 0
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    rng = random.Random(3)
+    parts = [*"abrstev\'1!,é日ß\n\x00", "the", "there", "'ll", "<|endoftext|>", "\U0001f389", "  ", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(60)) for _ in range(30)] + ["", " ", "x" * 90 + " end"]
+    monkeypatch.setattr(token_counts, "BATCH", 7)
+    counter = token_counts.PrefixCounter(PATH)
+    units = counter.prepare(texts)
+    learned = dict(counter.pieces)
+    assert all(learned[p] == every_prefix(p)[1:] for p in learned if p != "<|endoftext|>")
+    for text, names in zip(texts, units):
+        assert counter.prefix_counts(text).tolist() == every_prefix(text)
+        assert counter.prefix_counts(text, names).tolist() == every_prefix(text)
+    # nothing of these is left to the loop over bytes
+    again = token_counts.PrefixCounter(PATH)
+    monkeypatch.setattr(again, "_piece", None)
+    plain = ["then thence", "naïve straße 日本 ok", ""]
+    for text, names in zip(plain, again.prepare(plain)):
+        assert again.prefix_counts(text, names).tolist() == every_prefix(text)
+    assert again.prepare([]) == []
