@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,24 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return ["" if v is None else v for v in batch.column(column).to_pylist()]
 
 
+def handing_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work``, which at its end gives the memory that it freed back to the system.
+
+    A Python worker outlives its task and would hold that memory beside what later tasks take.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            # not all systems have it
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and multiply); every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -26,14 +26,15 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
-from evalspark.llm.common import mix64, output_schema, replaced, slices, strings
+from evalspark.llm.common import handing_back, mix64, output_schema, replaced, slices, strings
 
 SPACE = "▁"
-SLICE_TEXT = 1 << 20
+# the paths of a slice take some hundred bytes a byte of text
+SLICE_TEXT = 1 << 19
 # words up to this length are laid out together as a table of characters, longer ones each by its places
 LONG_WORD = 48
 # the lattice serves the next slices until it holds this many edges
-KEPT_EDGES = 1 << 20
+KEPT_EDGES = 1 << 19
 EDGE_KINDS = {"states": np.int32, "previous": np.int32, "sums": float, "rows": np.int32, "log": float, "log_rest": float}
 FILTER_BITS = 22
 # log weight of a character spelled in bytes; nothing competes with it
@@ -526,7 +527,7 @@ def _encoded(path: str, samples: int, sharpness: float, seed: int, names: list[s
                 order = [n for n in names if n in columns] + [n for n in ADDED if n not in names]
                 yield pa.RecordBatch.from_arrays([columns[n] for n in order], names=order)
 
-    return encode
+    return handing_back(encode)
 
 
 def sample_encodings(
@@ -594,7 +595,7 @@ def _decoded(path: str):
                 part = batch.slice(start, 500)
                 yield replaced(part, {"decoded": decoder.texts(part.column("ids"))})
 
-    return decode
+    return handing_back(decode)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import math
+import subprocess
+import sys
 import time
 from collections import Counter
 
@@ -174,3 +176,41 @@ def test_texts_of_a_block_of_ids(library):
     assert decoder.texts(ids.slice(1, 9)).to_pylist() == want[1:10]
     assert decoder.texts(ids.slice(0, 0)).to_pylist() == []
     assert "\ufffd" in want[len(TEXTS) + 4]
+
+
+MEMORY = """
+import re, sys
+sys.path[:0] = sys.argv[2:]
+import numpy as np, pyarrow as pa
+from evalspark.llm import segmentations
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon: +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def most():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def batches(sizes):
+    rng = np.random.default_rng(3)
+    stems = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(60_000)]
+    for i, size in enumerate(sizes):
+        texts = [" ".join(stems[k] for k in rng.integers(0, len(stems), 250)) for _ in range(size)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(size)), pa.array(texts)], names=["doc_id", "text"])
+
+encode = segmentations._encoded(sys.argv[1], 2, 1.0, 7, ["doc_id", "text"])
+rows = sum(out.num_rows for out in encode(batches([10])))
+start, least = held(), most()
+rows += sum(out.num_rows for out in encode(batches([1200, 1200])))
+print(rows, most() - least, held() - start)
+"""
+
+
+def test_a_worker_holds_little_beside_its_task_and_less_after_it():
+    paths = [p for p in sys.path if p]
+    done = subprocess.run([sys.executable, "-c", MEMORY, PATH, *paths], capture_output=True, text=True, check=True)
+    rows, most, after = map(float, done.stdout.split())
+    assert rows == 2 * 2410
+    # slices of a megabyte and a lattice twice as large took 178
+    assert most < 150
+    # of that 134 stayed with the worker
+    assert after < 50
