@@ -2,10 +2,11 @@
 
 Where a record begins depends on all bytes before: on whether they end inside a string and on how many brackets are
 open. A task scans a block for each of the three states that it may begin in (outside a string, inside, behind a
-backslash) and returns the state it ends in, the change of depth and the commas at each depth; chained, these give every
-block its true state and the position of its first record. Blocks are then cut at the commas of depth one; a record that runs
-over the end of its block is read on by the block's task. A file that is one block needs no scan: it begins outside.
-Each record is parsed once, by Spark.
+backslash) and returns the state it ends in, the change of depth and the commas at the two lowest depths; chained, these give
+every block its true state and the position of its first record. Blocks are then cut at the commas of depth one, which is one
+of the two unless a file closes more brackets than it opens; such blocks are counted anew. A row is as small for a wrong state,
+whose depth may drift with every record. A record that runs over the end of its block is read on by the block's task. A file
+that is one block needs no scan: it begins outside. Each record is parsed once, by Spark.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ _STRUCTURE[list(b"[]{},")] = True
 _BLANK = b" \t\r\n\xef\xbb\xbf"
 SCAN_SCHEMA = (
     "block bigint, first int, ends array<int>, changes array<bigint>, "
-    "depths array<array<bigint>>, commas array<array<bigint>>"
+    "lows array<bigint>, commas array<bigint>, above array<bigint>"
 )
+COUNT_SCHEMA = "block bigint, commas bigint"
 RECORD_SCHEMA = "file string, position bigint, record string"
 
 
@@ -75,7 +77,8 @@ def structure(raw: bytes, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _scan(block: Block, number: int) -> Iterator[pa.RecordBatch]:
     ends, changes = [OUTSIDE, INSIDE, ESCAPED], [0, 0, 0]
-    counts: list[dict[int, int]] = [{}, {}, {}]
+    # the lowest depth, the commas there and those one above
+    lows, commas, above = [0, 0, 0], [0, 0, 0], [0, 0, 0]
     first = None
     for raw in chunks_of(block.file, block.start, None if block.file.compressed else block.end):
         if first is None and (text := raw.lstrip(_BLANK)):
@@ -83,10 +86,15 @@ def _scan(block: Block, number: int) -> Iterator[pa.RecordBatch]:
         seen = {state: structure(raw, state) for state in set(ends)}
         for i, state in enumerate(ends):
             places, found, depth, end = seen[state]
-            at, n = np.unique(depth[found == _COMMA], return_counts=True)
-            for d, c in zip((at + changes[i]).tolist(), n.tolist()):
-                counts[i][d] = counts[i].get(d, 0) + c
-            changes[i] += int(depth[-1]) if len(depth) else 0
+            if len(depth):
+                low = min(lows[i], changes[i] + int(depth.min()))
+                if low < lows[i]:
+                    commas[i], above[i] = 0, commas[i] if low == lows[i] - 1 else 0
+                    lows[i] = low
+                at = depth[found == _COMMA] + changes[i]
+                commas[i] += int(np.count_nonzero(at == low))
+                above[i] += int(np.count_nonzero(at == low + 1))
+                changes[i] += int(depth[-1])
             ends[i] = end
     yield pa.RecordBatch.from_pylist(
         [
@@ -95,8 +103,9 @@ def _scan(block: Block, number: int) -> Iterator[pa.RecordBatch]:
                 "first": first,
                 "ends": ends,
                 "changes": changes,
-                "depths": [list(c) for c in counts],
-                "commas": [list(c.values()) for c in counts],
+                "lows": lows,
+                "commas": commas,
+                "above": above,
             }
         ],
         pa.schema(
@@ -105,26 +114,67 @@ def _scan(block: Block, number: int) -> Iterator[pa.RecordBatch]:
                 ("first", pa.int32()),
                 ("ends", pa.list_(pa.int32())),
                 ("changes", pa.list_(pa.int64())),
-                ("depths", pa.list_(pa.list_(pa.int64()))),
-                ("commas", pa.list_(pa.list_(pa.int64()))),
+                ("lows", pa.list_(pa.int64())),
+                ("commas", pa.list_(pa.int64())),
+                ("above", pa.list_(pa.int64())),
             ]
         ),
     )
 
 
+def _counted(item: tuple[Block, int, int], number: int) -> Iterator[pa.RecordBatch]:
+    """The commas of depth one in a block whose state and depth are known."""
+    block, state, depth = item
+    n = 0
+    for raw in chunks_of(block.file, block.start, None if block.file.compressed else block.end):
+        places, found, depths, state = structure(raw, state)
+        n += int(np.count_nonzero((found == _COMMA) & (depths + depth == 1)))
+        depth += int(depths[-1]) if len(depths) else 0
+    yield pa.RecordBatch.from_pydict({"block": [number], "commas": [n]})
+
+
+def _separators(row: dict, state: int, depth: int) -> int | None:
+    """How many commas of depth one a block has, None if its scan doesn't tell: then its depth falls below zero."""
+    if "counted" in row:
+        return row["counted"]
+    height = 1 - depth - row["lows"][state]
+    if height > 1:
+        return None
+    return 0 if height < 0 else row["above" if height else "commas"][state]
+
+
 def _chained(rows: Sequence[dict]) -> tuple[list[tuple[int, int, int]], int]:
-    """State, depth and number of records begun before each block, and how many commas part records in all."""
+    """State, depth and number of records begun before each block, and how many commas part records in all.
+
+    Commas that a scan doesn't tell are none.
+    """
     state, depth, before = OUTSIDE, 0, 0
     out = []
     for row in rows:
         out.append((state, depth, before))
-        commas = dict(zip(row["depths"][state], row["commas"][state]))
-        before += commas.get(1 - depth, 0)
+        before += _separators(row, state, depth) or 0
         depth += row["changes"][state]
         state = row["ends"][state]
     return out, before
 
 
+def _count_rest(spark: SparkSession, sources: Sequence[Sequence[tuple[Block, dict]]]) -> None:
+    """Counts the commas that the scans of arrays don't tell; such blocks' rows get ``counted``."""
+    rest: list[tuple[Block, int, int]] = []
+    rows: list[dict] = []
+    for found in sources:
+        scans = [row for _, row in found]
+        if not _is_array(scans):
+            continue
+        for (block, row), (state, depth, _) in zip(found, _chained(scans)[0]):
+            if _separators(row, state, depth) is None:
+                rest.append((block, state, depth))
+                rows.append(row)
+    if rest:
+        for counted in on_blocks(spark, rest, _counted, COUNT_SCHEMA).collect():
+            rows[counted["block"]]["counted"] = counted["commas"]
+
+
 def _is_array(rows: Sequence[dict]) -> bool:
     """Whether a file's first byte that isn't blank opens an array; another file is one record."""
     first = next((row["first"] for row in rows if row["first"] is not None), _OPEN)
@@ -227,7 +277,9 @@ def record_texts(
     def enough(rows: list[dict]) -> bool:
         return not _is_array(rows) or _chained(rows)[1] >= num_records
 
-    for found in scanned(spark, sources, _scan, SCAN_SCHEMA, enough if limited else None, block_bytes):
+    scans = scanned(spark, sources, _scan, SCAN_SCHEMA, enough if limited else None, block_bytes)
+    _count_rest(spark, scans)
+    for found in scans:
         rows = [row for _, row in found]
         if not _is_array(rows):
             work.append((found[0][0], None, 0, 0, num_records))

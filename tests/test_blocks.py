@@ -92,6 +92,40 @@ def test_a_small_block_reads_little_behind_it(tmp_path, monkeypatch):
     assert sum(read) <= 1000 + blocks.FIRST_BYTES
 
 
+def test_a_scan_gives_a_small_row(tmp_path):
+    # read as if it began inside a string, every record closes a bracket more than it opens
+    path = tmp_path / "drift.json"
+    path.write_text(json.dumps([{"n": i, "tag": f'["{i}", {{"a": "\\", ]"}}]'} for i in range(2000)]))
+    file = File(str(path), str(path), path.stat().st_size, 0)
+    cut = blocks.source_blocks(0, [file], 1 << 15)
+    found = [row for i, block in enumerate(cut) for batch in json_array._scan(block, i) for row in batch.to_pylist()]
+    assert len(found) > 3 and min(min(row["changes"]) for row in found) < -300
+    assert max(len(json.dumps(row)) for row in found) < 300
+    chain, commas = json_array._chained(found)
+    assert commas == 1999 and all(depth in (0, 1, 2) for _, depth, _ in chain)
+
+
+@pytest.mark.parametrize("text", ["[1,2]],[3,4],5],6,[7,8", "[1]]]],2,[[[[3,4],5],6]", "[[1,2],3][4,[5,6]],7]", '["]",1]],"[",2[[3,4', "[1]" + "]" * 40 + "," * 9 + "[" * 41 + "5,6]"])
+def test_stray_brackets_are_counted_at_any_cut(spark, tmp_path, monkeypatch, text):
+    path = tmp_path / "stray.json"
+    path.write_text(text)
+    (file,) = list_files(spark, str(path))
+    anew = []
+    real = blocks.on_blocks
+    monkeypatch.setattr(json_array, "on_blocks", lambda spark, held, work, schema: anew.append(work) or real(spark, held, work, schema))
+    for size in (4, 9):
+        state, depth, commas, begun = json_array.OUTSIDE, 0, 0, []
+        found = json_array.scanned(spark, [[file]], json_array._scan, json_array.SCAN_SCHEMA, None, size)
+        json_array._count_rest(spark, found)
+        for block, _ in found[0]:
+            begun.append((state, depth, commas))
+            _, bytes_, depths, state = structure(text.encode()[block.start : block.end], state)
+            commas += int(((bytes_ == ord(",")) & (depths + depth == 1)).sum())
+            depth += int(depths[-1]) if len(depths) else 0
+        assert json_array._chained([row for _, row in found[0]]) == (begun, commas)
+    assert json_array._counted in anew
+
+
 def test_odd_files(spark, tmp_path):
     for name, text in {
         "empty.json": "", "blank.json": " \n", "none.json": " [ ] ", "object.json": ' {"a": [1, 2]} ', "bom.json": "﻿[1]",
